@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import bpe, fingerprints, language, mixing, quality, sharding, toxicity
+from gridspark.llm import bpe, fingerprints, language, mixing, ngram_join, quality, sharding, toxicity
 from gridspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_documents(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_ngram_join": op1_ngram_join,
         "op3_language_id": op3_language_id,
         "op5_bpe": op5_bpe,
         "op6_fingerprints": op6_fingerprints,
