@@ -9,8 +9,8 @@
 4. What remains are pairs of different components that share a prefix n-gram and pass the length and positional
    filters: an equi-join, whose new pairs are verified too. Groups of near copies are one component by then, so that
    they don't meet pair by pair.
-5. Verification, once per pair, bounds the overlap from the sizes of both sets in ranges of the hash (suffix filter)
-   and then intersects them.
+5. A suffix filter bounds each candidate's overlap from the sizes of both sets in ranges of the hash: a byte for
+   about eight n-grams, so that few sets travel. What it leaves is verified once per pair by intersection.
 Texts compare as sets of 64-bit hashes: two different n-grams of a pair pass as equal with probability 2 ** -64.
 """
 
@@ -33,8 +33,8 @@ BUCKET_BITS = 16
 #: Representatives whose ids are broadcast to fetch their texts; more of them are joined.
 FETCH_ROWS = 500_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-#: Ranges of the hash that the suffix filter compares.
-RANGES = (np.arange(1, 16, dtype=np.uint64) << np.uint64(60)).view(np.uint64)
+#: The suffix filter has a range of the hash for so many n-grams of a set, in powers of two.
+PER_RANGE = 8
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -90,25 +90,46 @@ def _bucket_counts(texts: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+def range_sizes(s: np.ndarray) -> bytes:
+    """Sizes of a sorted set in 2 ** k equal ranges of the hash, a byte each; none if a size exceeds a byte."""
+    bits = max(0, (len(s) // PER_RANGE).bit_length() - 1)
+    if not bits:
+        return bytes([len(s)])
+    sizes = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return sizes.astype(np.uint8).tobytes() if sizes.max() < 256 else b""
+
+
+def overlap_bound(x: np.ndarray, y: np.ndarray) -> int:
+    """Most n-grams that sets of these range sizes can share."""
+    x, y = x.astype(np.int64), y.astype(np.int64)
+    n = min(len(x), len(y))
+    return int(np.minimum(x.reshape(n, -1).sum(axis=1), y.reshape(n, -1).sum(axis=1)).sum())
+
+
+def needed(n: int, m: int, percent: int) -> int:
+    return -(-(n + m) * percent // (100 + percent))
+
+
 def _profiles(rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, id, n, two halves of the set's digest, and the prefix in rare-first order."""
+    """doc_id, id, n, two halves of the set's digest, its range sizes, and the prefix in rare-first order."""
     counts = rows.sparkSession.sparkContext.broadcast(_bucket_counts(rows.select("text"), size))
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _pieces(batches):
-            n, high, low, prefixes = [], [], [], []
+            n, high, low, ranges, prefixes = [], [], [], [], []
             for text in piece.column(2).to_pylist():
                 s = shingles(text, size)
                 n.append(len(s))
                 digest = xxhash.xxh3_128_intdigest(s.tobytes())
                 high.append((digest >> 64) - (1 << 63))
                 low.append((digest & (1 << 64) - 1) - (1 << 63))
+                ranges.append(range_sizes(s))
                 order = np.lexsort((s, counts.value[s >> np.uint64(64 - BUCKET_BITS)]))
                 prefixes.append(s[order[: prefix_length(len(s), percent)]].view(np.int64) if len(s) else s.view(np.int64))
-            arrays = [piece.column(0), piece.column(1), pa.array(n, pa.int32()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "id", "n", "high", "low", "prefix"])
+            arrays = [piece.column(0), piece.column(1), pa.array(n, pa.int32()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(ranges, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "id", "n", "high", "low", "ranges", "prefix"])
 
-    return rows.mapInArrow(profile, "doc_id long, id long, n int, high long, low long, prefix array<long>")
+    return rows.mapInArrow(profile, "doc_id long, id long, n int, high long, low long, ranges binary, prefix array<long>")
 
 
 RUNS = {"gram": pa.int64(), "band": pa.int32(), "pos": pa.int32(), "n": pa.int32(), "node": pa.int64()}
@@ -139,36 +160,48 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r), k) for r, k in zip(rows, types, strict=True)], names=names)
 
 
+def _suffix_filtered(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their range sizes don't rule out."""
+    sizes = profiles.select("id", "n", "ranges").dropDuplicates(["id"])
+    a, b = (sizes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("ranges").alias(f"r{c}")) for c in "ab")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _pieces(batches, 1024):
+            good = []
+            for n, m, x, y in zip(*(piece.column(i).to_pylist() for i in range(2, 6))):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                good.append(not len(x) or not len(y) or overlap_bound(x, y) >= needed(n, m, percent))
+            mask = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([piece.column(0).filter(mask), piece.column(1).filter(mask)], names=["a", "b"])
+
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(keep, "a long, b long")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
     pairs = written(pairs, "candidates")
     nodes = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
-    wanted = texts.join(small(nodes, FETCH_ROWS), "id", "left_semi")
+    wanted = texts.join(small(nodes, FETCH_ROWS), "id", "left_semi").select("id", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _pieces(batches):
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([shingles(t, size).tobytes() for t in piece.column(1).to_pylist()], pa.binary())], names=["id", "grams"])
 
-    grams = wanted.select("id", "text").mapInArrow(sets, "id long, grams binary").dropDuplicates(["id"])
-    grams = written(grams, "grams")
+    grams = written(wanted.mapInArrow(sets, "id long, grams binary"), "grams")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _pieces(batches):
             good = []
             for x, y in zip(piece.column(2), piece.column(3)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                least = math.ceil((len(x) + len(y)) * percent / (100 + percent) - 1e-9)
-                cx, cy = (np.diff(np.searchsorted(v, RANGES), prepend=0, append=len(v)) for v in (x, y))
-                if min(len(x), len(y)) < least or np.minimum(cx, cy).sum() < least:
-                    good.append(False)
-                    continue
                 both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([piece.column(0).filter(keep), piece.column(1).filter(keep)], names=["a", "b"])
 
     a, b = grams.select(F.col("id").alias("a"), F.col("grams").alias("x")), grams.select(F.col("id").alias("b"), F.col("grams").alias("y"))
-    return written(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "links")
+    links = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    return written(links.distinct(), "links")
 
 
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -193,7 +226,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     fits = lambda n, pos, m, at: F.least(n - pos, m - at) >= overlap_needed(n, m, percent)
     near = runs.filter((F.col("node") != F.col("a_node")) & fits(F.col("n"), F.col("pos"), F.col("a_n"), F.col("a_pos")))
     tried = written(near.select(F.least("node", "a_node").alias("a"), F.greatest("node", "a_node").alias("b")).distinct(), "tried")
-    links = _verified(tried, texts, size, percent)
+    links = _verified(_suffix_filtered(tried, full, percent), texts, size, percent)
     labels = connected_components(links, written)
     # the join proper: pairs across components that share a prefix n-gram
     rows = runs.select("gram", "pos", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -204,7 +237,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     across = (F.col("node") < F.col("b_node")) & (F.col("label") != F.col("b_label"))
     pairs = x.join(y, (x["gram"] == y["gram"]) & across & fits(F.col("n"), F.col("pos"), F.col("b_n"), F.col("b_pos")))
     pairs = pairs.select(F.col("node").alias("a"), F.col("b_node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = _verified(pairs, texts, size, percent)
+    more = _verified(_suffix_filtered(pairs, full, percent), texts, size, percent)
     if not more.isEmpty():
         of = lambda c: F.coalesce(F.col(c), F.col(c[0]))
         la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("a_label")), labels.select(F.col("node").alias("b"), F.col("label").alias("b_label"))
