@@ -68,9 +68,15 @@ def permute_digits(d: Column, tag: str, key: str) -> Column:
 
 
 def permute_letters(s: Column, tag: str, key: str) -> Column:
-    """Keyed bijection on strings that keeps length and each character's class: 0-9, a-z, A-Z; others stay."""
+    """Keyed bijection on strings that keeps length and each character's class: 0-9, a-z, A-Z; others stay. Strings
+    of hexadecimal digits in lower case stay such strings."""
+    hexadecimal = s.rlike("^[0-9a-f]+$") & s.rlike("[a-f]")
 
     def shift(c: Column, k: Column) -> Column:
+        figure = F.lower(F.conv(F.pmod(F.conv(c, 16, 10).cast("int") + k, F.lit(16)).cast("string"), 10, 16))
+        return F.when(hexadecimal, figure).otherwise(by_class(c, k))
+
+    def by_class(c: Column, k: Column) -> Column:
         code = F.ascii(c)
         moved = lambda first, size: F.char(F.lit(first) + F.pmod(code - first + k, F.lit(size)))
         return F.when(c.rlike("^[0-9]$"), moved(48, 10)).when(c.rlike("^[a-z]$"), moved(97, 26)).when(c.rlike("^[A-Z]$"), moved(65, 26)).otherwise(c)
@@ -256,9 +262,10 @@ def pseudonymised(text: Column, key: str = KEY) -> Column:
 
 
 def pseudonymise(documents: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
-    """All rows and columns of documents with the text replaced; lengths stay, so n_chars stays right (dates written
-    with one-digit days or months get two). Null and empty texts stay as they are."""
-    return documents.withColumn(text, pseudonymised(F.col(text), key)["text"])
+    """All rows and columns of documents with the text replaced, and n_chars, where there is one, counted again:
+    addresses and dates can change their width. Null and empty texts stay as they are."""
+    out = documents.withColumn(text, pseudonymised(F.col(text), key)["text"])
+    return out.withColumn("n_chars", F.length(text).cast(dict(documents.dtypes)["n_chars"])) if "n_chars" in documents.columns else out
 
 
 def pseudonymise_documents(documents: DataFrame, key: str = KEY) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import bpe, fingerprints, language, mixing, ngram_join, quality, sharding, toxicity
+from gridspark.llm import bpe, fingerprints, html_text, language, mixing, ngram_join, pii, quality, sharding, toxicity
 from gridspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,10 +16,18 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"))
 
@@ -47,7 +55,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_join": op1_ngram_join,
+        "op2_pii": op2_pii,
         "op3_language_id": op3_language_id,
+        "op4_html_text": op4_html_text,
         "op5_bpe": op5_bpe,
         "op6_fingerprints": op6_fingerprints,
         "op7_sharding": op7_sharding,
