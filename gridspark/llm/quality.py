@@ -30,6 +30,7 @@ VECTOR = (
     ("x_repeats", "sqrt(1D * n_repeat_words / n_words)", 0.12),
     ("x_length", "ln(1D * word_chars / n_words)", 0.15),
 )
+STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 NAMES = [n for n, _, _ in VECTOR]
 GROUP = ["_lang", "_source"]
 BINS = 200
@@ -83,7 +84,8 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _with(df: DataFrame, other: DataFrame) -> DataFrame:
-    return df.join(small(written(other, "groups")), GROUP, "left")
+    """df joined with a written table of a row per group."""
+    return df.join(small(other), GROUP)
 
 
 def _quantile(df: DataFrame, value: Column, share: float, name: str) -> DataFrame:
@@ -131,57 +133,81 @@ def _correction(h: float) -> float:
     return h / (1 - math.exp(-q / 2) * (1 + q / 2 + q * q / 8))
 
 
-def robust_distances(df: DataFrame, lang: str = "lang", source: str = "source", h: float = H, steps: int = STEPS, least: int = LEAST_ROWS) -> DataFrame:
-    """Adds distance2, the squared robust Mahalanobis distance of each row in its (lang, source) group.
+def _groups(rows: DataFrame, least: int) -> DataFrame:
+    """(_lang0, _source0) to the group that it is estimated in: itself, the language's small ones, all small ones."""
+    sizes = rows.groupBy("_lang0", "_source0").agg(F.count(F.lit(1)).alias("n"))
+    few = F.col("n") < least
+    pool = F.sum(F.when(few, F.col("n")).otherwise(0)).over(Window.partitionBy("_lang0"))
+    return sizes.select(
+        "_lang0", "_source0", F.when(few & (pool < least), F.lit("\1")).otherwise(F.col("_lang0")).alias("_lang"), F.when(few, F.lit("\1")).otherwise(F.col("_source0")).alias("_source")
+    )
 
-    df has the columns of text_statistics() with n_words > 0. Null lang or source is a value of its own.
-    """
-    rows = df.withColumn("_lang", F.coalesce(F.col(lang), F.lit("\0"))).withColumn("_source", F.coalesce(F.col(source), F.lit("\0")))
-    rows = rows.withColumns({n: F.expr(e) for n, e, _ in VECTOR})
-    sizes = rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_rows"))
-    rows = _with(rows, sizes).withColumn("_source", F.when(F.col("_rows") < least, F.lit("\1")).otherwise(F.col("_source"))).drop("_rows")
-    sizes = rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_rows"))
-    rows = _with(rows, sizes).withColumn("_lang", F.when(F.col("_rows") < least, F.lit("\1")).otherwise(F.col("_lang"))).drop("_rows")
-    rows = written(rows, "vectors")
-    # start: distances scaled by median and median deviation of each coordinate, from histograms
-    start = rows
-    for i, name in enumerate(NAMES):
-        start = _with(start, _quantile(rows, F.col(name), 0.5, "_q")).withColumn(f"m_{i}", F.expm1((F.col("_q") + 0.5) / BINS)).drop("_q")
-    scaled = sum((((F.col(n) - F.col(f"m_{i}")) / VECTOR[i][2]) ** 2 for i, n in enumerate(NAMES[1:], 1)), ((F.col(NAMES[0]) - F.col("m_0")) / VECTOR[0][2]) ** 2)
-    current = start.withColumn("distance2", scaled).drop(*[f"m_{i}" for i in range(len(NAMES))])
+
+def _keyed(df: DataFrame, lang: str, source: str) -> DataFrame:
+    return df.withColumn("_lang0", F.coalesce(F.col(lang), F.lit("\0"))).withColumn("_source0", F.coalesce(F.col(source), F.lit("\0"))).withColumns({n: F.expr(e) for n, e, _ in VECTOR})
+
+
+def _medians(rows: DataFrame) -> DataFrame:
+    """m_i, the median of each coordinate by group, from one table of histograms."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.log1p(F.col(n)) * BINS).alias("bin")) for i, n in enumerate(NAMES)])).alias("v")
+    counts = rows.select(*GROUP, each).groupBy(*GROUP, "v.i", "v.bin").agg(F.count(F.lit(1)).alias("_n"))
+    one = Window.partitionBy(*GROUP, "i")
+    sums = counts.withColumn("_sum", F.sum("_n").over(one.orderBy("bin"))).withColumn("_all", F.sum("_n").over(one))
+    least = [F.expm1((F.min(F.when(F.col("i") == i, F.col("bin"))) + 0.5) / BINS).alias(f"m_{i}") for i in range(len(NAMES))]
+    return sums.filter(F.col("_sum") >= F.col("_all") * 0.5).groupBy(*GROUP).agg(*least)
+
+
+def fit_groups(stats: DataFrame, lang: str = "lang", source: str = "source", h: float = H, steps: int = STEPS, least: int = LEAST_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The groups' table and the minimum covariance determinant fit of each, from rows of text_statistics() that
+    passed the base rules. Both are written tables with a row for each group."""
+    rows = _keyed(stats, lang, source)
+    groups = written(_groups(rows, least), "groups")
+    rows = written(rows.join(small(groups), ["_lang0", "_source0"]).select(*GROUP, *NAMES), "vectors")
+    # start: distances from the medians, scaled by the least deviations
+    start = _with(rows, written(_medians(rows), "medians"))
+    scaled = [((F.col(n) - F.col(f"m_{i}")) / VECTOR[i][2]) ** 2 for i, n in enumerate(NAMES)]
+    current = start.withColumn("distance2", sum(scaled[1:], scaled[0]))
     for _ in range(steps):
-        cut = _with(current, _quantile(current, F.col("distance2"), h, "_cut"))
+        cut = current.join(_quantile(current, F.col("distance2"), h, "_cut"), GROUP)
         core = cut.filter(F.floor(F.log1p("distance2") * BINS) <= F.col("_cut"))
-        fitted = _with(rows, _fit(core, _correction(h)))
-        current = fitted.withColumn("distance2", _distance(len(NAMES))).drop(*[c for c in fitted.columns if c[:2] in ("m_", "l_")])
-    return current.drop(*NAMES, *GROUP)
+        fits = written(_fit(core, _correction(h)), "fits")
+        current = _with(rows, fits).withColumn("distance2", _distance(len(NAMES)))
+    return groups, fits
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-
+def robust_distances(df: DataFrame, groups: DataFrame, fits: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+    """Adds distance2, the squared robust Mahalanobis distance of each row in its group; null for unknown groups."""
+    rows = _keyed(df, lang, source).join(small(groups), ["_lang0", "_source0"], "left")
+    rows = rows.join(small(fits), GROUP, "left").withColumn("distance2", _distance(len(NAMES)))
+    return rows.select(*df.columns, "distance2")
 
-def judge_quality(df: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """All rows of df with their statistics, base_failed, distance2 (null where base_failed) and kept.
 
-    Null and empty texts fail the base rules; repeated rows are judged alike; an empty table stays empty.
-    """
-    rows = text_statistics(df).withColumn("base_failed", base_failed())
-    passed = robust_distances(rows.filter(~F.col("base_failed")))
-    failed = rows.filter("base_failed").withColumn("distance2", F.lit(None).cast("double"))
-    both = passed.unionByName(failed)
-    return both.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= cutoff, F.lit(False)))
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+def _judged(rows: DataFrame, groups: DataFrame, fits: DataFrame, cutoff: float) -> DataFrame:
+    out = robust_distances(rows, groups, fits)
+    out = out.withColumn("distance2", F.when(~F.col("base_failed"), F.col("distance2")))
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= cutoff, F.lit(False)))
 
 
 def document_quality(documents: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """doc_id, the statistics, base_failed, kept and distance2 of all documents; the texts are read once."""
-    slim = text_statistics(documents.select("doc_id", "lang", "source", "text"))
-    slim = written(slim.drop("text"), "statistics").withColumn("base_failed", base_failed())
-    passed = robust_distances(slim.filter(~F.col("base_failed")))
-    failed = slim.filter("base_failed").withColumn("distance2", F.lit(None).cast("double"))
-    both = passed.unionByName(failed)
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= cutoff, F.lit(False))
-    return both.select("doc_id", *STATISTICS, "base_failed", kept.alias("kept"), "distance2")
+    """doc_id, the statistics, base_failed, kept and distance2 (null where base_failed) of all documents.
+
+    Null and empty texts fail the base rules; null lang or source is a value of its own; repeated rows are judged
+    alike; an empty table stays empty.
+    """
+    slim = text_statistics(documents.select("doc_id", "lang", "source", "text")).drop("text")
+    slim = written(slim.withColumn("base_failed", base_failed()), "statistics")
+    groups, fits = fit_groups(slim.filter(~F.col("base_failed")))
+    return _judged(slim, groups, fits, cutoff).select("doc_id", *STATISTICS, "base_failed", "kept", "distance2")
+
+
+def kept_documents(documents: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """The rows of documents that are kept, with all their columns; the texts are read once to fit, once to filter."""
+    rows = documents.select(F.struct("*").alias("_doc"), "lang", "source", "text")
+    rows = text_statistics(rows).drop("text").withColumn("base_failed", base_failed())
+    slim = written(rows.filter(~F.col("base_failed")).drop("_doc"), "statistics")
+    groups, fits = fit_groups(slim)
+    return _judged(rows, groups, fits, cutoff).filter("kept").select("_doc.*")
