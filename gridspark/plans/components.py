@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,29 +14,61 @@ from pyspark.sql import functions as F
 JUMPS = 2
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of one partition, as edges from each of its nodes to the smallest node that it reaches within."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not parts:
+        return
+    a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    top = np.arange(len(nodes))
+    while len(a):
+        low = np.minimum(a, b)
+        np.minimum.at(top, a, low)
+        np.minimum.at(top, b, low)
+        while not np.array_equal(top, top[top]):
+            top = top[top]
+        a, b = top[a], top[b]
+        a, b = a[a != b], b[a != b]
+    part = np.full(len(nodes), TaskContext.get().partitionId(), np.int32)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[top]), pa.array(part)], names=["node", "up", "part"])
+
+
 def connected_components(edges: DataFrame, written: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """(node, label) of all nodes of edges (a, b): label is the smallest node of the node's component.
 
-    In each round every node points to its smallest neighbour if that is smaller than itself; pointers are shortened
-    and the edges contracted along them, until none is left. A node gets one row in each step, whatever its degree:
-    neighbours meet as a minimum, which is combined before the shuffle. `written` stores a table and reads it again.
+    In each round the edges are dealt by range and every partition, of the size that Spark's shuffle settings give it,
+    replaces its own by stars. If there was one partition that is the answer. Otherwise every node points to its
+    smallest neighbour, pointers are shortened, the edges contracted along them, and the next round begins. A node
+    gets one row in each step, whatever its degree: neighbours meet as a minimum, which is combined before the
+    shuffle. `written` stores a table and reads it again.
     """
-    edges = edges.select("a", "b").filter("a <> b")
+    edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")
     labels = None
     while True:
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up"))
-        up = written(up, "pointers")
-        for _ in range(JUMPS):
-            above = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            up = up.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"))
-        up = written(up, "pointers")
+        stars = written(edges.repartitionByRange("a").mapInArrow(_stars, "node long, up long, part int"), "stars")
+        parts = stars.select("part").distinct().limit(2).count()
+        if parts < 2:
+            up = stars.select("node", "up")
+        else:
+            far = stars.filter("node <> up")
+            both = far.select(F.col("node").alias("a"), F.col("up").alias("b")).unionByName(far.select(F.col("up").alias("a"), F.col("node").alias("b")))
+            up = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up"))
+            up = written(up, "pointers")
+            for _ in range(JUMPS):
+                above = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
+                up = up.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"))
+            up = written(up, "pointers")
         if labels is None:
             labels = up.withColumnRenamed("up", "label")
         else:
-            labels = labels.join(up, labels["label"] == up["node"], "left").select(labels["node"], F.coalesce(up["up"], labels["label"]).alias("label"))
+            labels = labels.join(up.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("up", "label").alias("label"))
+        if parts < 2:
+            return labels
+        labels = written(labels, "labels")
         a, b = up.select(F.col("node").alias("a"), F.col("up").alias("_a")), up.select(F.col("node").alias("b"), F.col("up").alias("_b"))
-        edges = edges.join(a, "a").join(b, "b").filter("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()
-        edges = written(edges, "contracted")
+        pairs = far.select(F.col("node").alias("a"), F.col("up").alias("b")).join(a, "a").join(b, "b").filter("_a <> _b")
+        edges = written(pairs.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "contracted")
         if edges.isEmpty():
             return labels
