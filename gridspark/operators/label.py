@@ -31,6 +31,8 @@ def _run_edges(cells: DataFrame, grid: Grid, connectivity: int, periodic: bool,
         right = runs.filter(f"x2 = {grid.sx - 1} and {grid.sx} > 1").withColumns({"x1": F.col("x1") - grid.sx, "x2": F.col("x2") - grid.sx})
         ghosts = left.unionByName(right).withColumn("_ghost", F.lit(True))
         seen = runs.withColumn("_ghost", F.lit(False)).unionByName(ghosts)
+    if not rows:
+        return runs.select(F.col("run").alias("a"), F.col("run").alias("b")).limit(0)
     steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dz).alias("dz"), F.lit(s).alias("s")) for (dy, dz), s in rows.items()])
     one = runs.select("run", "v", "x1", "x2", "y", "z", F.explode(steps).alias("_o"))
     y, z = F.col("y") + F.col("_o.dy"), F.col("z") + F.col("_o.dz")
