@@ -26,9 +26,9 @@ SYMBOLS = "#*$%&|<>"
 #: The vector: name, expression over the statistics, standard deviation assumed at least.
 VECTOR = (
     ("x_symbols", "sqrt(100D * n_symbols / greatest(word_chars, 1))", 0.4),
-    ("x_lines", "sqrt(100D * n_dup_lines / n_words)", 0.4),
-    ("x_repeats", "sqrt(1D * n_repeat_words / n_words)", 0.12),
-    ("x_length", "ln(1D * word_chars / n_words)", 0.15),
+    ("x_lines", "sqrt(100D * n_dup_lines / greatest(n_words, 1))", 0.4),
+    ("x_repeats", "sqrt(1D * n_repeat_words / greatest(n_words, 1))", 0.12),
+    ("x_length", "ln(1D * greatest(word_chars, 1) / greatest(n_words, 1))", 0.15),
 )
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 NAMES = [n for n, _, _ in VECTOR]
