@@ -16,12 +16,15 @@ STRETCH = 256
 _OUT = {"uint16": 2**16 - 1, "uint32": 2**32 - 1, "uint64": 2**64 - 1}
 
 
-def _run_edges(cells: DataFrame, grid: Grid, connectivity: int, periodic: bool, by_value: bool) -> DataFrame:
-    """Edges (a, b) between runs of neighbouring rows that touch."""
+def run_edges(cells: DataFrame, grid: Grid, connectivity: int, periodic: bool, by_value: bool, within_rows: bool = False) -> DataFrame:
+    """Edges (a, b) between runs of neighbouring rows that touch; with within_rows also of runs that meet in a row,
+    as where a row came in parts."""
     runs = cells.groupBy("run", "y", "z").agg(F.first("v").alias("v"), F.min("x").alias("x1"), F.max("x").alias("x2"))
     if is_float(cells):
         runs = runs.filter(~F.isnan("v"))
     rows = dict(row_offsets(connectivity, grid.ndim))
+    if within_rows:
+        rows[0, 0] = 1
     seen = runs
     if periodic:
         rows[0, 0] = 1
@@ -81,7 +84,7 @@ def run_labels(df: DataFrame, grid: Grid, connectivity: int = 26, delta: float =
     binary = binary or dict(df.dtypes)[column] == "boolean"
     cells = written(cell_runs(cells, grid, 0 if binary else delta), "cells")
     by_cell = delta > 0 and not binary
-    edges = _cell_edges(cells, grid, connectivity, delta) if by_cell else _run_edges(cells, grid, connectivity, periodic, not binary)
+    edges = _cell_edges(cells, grid, connectivity, delta) if by_cell else run_edges(cells, grid, connectivity, periodic, not binary)
     edges = written(edges, "edges")
     runs = cells.select("run").distinct()
     if edges.isEmpty():
