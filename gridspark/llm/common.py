@@ -1,51 +1,22 @@
-"""Helpers that the text operators share: word splitting, scratch tables, size-checked broadcasts."""
+"""Helpers that the text operators share."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridspark.plans.scratch import small, written  # noqa: F401
+
 #: White space that separates words: space and U+0009 to U+000D, as a Java character class body.
 BLANKS = r"\x20\x09-\x0D"
 #: The same characters, for trim and translate.
 BLANK_CHARS = " \t\n\x0b\f\r"
-#: Small tables are broadcast up to this many rows; a larger one goes through Spark's usual join choice.
-BROADCAST_ROWS = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; where it is unset (tests on one machine), a folder of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="gridspark-")
-        import shutil
-
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared scratch folder and reads it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/gridspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks df for broadcast if its counted rows stay within the bound; df should be a written table."""
-    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
-
-
 def words(text: Column) -> Column:
     r"""Array of the words [^\x20\x09-\x0D]+ of a text; empty for null or blank text."""
     trimmed = F.trim(F.coalesce(text, F.lit("")), F.lit(BLANK_CHARS))

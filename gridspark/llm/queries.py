@@ -67,5 +67,19 @@ def queries() -> dict[str, Query]:
     }
 
 
+#: All pairs of documents that share a 3-word shingle, then the smallest doc_id that spreads along the links.
+NGRAM_JOIN_SQL = r"""WITH RECURSIVE w AS (
+ SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (
+ SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[][]) WHEN len(w) < 3 THEN [w] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) END AS s FROM w),
+g AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+pairs AS MATERIALIZED (
+ SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS n, any_value(y.n) AS m, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2) WHERE 100 * c >= 90 * (n + m - c)),
+spread(id, low) USING KEY (id) AS (
+ SELECT doc_id, doc_id FROM documents UNION
+ SELECT p.b, min(t.low) FROM spread t JOIN pairs p ON p.a = t.id JOIN recurring.spread r ON r.id = p.b WHERE t.low < r.low GROUP BY p.b)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, CAST(t.low AS BIGINT) AS component_id FROM s JOIN spread t ON t.id = s.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_ngram_join": NGRAM_JOIN_SQL}
