@@ -21,8 +21,8 @@ BITS = 20
 #: Labelled rows that are fitted at most, of each label, in order of a hash of doc_id: the bound of the sample.
 TRAIN_TOXIC, TRAIN_CLEAN = 6_000, 10_000
 #: Terms that the model keeps: the most significant ones of those in LEAST_DOCS sampled documents at least.
-KEPT_TERMS, LEAST_DOCS, LEAST_Z = 1024, 4, 4.0
-FACTORS, ROUNDS, RATE, DECAY = 4, 250, 0.05, 1e-4
+KEPT_TERMS, LEAST_DOCS, LEAST_Z = 512, 4, 4.0
+FACTORS, ROUNDS, RATE, DECAY = 4, 300, 0.05, 2e-5
 #: Lengths of word beginnings that are terms of their own.
 BEGINNINGS = (4, 5, 6)
 MEMO_WORDS = 300_000
@@ -50,11 +50,6 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([piece.column(0).cast(pa.int32()), pa.array(made, pa.list_(pa.int32()))], names=["label", "terms"])
 
 
-def _margin(x: np.ndarray, w0: float, w: np.ndarray, v: np.ndarray) -> np.ndarray:
-    xv = x @ v
-    return w0 + x @ w + 0.5 * ((xv**2).sum(axis=1) - (x * x) @ (v**2).sum(axis=1))
-
-
 def train(labels: np.ndarray, terms: list[np.ndarray], rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Kept terms, their weights (the bias last) and vectors; rate is the share of toxic rows to calibrate to."""
     sizes = np.array([len(t) for t in terms])
@@ -73,20 +68,24 @@ def train(labels: np.ndarray, terms: list[np.ndarray], rate: float) -> tuple[np.
     x[row[inside], place[flat[inside]]] = 1
     share = np.where(labels == 1, rate / max(p, 1e-9), (1 - rate) / max(1 - p, 1e-9))
     share = share / share.mean()
+    # one matrix holds bias-free weights, vectors and their squares, so that a round is two products with x
     rng = np.random.default_rng(7)
-    w0, w, v = float(np.log(max(rate, 1e-6) / max(1 - rate, 1e-6))), np.zeros(x.shape[1]), rng.normal(0, 0.05, (x.shape[1], FACTORS))
-    params = [np.array([w0]), w, v]
+    n_terms, share, labels = x.shape[1], share.astype(np.float32), labels.astype(np.float32)
+    params = [np.array([np.log(max(rate, 1e-6) / max(1 - rate, 1e-6))], np.float32), np.zeros((n_terms, 1), np.float32), rng.normal(0, 0.05, (n_terms, FACTORS)).astype(np.float32)]
     first, second = [np.zeros_like(q) for q in params], [np.zeros_like(q) for q in params]
     for step in range(1, ROUNDS + 1):
-        w0, w, v = params[0][0], params[1], params[2]
-        g = share * (1 / (1 + np.exp(-np.clip(_margin(x, w0, w, v), -30, 30))) - labels) / len(labels)
-        xv = x @ v
-        grads = [np.array([g.sum()]), x.T @ g + DECAY * w, x.T @ (g[:, None] * xv) - v * (x.T @ g)[:, None] + DECAY * v]
+        w0, w, v = params
+        out = x @ np.hstack([w, v, (v * v).sum(axis=1, keepdims=True)])
+        xv = out[:, 1:-1]
+        margin = w0[0] + out[:, 0] + 0.5 * ((xv * xv).sum(axis=1) - out[:, -1])
+        g = share * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels) / len(labels)
+        back = x.T @ np.hstack([g[:, None], g[:, None] * xv])
+        grads = [g.sum(keepdims=True), back[:, :1] + DECAY * w, back[:, 1:] - v * back[:, :1] + DECAY * v]
         for q, d, a, b in zip(params, grads, first, second, strict=True):
             a += 0.1 * (d - a)
             b += 0.001 * (d * d - b)
             q -= RATE * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
-    return kept, np.append(params[1][: len(kept)], params[0][0]), params[2][: len(kept)]
+    return kept, np.append(params[1][: len(kept), 0], params[0][0]).astype(float), params[2][: len(kept)].astype(float)
 
 
 def fit(labelled: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
