@@ -65,3 +65,10 @@ def color_connectivity_graph(graph: DataFrame, grid: Grid, connectivity: int = 2
     rooted = written(rooted, "rooted")
     out = rooted.join(dense_labels(rooted), "root").select("x", "y", "z", "label")
     return (out, rooted.select("root").distinct().count()) if return_N else out
+
+
+def estimate_graph_labels(graph: DataFrame, grid: Grid, column: str = "bits") -> DataFrame:
+    """One row: epl, an upper bound of the components of a field: rows of cells plus places in a row that can't be
+    passed backwards."""
+    blocked = F.count_if((F.col("x") > 0) & (F.getbit(column, F.lit(1)) == 0))
+    return graph.agg((F.lit(grid.sy * grid.sz).cast("long") + blocked).alias("epl"))
