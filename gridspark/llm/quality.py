@@ -205,9 +205,12 @@ def document_quality(documents: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
 
 
 def kept_documents(documents: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """The rows of documents that are kept, with all their columns; the texts are read once to fit, once to filter."""
-    rows = documents.select(F.struct("*").alias("_doc"), "lang", "source", "text")
-    rows = text_statistics(rows).drop("text").withColumn("base_failed", base_failed())
-    slim = written(rows.filter(~F.col("base_failed")).drop("_doc"), "statistics")
-    groups, fits = fit_groups(slim)
+    """The rows of documents that are kept, with all their columns.
+
+    Rows are written once with their statistics, so that no filter or join computes those again; the fit then reads
+    the statistics alone.
+    """
+    rows = text_statistics(documents.select(F.struct("*").alias("_doc"), "lang", "source", "text")).drop("text")
+    rows = written(rows, "statistics").withColumn("base_failed", base_failed())
+    groups, fits = fit_groups(rows.filter(~F.col("base_failed")).drop("_doc"))
     return _judged(rows, groups, fits, cutoff).filter("kept").select("_doc.*")
