@@ -23,8 +23,8 @@ MOST = 3
 BLOCK = 64
 SEED = 20
 #: A source is dealt into a shard for each SHARD_DOCS documents, up to MOST_SHARDS; a window lays out one shard.
-SHARD_DOCS = 20_000
-MOST_SHARDS = 1024
+SHARD_DOCS = 2_000
+MOST_SHARDS = 4096
 #: A prime above any number of blocks in a shard, so that j -> (PRIME * j + shift) mod m permutes them.
 PRIME = 2147483647
 
