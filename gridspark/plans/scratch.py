@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 20_000
 
 
+_kept: set[str] = set()
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; where it is unset (tests on one machine), a folder of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,7 +35,11 @@ def scratch_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the scratch folder and reads it again."""
     spark = df.sparkSession
-    path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark)
+    if folder not in _kept:
+        _kept.add(folder)
+        atexit.register(_clear_at_exit, spark)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -42,6 +50,12 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _clear_at_exit(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        if spark.sparkContext._jsc is not None:
+            clear_scratch(spark)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marks df for broadcast if its counted rows stay within the bound; df should be a written table."""
     return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
