@@ -168,7 +168,7 @@ def fit_groups(stats: DataFrame, lang: str = "lang", source: str = "source", h:
     scaled = [((F.col(n) - F.col(f"m_{i}")) / VECTOR[i][2]) ** 2 for i, n in enumerate(NAMES)]
     current = start.withColumn("distance2", sum(scaled[1:], scaled[0]))
     for _ in range(steps):
-        cut = current.join(_quantile(current, F.col("distance2"), h, "_cut"), GROUP)
+        cut = _with(current, written(_quantile(current, F.col("distance2"), h, "_cut"), "cuts"))
         core = cut.filter(F.floor(F.log1p("distance2") * BINS) <= F.col("_cut"))
         fits = written(_fit(core, _correction(h)), "fits")
         current = _with(rows, fits).withColumn("distance2", _distance(len(NAMES)))
