@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridspark.llm.common import written
+
 #: Bits of a hashed term.
 BITS = 20
 #: Labelled rows that are fitted at most, of each label, in order of a hash of doc_id: the bound of the sample.
@@ -46,8 +48,8 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             piece = batch.slice(at, 256)
-            made = [sorted({t for w in text_words(x) for t in word_terms(w)}) for x in piece.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([piece.column(0).cast(pa.int32()), pa.array(made, pa.list_(pa.int32()))], names=["label", "terms"])
+            made = [sorted({t for w in text_words(x) for t in word_terms(w)}) for x in piece.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1).cast(pa.int32()), pa.array(made, pa.list_(pa.int32()))], names=["key", "label", "terms"])
 
 
 def train(labels: np.ndarray, terms: list[np.ndarray], rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,15 +90,25 @@ def train(labels: np.ndarray, terms: list[np.ndarray], rate: float) -> tuple[np.
     return kept, np.append(params[1][: len(kept), 0], params[0][0]).astype(float), params[2][: len(kept)].astype(float)
 
 
-def fit(labelled: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fits on TRAIN_TOXIC and TRAIN_CLEAN rows at most, in one task; the shares of labels count all rows."""
-    rows = labelled.select(F.col(label).cast("int").alias("label"), F.xxhash64(key).alias("at"), F.col(text).alias("text")).filter("label in (0, 1)")
-    counts = {r.label: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fits on the texts of TRAIN_TOXIC and TRAIN_CLEAN keys at most, in one task; the shares of labels count all keys.
+
+    labels has one row per key. The keys are chosen first, so that texts travel for these alone; of several texts of a
+    key the one with the smallest terms counts.
+    """
+    ids = documents.select(F.col(key).alias("key")).distinct()
+    known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).filter("label in (0, 1)")
+    known = written(known.join(ids, "key", "left_semi").withColumn("at", F.xxhash64("key")), "labelled")
+    counts = {r.label: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     rate = counts.get(1, 0) / max(sum(counts.values()), 1)
-    both = [rows.filter(F.col("label") == k).orderBy("at", F.xxhash64("text")).limit(n) for k, n in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN))]
-    sample = both[0].unionByName(both[1]).select("label", "text").mapInArrow(_terms, "label int, terms array<int>")
+    both = [known.filter(F.col("label") == k).orderBy("at", "key").limit(n) for k, n in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN))]
+    chosen = F.broadcast(both[0].unionByName(both[1]).select("key", "label"))  # TRAIN_TOXIC + TRAIN_CLEAN rows at most
+    texts = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen, "key").select("key", "label", "text")
+    key_type = texts.schema["key"].dataType.simpleString()
+    sample = texts.mapInArrow(_terms, f"key {key_type}, label int, terms array<int>").groupBy("key", "label").agg(F.min("terms").alias("terms"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("key")
         kept, w, v = train(pdf["label"].to_numpy(float), [np.asarray(t, np.int32) for t in pdf["terms"]], rate)
         return pd.DataFrame({"kept": [kept.astype("<i8").tobytes()], "w": [w.astype("<f8").tobytes()], "v": [v.astype("<f8").tobytes()]})
 
@@ -150,5 +162,5 @@ def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     known = labels.select("doc_id", "toxic").filter(~held_out & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    model = fit(documents.select("doc_id", "text").join(known, "doc_id"))
+    model = fit(documents, known)
     return score(documents, model, [F.col("doc_id"), held_out.alias("held_out")])
