@@ -6,6 +6,9 @@
    source's seats to its shards by shard size.
 3. Selection: the documents of a shard lie in seeded order on a line cut into blocks. A quota of q seats over m blocks
    takes every block q // m times and, of the rest, the first q % m blocks of a seeded permutation once more.
+4. Rows: the shares of documents that are taken in part are added up along the shard in order of size; a document gets
+   one more copy where the sum passes a whole number. So the words of a shard's copies differ from those that it takes
+   by less than its longest document.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ SHARD_DOCS = 2_000
 MOST_SHARDS = 4096
 #: A prime above any number of blocks in a shard, so that j -> (PRIME * j + shift) mod m permutes them.
 PRIME = 2147483647
+#: Shares of documents are whole numbers of 1 / UNIT, so that sums of them are exact.
+UNIT = 2**32
 
 
 def share_targets(sizes: Mapping[object, int], weights: Mapping[object, float], most: float = MOST) -> dict[object, float]:
@@ -111,7 +116,7 @@ def _taken(rows: DataFrame, weights, most, block, seed, shard_docs, spark) -> Da
     chosen = lambda j: F.pmod(j * PRIME + shift, F.col("_blocks")) < F.col("_more")
     more = F.aggregate(touched, F.lit(0).cast("long"), lambda n, j: n + F.when(chosen(j), within(j)).otherwise(0))
     taken = F.when(F.col("size") > 0, F.col("_passes") * F.col("size") + more).otherwise(0).cast("long")
-    return laid.withColumn("taken", taken).drop("_key", "_shard", "_end", "_blocks", "_passes", "_more", "shards", "seats")
+    return laid.withColumn("taken", taken).drop("_end", "_blocks", "_passes", "_more", "shards", "seats")
 
 
 def mix_documents(documents: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST, block: int = BLOCK, seed: int = SEED, shard_docs: int = SHARD_DOCS) -> DataFrame:
@@ -126,8 +131,14 @@ def mix_documents(documents: DataFrame, weights: Sequence[float] = WEIGHTS, most
 
 
 def repeat_documents(documents: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST, block: int = BLOCK, seed: int = SEED, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """The mix itself: each row of documents as often as taken / size rounds to, with all its columns."""
+    """The mix itself: each row of documents taken / size times, rounded down or up so that each shard's words add up
+    to those it takes, with all its columns."""
     rows = documents.select(F.struct("*").alias("_doc"), "doc_id", "source", n_words(F.col("text")).alias("size"))
-    mixed = _taken(rows, weights, most, block, seed, shard_docs, documents.sparkSession).filter("2 * taken >= size and size > 0")
-    copies = F.sequence(F.lit(1), F.floor((F.col("taken") * 2 + F.col("size")) / (F.col("size") * 2)))
-    return mixed.select("_doc", F.explode(copies)).select("_doc.*")
+    mixed = _taken(rows, weights, most, block, seed, shard_docs, documents.sparkSession).filter("taken > 0")
+    whole, rest = F.expr("taken div size"), F.expr(f"taken % size * {UNIT}L div size")
+    line = Window.partitionBy("source", "_shard").orderBy("size", "_key", "doc_id", "taken").rowsBetween(Window.unboundedPreceding, 0)
+    offset = F.pmod(F.xxhash64(F.lit(seed + 1), "source", "_shard"), F.lit(UNIT))
+    passed = mixed.withColumn("_rest", rest).withColumn("_sum", F.sum("_rest").over(line) + offset)
+    more = F.expr(f"_sum div {UNIT}L - (_sum - _rest) div {UNIT}L")
+    copies = passed.withColumn("_copies", whole + more).filter("_copies > 0")
+    return copies.select("_doc", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select("_doc.*")

@@ -181,3 +181,24 @@ def test_mix(spark):
     assert all(abs(taken[s] - target[s]) <= 64 * 8 for s in target)
     assert mixing.repeat_documents(df).columns == df.columns
     assert mixing.mix_documents(df.limit(0)).count() == 0 and mixing.repeat_documents(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("shard_docs", [2000, 100])
+def test_copies_of_long_documents_hit_the_target(spark, shard_docs):
+    r = random.Random(12)
+    texts = [" ".join(["w"] * r.choice((30, 700, r.randint(400, 3000)))) for _ in range(600)]
+    names = ["a", "b", "c", "d"]
+    df = documents(spark, texts, lambda i: names[min(i % 8, 3)])
+    taken, target, sizes, emitted = collections.Counter(), {}, {}, collections.Counter()
+    for x in mixing.mix_documents(df, shard_docs=shard_docs).collect():
+        s = names[min(x.doc_id % 8, 3)]
+        taken[s] += x.taken
+        target[s], sizes[x.doc_id] = x.target, (x.size, x.taken)
+    copies = collections.Counter(x.doc_id for x in mixing.repeat_documents(df, shard_docs=shard_docs).collect())
+    for i, n in copies.items():
+        emitted[names[min(i % 8, 3)]] += n * sizes[i][0]
+    assert all(t // n <= copies[i] <= -(-t // n) for i, (n, t) in sizes.items())
+    for s, t in target.items():
+        shards = -(-sum(names[min(i % 8, 3)] == s for i in sizes) // shard_docs)
+        assert abs(emitted[s] - taken[s]) <= 3000 * shards, (s, emitted[s], taken[s])
+        assert abs(emitted[s] - t) <= 0.1 * t, (s, emitted[s], t)
