@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from gridspark.llm.common import BLANK_CHARS, BLANKS, let, small, words, written
 
-#: Share of each group's rows that the estimate rests on, and the number of concentration steps.
-H = 0.75
+#: Share of each group's rows that the estimate rests on, and the number of concentration steps. With half of the rows,
+#: copies of one text that hold less than the other half of a group don't move the estimate.
+H = 0.5
 STEPS = 3
 #: Groups with fewer rows are estimated together: by language, then all together.
 LEAST_ROWS = 100

@@ -96,6 +96,17 @@ def test_quality_statistics_and_verdicts(spark):
     assert quality.document_quality(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.3, 1 / 3, 0.4])
+def test_copies_of_a_junk_text_do_not_move_the_fit(spark, share):
+    r = random.Random(15)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9)))
+    clean = [" ".join(word() for _ in range(r.randint(60, 200))) for _ in range(300)]
+    junk = [" ".join(word() + "**" for _ in range(80))] * round(300 * share / (1 - share))
+    got = {x.doc_id: x for x in quality.document_quality(documents(spark, clean + junk)).collect()}
+    assert not any(x.base_failed for x in got.values())
+    assert [got[i].kept for i in range(len(got))] == [True] * len(clean) + [False] * len(junk)
+
+
 def test_consistency_factor():
     assert quality._correction(0.75) == pytest.approx(0.75 / 0.5046, rel=0.01)
     assert quality._correction(0.999999) == pytest.approx(1, rel=1e-3)
