@@ -6,7 +6,7 @@ valid card number. The permutation doesn't depend on the document, so that equal
 
 A number of a domain of A * B values is a pair (a, b); each round adds a keyed hash of one part to the other, modulo
 its size, which is a bijection for any A and B. Strings (mail addresses, secrets) use the same network over halves,
-letter by letter within the letter's class.
+letter by letter within the letter's class. Account parts of IBANs that hold letters do so too.
 """
 
 from __future__ import annotations
@@ -21,13 +21,20 @@ ROUNDS = 8
 KEY = "change-me"
 #: What a candidate looks like, in the order in which they are tried.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-SECRET = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?i:password|passwd|secret|api_key|apikey|token)\s?[=:]\s?[\"']?(?=[A-Za-z0-9_\-]*[0-9])[A-Za-z0-9_\-]{8,}"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){3,6}(?: ?[0-9]{1,3})?(?![A-Za-z0-9])"
+SECRET = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?i:password|passwd|secret|api_key|apikey|token)\s?[=:]\s?[\"']?[A-Za-z0-9_\-]{8,}|(?<![A-Za-z0-9])(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,64}(?![A-Za-z0-9])"
+#: Length of the account part of each country's IBAN: figures and letters after the check digits.
+IBAN_LENGTHS = {
+    11: "NO", 12: "BE", 14: "DK FI FK FO GL NL SD", 15: "MK SI", 16: "AT BA EE KZ LT LU MN XK", 17: "CH HR LI LV", 18: "BG BH CR DE GB GE IE ME RS VA", 19: "AE GI IL IQ OM SO TL",
+    20: "AD CZ ES MD PK RO SA SE SK TN VG", 21: "LY PT ST", 22: "IS TR", 23: "BI DJ FR GR IT MC MR SM", 24: "AL AZ BY CY DO GT HN HU LB NI PL SV", 25: "BR EG PS QA UA", 26: "JO KW MU YE", 27: "MT SC", 28: "LC", 29: "RU",
+}
+#: By country; figures in groups of four for any other one.
+IBAN = "(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:[ -]?[0-9A-Z]){{{n}}}" for n, c in IBAN_LENGTHS.items()) + "|[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){3,6}(?: ?[0-9]{1,3})?)(?![A-Za-z0-9])"
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
-DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})(?![0-9]|[./-][0-9])"
+DATE = "(?<![0-9./-])(?:" + "|".join(f"[0-9]{{4}}{c}[0-9]{{1,2}}{c}[0-9]{{1,2}}|[0-9]{{1,2}}{c}[0-9]{{1,2}}{c}[0-9]{{4}}" for c in ("-", "/", "[.]")) + ")(?![0-9]|[./-][0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,5}\)?){2,5}(?![0-9])"
-CARD = r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}(?: [0-9]{3})?|[0-9]{4}(?:-[0-9]{4}){3}(?:-[0-9]{3})?|3[47][0-9]{2} [0-9]{6} [0-9]{5}|3[47][0-9]{2}-[0-9]{6}-[0-9]{5})(?![0-9])"
+#: Groups as cards have them; four figures before or up to three after 16 may be another number (a year, a code).
+CARD = r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){4}(?![ -]?[0-9])|[0-9]{4}(?:[ -]?[0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{4,5}|[0-9]{4}(?:[ -][0-9]{3}){3}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{5}|[0-9]{6}[ -][0-9]{13}|[0-9]{8}[ -][0-9]{8})(?![0-9])"
 PATTERN = "|".join([EMAIL, SECRET, IBAN, IPV4, DATE, SSN, CARD, PHONE])
 
 
@@ -69,12 +76,13 @@ def permute_digits(d: Column, tag: str, key: str) -> Column:
 
 def permute_letters(s: Column, tag: str, key: str) -> Column:
     """Keyed bijection on strings that keeps length and each character's class: 0-9, a-z, A-Z; others stay. Strings
-    of hexadecimal digits in lower case stay such strings."""
-    hexadecimal = s.rlike("^[0-9a-f]+$") & s.rlike("[a-f]")
+    of hexadecimal digits in lower case, and long ones in upper case, stay such strings."""
+    upper = s.rlike("^[0-9A-F]{32,}$") & s.rlike("[A-F]")
+    hexadecimal = upper | (s.rlike("^[0-9a-f]+$") & s.rlike("[a-f]"))
 
     def shift(c: Column, k: Column) -> Column:
-        figure = F.lower(F.conv(F.pmod(F.conv(c, 16, 10).cast("int") + k, F.lit(16)).cast("string"), 10, 16))
-        return F.when(hexadecimal, figure).otherwise(by_class(c, k))
+        figure = F.conv(F.pmod(F.conv(c, 16, 10).cast("int") + k, F.lit(16)).cast("string"), 10, 16)
+        return F.when(hexadecimal, F.when(upper, figure).otherwise(F.lower(figure))).otherwise(by_class(c, k))
 
     def by_class(c: Column, k: Column) -> Column:
         code = F.ascii(c)
@@ -99,9 +107,9 @@ def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
 
-def _laid(m: Column, digits: Column) -> Column:
-    """m with its digits replaced by the given ones, in order."""
-    step = lambda s, c: F.when(c.rlike("^[0-9]$"), F.struct(F.concat(s["o"], F.substring(s["d"], 1, 1)).alias("o"), F.substring(s["d"], 2, 64).alias("d"))).otherwise(F.struct(F.concat(s["o"], c).alias("o"), s["d"].alias("d")))
+def _laid(m: Column, digits: Column, kind: str = "^[0-9]$") -> Column:
+    """m with its digits (characters of a kind) replaced by the given ones, in order."""
+    step = lambda s, c: F.when(c.rlike(kind), F.struct(F.concat(s["o"], F.substring(s["d"], 1, 1)).alias("o"), F.substring(s["d"], 2, 64).alias("d"))).otherwise(F.struct(F.concat(s["o"], c).alias("o"), s["d"].alias("d")))
     return F.aggregate(F.split(m, ""), F.struct(F.lit("").alias("o"), digits.alias("d")), step, lambda s: s["o"])
 
 
@@ -117,15 +125,26 @@ def luhn_sum(d: Column) -> Column:
 
 
 def card(m: Column, key: str) -> Column:
-    """A card number that passes Luhn: first digit, length and grouping stay, the check digit is made right."""
-    d = _digits(m)
+    """A card number that passes Luhn: first digit, length and grouping stay, the check digit is made right. Of
+    groups that don't pass as a whole, those without a short last one, then the last four, are tried."""
+    valid = lambda part: F.length(_digits(part)).between(13, 19) & (luhn_sum(_digits(part)) % 10 == 0)
+    front, back = F.regexp_extract(m, "^(.{16,19})[ -][0-9]{1,4}$", 1), F.regexp_extract(m, "^[0-9]{4}[ -](.{19})$", 1)
+    part = F.coalesce(F.when(valid(m), m), F.when((F.length(_digits(front)) == 16) & valid(front), front), F.when(valid(back), back))
 
+    def new(part: Column) -> Column:
+        at = F.call_function("instr", m, part)
+        return F.concat(F.substring(m, F.lit(1), at - 1), _card(part, key), F.substring(m, at + F.length(part), F.length(m)))
+
+    return _bind(part, lambda p: F.when(p.isNotNull(), new(p)))
+
+
+def _card(m: Column, key: str) -> Column:
     def new(d: Column) -> Column:
         body = F.concat(F.substring(d, 1, 1), permute_digits(F.substring(d, F.lit(2), F.length(d) - 2), "card", key))
         check = F.pmod(-luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
         return _laid(m, F.concat(body, check))
 
-    return F.when(luhn_sum(d) % 10 == 0, _bind(d, new))
+    return _bind(_digits(m), new)
 
 
 def ipv4(m: Column, key: str) -> Column:
@@ -141,7 +160,7 @@ def ipv4(m: Column, key: str) -> Column:
 
 def date(m: Column, key: str) -> Column:
     """A calendar date from 1900 to 2099 becomes another one of its century in the same notation."""
-    iso = m.rlike("^[0-9]{4}-")
+    iso = m.rlike("^[0-9]{4}")
     parts = F.split(m, "[./-]")
     day_first = parts[1].cast("int") <= 12
     y = F.when(iso, parts[0]).otherwise(parts[2]).cast("int")
@@ -155,7 +174,8 @@ def date(m: Column, key: str) -> Column:
     def shown(v: Column) -> Column:
         size = lambda p: F.when(F.length(p) == 2, 2).otherwise(1)
         dd, mm, yy = F.date_format(v, "dd"), F.date_format(v, "MM"), F.date_format(v, "yyyy")
-        return F.when(iso, F.concat_ws("-", yy, mm, dd)).otherwise(_kept_width(m, parts, day_first, dd, mm, yy, size))
+        mark = F.regexp_extract(m, "[./-]", 0)
+        return F.when(iso, F.concat(yy, mark, mm, mark, dd)).otherwise(_kept_width(m, parts, day_first, dd, mm, yy, size))
 
     new = F.when(y.between(1900, 1999), moved("1900-01-01", 92, 397)).when(y.between(2000, 2099), moved("2000-01-01", 75, 487))
     return F.when(day.isNotNull() & y.between(1900, 2099), _bind(new, shown))
@@ -163,7 +183,7 @@ def date(m: Column, key: str) -> Column:
 
 def _kept_width(m, parts, day_first, dd, mm, yy, size) -> Column:
     """d.m.yyyy or m/d/yyyy; the figures of day and month are two, which every date can have."""
-    mark = F.regexp_extract(m, "[./]", 0)
+    mark = F.regexp_extract(m, "[./-]", 0)
     return F.when(day_first, F.concat(dd, mark, mm, mark, yy)).otherwise(F.concat(mm, mark, dd, mark, yy))
 
 
@@ -199,19 +219,22 @@ def phone(m: Column, key: str) -> Column:
 
 
 def iban(m: Column, key: str) -> Column:
-    """Country, length and grouping stay, the last 16 digits are permuted, the check digits are made right."""
-    plain = F.replace(m, F.lit(" "), F.lit(""))
-    country = F.substring(plain, 1, 2)
-    numbers = F.concat((F.ascii(country) - 55).cast("string"), (F.ascii(F.substring(country, 2, 1)) - 55).cast("string"))
-    rest = F.substring(plain, 5, 40)
-    mod = lambda digits: (digits.cast("decimal(38,0)") % 97).cast("int")
-
-    def new(p: Column) -> Column:
-        made = F.concat(F.substring(rest, F.lit(1), F.length(rest) - 16), permute_digits(F.substring(rest, -16, 16), "iban", key))
-        return _bind(made, lambda b: F.concat(country, _laid(F.substring(m, 3, 60), F.concat(F.lpad((98 - mod(F.concat(b, numbers, F.lit("00")))).cast("string"), 2, "0"), b))))
-
-    fits = F.length(rest).between(16, 30)
-    return F.when(fits, F.when(mod(F.concat(rest, numbers, F.substring(plain, 3, 2))) == 1, _bind(plain, new)))
+    """Country, length and grouping stay, the check digits are made right. The last 16 of an account part of figures are
+    permuted; one with letters is permuted as a whole, each character within its class."""
+    plain = F.regexp_replace(m, "[ -]", "")
+    country, rest = F.substring(plain, 1, 2), F.substring(plain, 5, 40)
+
+    def mod(text: Column) -> Column:
+        """The number modulo 97, letters as 10 to 35."""
+        step = lambda n, c: F.pmod(n * F.when(c.rlike("[0-9]"), 10).otherwise(100) + F.conv(c, 36, 10).cast("int"), F.lit(97))
+        return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), step)
+
+    def new(rest: Column) -> Column:
+        figures = F.concat(F.substring(rest, F.lit(1), F.length(rest) - 16), permute_digits(F.substring(rest, -16, 16), "iban", key))
+        made = F.when(rest.rlike("[A-Z]"), permute_letters(rest, "iban", key)).otherwise(figures)
+        return _bind(made, lambda b: F.concat(country, _laid(F.substring(m, 3, 80), F.concat(F.lpad((98 - mod(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b), "^[0-9A-Z]$")))
+
+    return F.when(F.length(rest).between(11, 30), F.when(mod(F.concat(rest, F.substring(plain, 1, 4))) == 1, _bind(rest, new)))
 
 
 def email(m: Column, key: str) -> Column:

@@ -144,6 +144,33 @@ def test_pii_keeps_formats_and_links(spark):
     assert pii.pseudonymise(df).columns == df.columns and pii.pseudonymise_documents(df.limit(0)).count() == 0
 
 
+def test_pii_takes_every_notation_that_validates(spark):
+    ibans = ["GB82 WEST 1234 5698 7654 32", "NL91ABNA0417164300", "FR14 2004 1010 0505 0001 3M02 606", "IT60X0542811101000000123456", "IE29AIBK93115212345678", "MT84MALT011000012345MTLCAST001S", "NO9386011117947", "BE68539007547034"]
+    dates = ["1985/03/12", "1985.03.12", "12-03-1985", "2001-1-5"]
+    cards = ["3056 930902 5904", "4111 1111-1111 1111", "4222 222 222 222", "378282246310005"]
+    secrets = ["9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "D41D8CD98F00B204E9800998ECF8427E"]
+    left = ["GB83WEST12345698765432", "1985/13/12", "4111 1111-1111 1112", "0" * 32, "f" * 32]
+    values = ibans + dates + cards + secrets + left
+    texts = [f"see {v} AND more" for v in values]
+    texts += ["password: correcthorse", "4111 1111 1111 1111 123", "2024 4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332 BANK OF NL91 ABNA 0417 1643 00 NOW"]
+    got = [x.text for x in sorted(pii.pseudonymise_documents(documents(spark, texts)).collect(), key=lambda x: x.doc_id)]
+    n = len(values)
+    new = [t[4:-9] for t in got[:n]]
+    shape = lambda t: re.sub("[A-Z]", "A", re.sub("[0-9]", "9", t))
+    for old, v in zip(values, new):
+        assert (v == old) == (old in left), (old, v)
+        assert old in secrets + ["2001-1-5"] or shape(old[4:]) == shape(v[4:]), (old, v)
+    for old, v in zip(ibans, new):
+        plain = v.replace(" ", "")
+        assert v[:2] == old[:2] and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    assert all(luhn(re.sub("[ -]", "", v)) for v in new[12:16])
+    assert re.fullmatch("[0-9a-f]{40}", new[16]) and re.fullmatch("[0-9A-F]{32}", new[17])
+    assert re.fullmatch("password: [a-z]{12}", got[n]) and got[n] != texts[n]
+    assert luhn(got[n + 1].replace(" ", "")[:16]) and got[n + 1].endswith(" 123") and got[n + 1] != texts[n + 1]
+    assert got[n + 2].startswith("2024 4") and luhn(got[n + 2].replace(" ", "")[4:]) and got[n + 2] != texts[n + 2]
+    assert "2100 0418" not in got[n + 3] and "ABNA" not in got[n + 3] and " BANK OF NL" in got[n + 3] and got[n + 3].endswith(" NOW")
+
+
 def test_number_permutation_is_a_bijection(spark):
     from pyspark.sql import functions as F
 
