@@ -3,7 +3,8 @@
 A page becomes text nodes with their root-to-leaf tag paths. Per path, text length and punctuation are averaged over
 the path's nodes; both ratios are smoothed along the page, multiplied, and paths whose mean reaches a share of the
 page's spread are content. The smallest element around the content is the article: its blocks are kept whole, short
-ones too, except for elements that never hold article text.
+ones too, except for elements that never hold article text. Elements whose names mark them as something else are left
+out, unless they hold the main article element or, where none has weight, half of the page's fused ratio.
 """
 
 from __future__ import annotations
@@ -27,14 +28,19 @@ BLOCK = {
 }
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "table", "dl", "article", "section", "div", "td", "body", "main"}
-#: Elements, and words of class, id and role, that mark what isn't the article.
-OUTSIDE = {"head", "nav", "footer", "aside", "form", "button", "select", "svg", "canvas", "object", "menu", "dialog", "label", "audio", "video"} | RAW
+#: Elements, and words of class, id and role, that mark what isn't the article. A form or a word rules out an element
+#: only if the page's ratios don't speak against it.
+OUTSIDE = {"head", "nav", "footer", "aside", "button", "select", "svg", "canvas", "object", "menu", "dialog", "label", "audio", "video"} | RAW
 MARKS = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "nav", "navbar", "navigation", "menu", "menubar", "sidebar", "sidenav", "side", "breadcrumb", "breadcrumbs",
     "footer", "foot", "comment", "comments", "commentlist", "disqus", "respond", "reply", "replies", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription",
     "signup", "login", "share", "sharing", "social", "related", "recommended", "widget", "toolbar", "pagination", "pager", "skip", "search", "complementary", "contentinfo", "dialog", "form", "hidden", "masthead", "topbar", "outbrain", "taboola",
 }
 TOP_MARKS = {"header", "head", "top"}
+#: First words of names that say what an element has or lacks, not what it is.
+ABOUT = {"has", "have", "is", "no", "not", "non", "with", "without", "show", "hide"}
+#: Share of the page's fused ratio that makes an element its bulk, and that gives an article element weight.
+BULK, WEIGHT = 0.5, 0.25
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、؟¿¡]")
@@ -45,32 +51,39 @@ COVER = 0.9
 
 
 class _Element:
-    __slots__ = ("tag", "path", "outside", "parent", "inside", "depth")
+    __slots__ = ("tag", "path", "outside", "parent", "inside", "depth", "marked")
 
-    def __init__(self, tag: str, path: str, outside: bool, parent: _Element | None, inside: bool):
-        self.tag, self.path, self.outside, self.parent, self.inside = tag, path, outside, parent, inside
+    def __init__(self, tag: str, path: str, outside: bool, parent: _Element | None, inside: bool, marked: bool = False):
+        self.tag, self.path, self.outside, self.parent, self.inside, self.marked = tag, path, outside, parent, inside, marked
         self.depth = parent.depth + 1 if parent else 0
 
 
-def _marks(raw: str) -> tuple[set[str], bool]:
-    words, hidden = set(), False
+def _marks(raw: str) -> tuple[set[str], set[str], bool]:
+    """All words of class, id and role; the first and last word of each name, which say what the element is; hidden."""
+    words, heads, hidden = set(), set(), False
     for name, a, b, c in ATTRIBUTE.findall(raw):
         name = name.lower()
         if name in ("class", "id", "role"):
-            words.update(re.findall(r"[a-z]+|\d+", re.sub(r"([a-z])([A-Z])", r"\1 \2", a or b or c).lower()))
+            for one in (a or b or c).split():
+                parts = re.findall(r"[a-z]+|\d+", re.sub(r"([a-z])([A-Z])", r"\1 \2", one).lower())
+                words.update(parts)
+                named = [x for x in parts if not x.isdigit()]
+                if named and named[0] not in ABOUT:
+                    heads |= {named[0], named[-1]}
         elif name == "hidden" or (name == "aria-hidden" and (a or b or c) == "true") or (name == "style" and re.search(r"display\s*:\s*none", a or b or c)):
             hidden = True
-    return words, hidden
+    return words, heads, hidden
 
 
 def _opened(tag: str, raw: str, parent: _Element) -> _Element:
-    words, hidden = _marks(raw) if raw else (set(), False)
+    words, heads, hidden = _marks(raw) if raw else (set(), set(), False)
     inside = parent.inside or tag in ("article", "main")
-    outside = parent.outside or hidden or tag in OUTSIDE or (tag not in ("html", "body", "main") and bool(words & MARKS))
-    if not inside and (tag == "header" or (words & TOP_MARKS and tag not in ("html", "body", "h1", "h2") and not words & {"article", "entry", "post", "content", "story"})):
-        outside = True
+    outside = parent.outside or hidden or tag in OUTSIDE or (not inside and tag == "header")
+    marked = tag == "form" or (tag not in ("html", "body", "main") and bool(heads & MARKS))
+    if not inside and heads & TOP_MARKS and tag not in ("html", "body", "h1", "h2") and not words & {"article", "entry", "post", "content", "story"}:
+        marked = True
     name = tag + "".join(f".{w}" for w in sorted(words)[:4] if not w.isdigit())
-    return _Element(tag, f"{parent.path}/{name}", outside, parent, inside)
+    return _Element(tag, f"{parent.path}/{name}", outside, parent, inside, marked)
 
 
 def text_nodes(page: str) -> list[tuple[_Element, _Element, int, str]]:
@@ -126,16 +139,14 @@ def text_nodes(page: str) -> list[tuple[_Element, _Element, int, str]]:
     return out
 
 
-def content_paths(nodes: list[tuple[str, str]]) -> set[str]:
-    """Paths that are content, of (path, text) nodes in page order."""
+def fused_ratios(nodes: list[tuple[str, str]]) -> list[float]:
+    """Smoothed ratios of text and of punctuation, multiplied, of (path, text) nodes in page order."""
     sums: dict[str, list[float]] = {}
     for path, text in nodes:
         s = sums.setdefault(path, [0, 0, 0])
         s[0] += len(text)
         s[1] += len(PUNCTUATION.findall(text))
         s[2] += 1
-    if not sums:
-        return set()
     long = [sums[p][0] / sums[p][2] for p, _ in nodes]
     marks = [(sums[p][1] + 1) / sums[p][2] for p, _ in nodes]
     kernel = [math.exp(-k * k / 2) for k in range(-WIDTH, WIDTH + 1)]
@@ -147,7 +158,14 @@ def content_paths(nodes: list[tuple[str, str]]) -> set[str]:
             out.append(sum(a * w for a, w in near) / sum(w for _, w in near))
         return out
 
-    fused = [a * b for a, b in zip(smooth(long), smooth(marks), strict=True)]
+    return [a * b for a, b in zip(smooth(long), smooth(marks), strict=True)]
+
+
+def content_paths(nodes: list[tuple[str, str]]) -> set[str]:
+    """Paths that are content, of (path, text) nodes in page order."""
+    if not nodes:
+        return set()
+    fused = fused_ratios(nodes)
     mean = sum(fused) / len(fused)
     spread = math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
     by: dict[str, list[float]] = {}
@@ -158,11 +176,40 @@ def content_paths(nodes: list[tuple[str, str]]) -> set[str]:
     return {p for p, x in means.items() if x >= least}
 
 
+def _ruled_out(nodes: list[tuple[_Element, str]]) -> set[_Element]:
+    """Marked elements, of the (element, text) nodes with text, that hold neither the main article nor the page's bulk."""
+    above: dict[_Element, list[_Element]] = {}
+    for e, _ in nodes:
+        if e not in above:
+            up = e
+            line = above[e] = []
+            while up is not None:
+                line.append(up)
+                up = up.parent
+    if not any(x.marked for line in above.values() for x in line):
+        return set()
+    sums: dict[_Element, float] = {}
+    for (e, _), x in zip(nodes, fused_ratios([(e.path, t) for e, t in nodes]), strict=True):
+        for up in above[e]:
+            sums[up] = sums.get(up, 0) + x
+    total = sum(x for e, x in sums.items() if e.parent is None)
+    main = max((e for e in sums if e.tag in ("article", "main") and not e.marked), key=lambda e: (sums[e], -e.depth), default=None)
+    if main is not None and sums[main] < WEIGHT * total:
+        main = None
+    holds = set()
+    while main is not None:
+        holds.add(main)
+        main = main.parent
+    return {e for e in sums if e.marked and e not in holds and (holds or sums[e] < BULK * total)}
+
+
 def main_text(page: str | None) -> str:
     """The page's article: blocks of single-spaced text, joined by two line feeds. Null and empty pages give ''."""
     if not page:
         return ""
     nodes = [(e, holder, block, html.unescape(text)) for e, holder, block, text in text_nodes(page) if not e.outside]
+    if out := _ruled_out([(e, text.strip()) for e, _, _, text in nodes if text.strip()]):
+        nodes = [n for n in nodes if not _below(n[0], out)]
     blocks: dict[int, list] = {}
     for e, holder, block, text in nodes:
         b = blocks.setdefault(block, [[], None, 0, 0])
@@ -198,6 +245,14 @@ def main_text(page: str | None) -> str:
     return "\n\n".join(out)
 
 
+def _below(e: _Element | None, out: set[_Element]) -> bool:
+    while e is not None:
+        if e in out:
+            return True
+        e = e.parent
+    return False
+
+
 def _menus(blocks: dict[int, list]) -> set[_Element]:
     """List items in lists whose whole text is links: menus inside the article."""
     lists: dict[_Element, list[int]] = {}

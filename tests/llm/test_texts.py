@@ -267,3 +267,12 @@ def test_main_text(spark, tags):
     assert sorted((x.page_id, x.text, x.n_chars) for x in got)[:2] == [(1, want, len(want))] * 2
     assert {x.page_id: x.text for x in got if x.page_id in (2, 3, 4)} == {2: "", 3: "", 4: "plain text only"}
     assert html_text.extract_pages(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("wrap", ["<div id=page class='has-sidebar'>%s</div>", "<div class='layout sidebar-right'>%s</div>", "<div class='content no-share'>%s</div>", "<form action=x>%s</form>"])
+@pytest.mark.parametrize("inner", ["<article>%s</article>", "<div class='text'>%s</div>"])
+def test_marked_wrappers_of_the_page_do_not_drop_the_article(wrap, inner):
+    paragraphs = [f"Paragraph {i} of the article, which is long; it has commas, and it ends." for i in range(6)]
+    noise = "<div class='site-footer'><p>Imprint, contact.</p></div><div class='related-posts'><article><p>A teaser, short.</p></article></div><div class='sidebar'><p>Side text, with marks, too.</p></div>"
+    page = "<html><body>" + wrap % (inner % "".join(f"<p>{p}</p>" for p in paragraphs) + noise) + "</body></html>"
+    assert html_text.main_text(page) == "\n\n".join(paragraphs)
