@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -108,8 +109,89 @@ def test_copies_of_a_junk_text_do_not_move_the_fit(spark, share):
 
 
 def test_consistency_factor():
-    assert quality._correction(0.75) == pytest.approx(0.75 / 0.5046, rel=0.01)
-    assert quality._correction(0.999999) == pytest.approx(1, rel=1e-3)
+    assert quality.correction(0.75) == pytest.approx(0.75 / 0.5046, rel=0.01)
+    assert quality.correction(0.999999) == pytest.approx(1, rel=1e-3)
+    assert quality.chi_squared_quantile(0.975, 4) == pytest.approx(11.143, abs=0.01) and 47 < quality.CUTOFF < 49
+
+
+def prose(r, n):
+    """Words of a small and a large vocabulary, so that distinct words go with the length, and some punctuation."""
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) + r.choice(["", "", "", "", ",", "."]) for _ in range(n)]
+    return [w if r.random() < 0.6 else f"w{int(r.paretovariate(0.7)) % 400}" for w in words]
+
+
+def brute_vectors(texts):
+    out = []
+    for t in texts:
+        w = t.split()
+        out.append((len(w), sum(map(len, w)), sum(unicodedata.category(c)[0] in "PS" for c in t), len(set(w))))
+    n, chars, marks, distinct = np.array(out, float).T
+    return n, np.sqrt((marks + 0.5) / chars), np.log(chars / n), np.log(distinct), np.log(n)
+
+
+def brute_distances(texts):
+    """Minimum covariance determinant as in the book: exact halves, 30 random starts, one reweighted step."""
+    n, marks, length, distinct, size = brute_vectors(texts)
+    one = np.array(sorted({t: i for i, t in enumerate(texts)}.values()))
+    centre = lambda v: np.sqrt(n) * (v - np.median(v[one]))
+    every = np.c_[centre(marks), centre(length), distinct, size]
+    x, rng, best = every[one], np.random.default_rng(3), None
+    distance = lambda m, c, v: np.einsum("ij,jk,ik->i", v - m, np.linalg.inv(c), v - m)
+    for _ in range(30):
+        core = rng.choice(len(x), 5, replace=False)
+        for _ in range(60):
+            m, c = x[core].mean(0), np.cov(x[core].T, bias=True) + 1e-9 * np.eye(4)
+            new = np.sort(np.argsort(distance(m, c, x), kind="stable")[: -(-len(x) // 2)])
+            if np.array_equal(new, core):
+                break
+            core = new
+        if best is None or np.linalg.det(c) < best[0]:
+            best = np.linalg.det(c), m, c * quality.correction(0.5)
+    inner = x[distance(*best[1:], x) <= quality.chi_squared_quantile(0.975, 4)]
+    return distance(inner.mean(0), np.cov(inner.T, bias=True) * quality.correction(0.975), every), every
+
+
+def test_verdicts_equal_a_plain_minimum_covariance_determinant(spark):
+    r = random.Random(31)
+    sizes = lambda: max(55, int(r.lognormvariate(5.3, 0.7)))
+    clean = [" ".join(prose(r, sizes())) for _ in range(420)]
+    marked = [" ".join(w + "***" for w in prose(r, sizes())) for _ in range(30)]
+    table = [" | ".join(prose(r, sizes())) for _ in range(30)]
+    poor = [" ".join(r.choice(prose(r, 60)) for _ in range(sizes() + 150)) for _ in range(15)]
+    mild = [" ".join(w + r.choice(["", "", "!"]) for w in prose(r, sizes())) for _ in range(40)]
+    near = [" ".join(["#tag#"] * (k % 30) + prose(r, 80)) for k in range(3, 90)]
+    texts = clean + marked + table + poor + mild + near
+    got = {x.doc_id: x for x in quality.document_quality(documents(spark, texts)).collect()}
+    want, vectors = brute_distances(texts)
+    judged = [i for i in got if not got[i].base_failed]
+    assert len(judged) > 500
+    assert all(got[i].kept == (want[i] <= quality.CUTOFF) or abs(want[i] / quality.CUTOFF - 1) < 0.1 for i in judged)
+    assert np.median([abs(got[i].distance2 / want[i] - 1) for i in judged]) < 0.1
+    assert all(got[i].kept for i in range(len(clean))) and not any(got[i].kept for i in range(len(clean), len(clean) + 60))
+    # the covariance decides: with one variance for each coordinate, as of all clean texts, other texts are kept
+    plain = (((vectors - vectors[: len(clean)].mean(0)) / vectors[: len(clean)].std(0)) ** 2).sum(1)
+    assert sum((plain[i] <= quality.CUTOFF) != got[i].kept for i in judged) >= 4
+
+
+def test_near_copies_of_junk_hold_a_third(spark):
+    r = random.Random(16)
+    clean = [" ".join(prose(r, r.randint(60, 400))) for _ in range(400)]
+    template = [w + "##" for w in prose(r, 90)]
+    junk = [" ".join(template[:80] + prose(r, 5 + i % 9)) for i in range(200)]
+    got = {x.doc_id: x.kept for x in quality.document_quality(documents(spark, clean + junk)).collect()}
+    assert [got[i] for i in range(600)] == [True] * 400 + [False] * 200
+
+
+def test_quality_of_odd_tables(spark):
+    r = random.Random(17)
+    rows = [(i if i % 7 else None, " ".join(prose(r, 80)), [None, "null", "", "en"][i % 4], [None, "a"][i % 2], "x", 1) for i in range(40)]
+    rows += rows[:5] + [(1, None, None, None, None, None), (2, "w " * 30_000, "en", "a", "y", 2), (3, " ".join(prose(r, 40_000)), "en", "a", "y", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _group string, distance2 int")
+    kept = quality.kept_documents(df)
+    assert kept.columns == df.columns and kept.count() >= 40
+    assert quality.document_quality(df).count() == len(rows)
+    alike = [" ".join(f"w{k}." for k in range(60))] * 300
+    assert quality.document_quality(documents(spark, alike)).filter("kept").count() == 300
 
 
 # --- personal data
