@@ -1,10 +1,11 @@
 """Main text of web pages by tag-path ratios.
 
-A page becomes text nodes with their root-to-leaf tag paths. Per path, text length and punctuation are averaged over
-the path's nodes; both ratios are smoothed along the page, multiplied, and paths whose mean reaches a share of the
-page's spread are content. The smallest element around the content is the article: its blocks are kept whole, short
-ones too, except for elements that never hold article text. Elements whose names mark them as something else are left
-out, unless they hold the main article element or, where none has weight, half of the page's fused ratio.
+A page becomes text nodes with their root-to-leaf tag paths, menus and adverts included. Per path, text length outside
+links and punctuation are averaged over the path's nodes; both ratios are smoothed along the page and multiplied. The
+names of elements weigh the product as a prior: it falls below elements that seldom hold an article and rises below
+article elements. Paths whose mean reaches a share of the page's spread are content. The smallest element around the
+content is the article; its blocks stay, short ones too, except for elements of little prior within it whose ratios
+stay below the threshold, and lists of nothing but links.
 """
 
 from __future__ import annotations
@@ -28,9 +29,10 @@ BLOCK = {
 }
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "table", "dl", "article", "section", "div", "td", "body", "main"}
-#: Elements, and words of class, id and role, that mark what isn't the article. A form or a word rules out an element
-#: only if the page's ratios don't speak against it.
-OUTSIDE = {"head", "nav", "footer", "aside", "button", "select", "svg", "canvas", "object", "menu", "dialog", "label", "audio", "video"} | RAW
+#: Elements whose text isn't shown as such, and elements that seldom hold an article.
+SILENT = {"head", "button", "select", "svg", "canvas", "object", "audio", "video"} | RAW
+SELDOM = {"nav", "footer", "aside", "menu", "dialog", "label", "form"}
+#: Words of class, id and role that an element of little prior starts or ends with.
 MARKS = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "nav", "navbar", "navigation", "menu", "menubar", "sidebar", "sidenav", "side", "breadcrumb", "breadcrumbs",
     "footer", "foot", "comment", "comments", "commentlist", "disqus", "respond", "reply", "replies", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription",
@@ -39,23 +41,38 @@ MARKS = {
 TOP_MARKS = {"header", "head", "top"}
 #: First words of names that say what an element has or lacks, not what it is.
 ABOUT = {"has", "have", "is", "no", "not", "non", "with", "without", "show", "hide"}
-#: Share of the page's fused ratio that makes an element its bulk, and that gives an article element weight.
-BULK, WEIGHT = 0.5, 0.25
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: The prior: factors of the ratio below a marked element, and below an article element.
+LITTLE, LIKELY = 1 / 32, 4.0
+#: What text within links counts for, as a share of its length.
+LINKED = 0.1
+#: Elements nest this deep at most, as in browsers: deeper ones are read as if they were not there.
+MOST_DEPTH = 512
+RAW_END = {tag: re.compile("</" + tag, re.I) for tag in sorted(RAW)}
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)""")
+#: Rest of a tag up to its end, quoted values whole.
+REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+ATTRIBUTE = re.compile(r"""([^\s"'=<>/]++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]++)))?""")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、؟¿¡]")
 #: Share of the spread of the fused ratio that a path must reach, and the half width of the smoothing.
 SHARE, WIDTH = 0.8, 2
 #: Part of the content's characters that the article element must hold.
 COVER = 0.9
+#: Elements that are part of an article's text and not the article.
+PARTS = {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "tr", "blockquote"}
 
 
 class _Element:
-    __slots__ = ("tag", "path", "outside", "parent", "inside", "depth", "marked")
+    __slots__ = ("tag", "path", "prior", "marked", "silent", "inside", "link", "parent", "depth", "holder", "weight", "kept")
 
-    def __init__(self, tag: str, path: str, outside: bool, parent: _Element | None, inside: bool, marked: bool = False):
-        self.tag, self.path, self.outside, self.parent, self.inside, self.marked = tag, path, outside, parent, inside, marked
-        self.depth = parent.depth + 1 if parent else 0
+    def __init__(self, tag: str, path: int, parent: _Element | None):
+        self.tag, self.path, self.parent = tag, path, parent
+        self.prior, self.marked, self.silent, self.inside, self.link, self.depth = 1.0, False, False, False, tag == "a", 0
+        self.holder: _Element = self
+        self.weight, self.kept = 0, True
+        if parent is not None:
+            self.prior, self.silent, self.inside, self.link = parent.prior, parent.silent, parent.inside, parent.link or tag == "a"
+            self.depth = parent.depth + 1
+            self.holder = self if tag in BLOCK else parent.holder
 
 
 def _marks(raw: str) -> tuple[set[str], set[str], bool]:
@@ -75,80 +92,94 @@ def _marks(raw: str) -> tuple[set[str], set[str], bool]:
     return words, heads, hidden
 
 
-def _opened(tag: str, raw: str, parent: _Element) -> _Element:
-    words, heads, hidden = _marks(raw) if raw else (set(), set(), False)
-    inside = parent.inside or tag in ("article", "main")
-    outside = parent.outside or hidden or tag in OUTSIDE or (not inside and tag == "header")
-    marked = tag == "form" or (tag not in ("html", "body", "main") and bool(heads & MARKS))
-    if not inside and heads & TOP_MARKS and tag not in ("html", "body", "h1", "h2") and not words & {"article", "entry", "post", "content", "story"}:
-        marked = True
-    name = tag + "".join(f".{w}" for w in sorted(words)[:4] if not w.isdigit())
-    return _Element(tag, f"{parent.path}/{name}", outside, parent, inside, marked)
-
-
-def text_nodes(page: str) -> list[tuple[_Element, _Element, int, str]]:
-    """(element, its nearest block element, number of the block, raw text) of each text node, in page order."""
-    root = _Element("", "", False, None, False)
-    stack, out, block, lower = [root], [], 0, None
-    at = 0
-    while m := TOKEN.match(page, at):
-        at = m.end()
-        end, tag, raw = m.group(1), m.group(2), m.group(3)
-        if tag is None:
-            text = m.group()
-            if text[:2] not in ("<!", "<?"):
-                holder = next((e for e in reversed(stack) if e.tag in BLOCK), root)
-                out.append((stack[-1], holder, block, text))
-            continue
-        tag = tag.lower()
-        if end:
+class _Page:
+    """Elements in order of their start, and the text nodes (element, number of the block, text) of a page."""
+
+    def __init__(self, page: str):
+        self.paths: dict[tuple[int, str], int] = {}
+        self.root = _Element("", 0, None)
+        self.elements = [self.root]
+        self.nodes: list[tuple[_Element, int, str]] = []
+        self._read(page)
+
+    def _open(self, tag: str, raw: str, parent: _Element) -> _Element:
+        words, heads, hidden = _marks(raw) if raw else (set(), set(), False)
+        name = tag + "".join(f".{w}" for w in sorted(words)[:4] if not w.isdigit())
+        e = _Element(tag, self.paths.setdefault((parent.path, name), len(self.paths) + 1), parent)
+        e.silent |= hidden or tag in SILENT
+        if tag in ("article", "main") and not e.inside:
+            e.inside, e.prior = True, e.prior * LIKELY
+        top = not e.inside and (tag == "header" or (heads & TOP_MARKS and tag not in ("h1", "h2") and not words & {"article", "entry", "post", "content", "story"}))
+        if tag not in ("html", "body", "main") and (tag in SELDOM or heads & MARKS or top):
+            e.marked, e.prior = True, e.prior * LITTLE
+        self.elements.append(e)
+        return e
+
+    def _read(self, page: str) -> None:
+        """One pass; what can't be a tag is text. A tag whose quotes never close ends at its first '>'."""
+        stack, block, at, quotes, last = [self.root], 0, 0, True, page.rfind(">")
+        while at < len(page):
+            start = page.find("<", at)
+            if start != at:
+                start = len(page) if start < 0 else start
+                self.nodes.append((stack[-1], block, page[at:start]))
+                at = start
+                continue
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                at = len(page) if end < 0 else end + 3
+                continue
+            m = TAG.match(page, at)
+            if at > last or (m is None and page[at + 1 : at + 2] not in ("!", "?", "/")):
+                self.nodes.append((stack[-1], block, "<"))
+                at += 1
+                continue
+            if m is None:
+                at = page.find(">", at) + 1
+                continue
+            rest = REST.match(page, m.end()) if quotes else None
+            quotes = rest is not None
+            end = rest.end() if rest else page.find(">", m.end()) + 1
+            raw, tag, at = page[m.end() : end - 1], m.group(2).lower(), end
+            if m.group(1):
+                block += tag in BLOCK
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == tag:
+                        del stack[i:]
+                        break
+                    if tag not in BLOCK and stack[i].tag in BLOCK:
+                        break
+                continue
+            if tag == "br" or tag == "hr":
+                self.nodes.append((stack[-1], block, " "))
             if tag in BLOCK:
                 block += 1
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag not in BLOCK and stack[i].tag in BLOCK:
-                    break
-            continue
-        if tag == "br" or tag == "hr":
-            out.append((stack[-1], root, block, " "))
-        if tag in BLOCK:
-            block += 1
-            shut = {"p"} | CLOSES.get(tag, set())
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in shut:
-                    del stack[i:]
-                    if tag not in CLOSES:
+                shut = {"p"} | CLOSES.get(tag, set())
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag in shut:
+                        del stack[i:]
+                        if tag not in CLOSES:
+                            break
+                    elif i < len(stack) and stack[i].tag in SCOPE:
                         break
-                elif i < len(stack) and stack[i].tag in SCOPE:
-                    break
-        if tag in VOID:
-            continue
-        if tag in RAW:
-            lower = page.lower() if lower is None else lower
-            stop = lower.find(f"</{tag}", at)
-            at = len(page) if stop < 0 else stop
-            if stop >= 0:
-                gone = page.find(">", stop)
+            if tag in RAW:
+                stop = RAW_END[tag].search(page, at)
+                gone = page.find(">", stop.end()) if stop else -1
                 at = len(page) if gone < 0 else gone + 1
-            continue
-        if raw.endswith("/") and tag not in BLOCK:
-            continue
-        stack.append(_opened(tag, raw, stack[-1]))
-    return out
+            elif tag not in VOID and not (raw.endswith("/") and tag not in BLOCK) and len(stack) < MOST_DEPTH:
+                stack.append(self._open(tag, raw, stack[-1]))
 
 
-def fused_ratios(nodes: list[tuple[str, str]]) -> list[float]:
-    """Smoothed ratios of text and of punctuation, multiplied, of (path, text) nodes in page order."""
-    sums: dict[str, list[float]] = {}
-    for path, text in nodes:
+def fused_ratios(nodes: list[tuple[int, str, float]]) -> list[float]:
+    """Smoothed ratios of text and of punctuation, multiplied, of (path, text, share that counts) nodes in page order."""
+    sums: dict[int, list[float]] = {}
+    for path, text, share in nodes:
         s = sums.setdefault(path, [0, 0, 0])
-        s[0] += len(text)
-        s[1] += len(PUNCTUATION.findall(text))
+        s[0] += len(text) * share
+        s[1] += len(PUNCTUATION.findall(text)) * share
         s[2] += 1
-    long = [sums[p][0] / sums[p][2] for p, _ in nodes]
-    marks = [(sums[p][1] + 1) / sums[p][2] for p, _ in nodes]
+    long = [sums[p][0] / sums[p][2] for p, _, _ in nodes]
+    marks = [(sums[p][1] + 1) / sums[p][2] for p, _, _ in nodes]
     kernel = [math.exp(-k * k / 2) for k in range(-WIDTH, WIDTH + 1)]
 
     def smooth(v: list[float]) -> list[float]:
@@ -161,100 +192,60 @@ def fused_ratios(nodes: list[tuple[str, str]]) -> list[float]:
     return [a * b for a, b in zip(smooth(long), smooth(marks), strict=True)]
 
 
-def content_paths(nodes: list[tuple[str, str]]) -> set[str]:
-    """Paths that are content, of (path, text) nodes in page order."""
+def content_paths(nodes: list[tuple[int, str, float, float]]) -> set[int]:
+    """Paths that are content, of (path, text, share that counts, prior) nodes in page order."""
     if not nodes:
         return set()
-    fused = fused_ratios(nodes)
+    fused = [x * prior for x, (_, _, _, prior) in zip(fused_ratios([n[:3] for n in nodes]), nodes, strict=True)]
     mean = sum(fused) / len(fused)
     spread = math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
-    by: dict[str, list[float]] = {}
-    for (p, _), x in zip(nodes, fused, strict=True):
+    by: dict[int, list[float]] = {}
+    for (p, _, _, _), x in zip(nodes, fused, strict=True):
         by.setdefault(p, []).append(x)
     means = {p: sum(x) / len(x) for p, x in by.items()}
     least = min(SHARE * spread, max(means.values()))
     return {p for p, x in means.items() if x >= least}
 
 
-def _ruled_out(nodes: list[tuple[_Element, str]]) -> set[_Element]:
-    """Marked elements, of the (element, text) nodes with text, that hold neither the main article nor the page's bulk."""
-    above: dict[_Element, list[_Element]] = {}
-    for e, _ in nodes:
-        if e not in above:
-            up = e
-            line = above[e] = []
-            while up is not None:
-                line.append(up)
-                up = up.parent
-    if not any(x.marked for line in above.values() for x in line):
-        return set()
-    sums: dict[_Element, float] = {}
-    for (e, _), x in zip(nodes, fused_ratios([(e.path, t) for e, t in nodes]), strict=True):
-        for up in above[e]:
-            sums[up] = sums.get(up, 0) + x
-    total = sum(x for e, x in sums.items() if e.parent is None)
-    main = max((e for e in sums if e.tag in ("article", "main") and not e.marked), key=lambda e: (sums[e], -e.depth), default=None)
-    if main is not None and sums[main] < WEIGHT * total:
-        main = None
-    holds = set()
-    while main is not None:
-        holds.add(main)
-        main = main.parent
-    return {e for e in sums if e.marked and e not in holds and (holds or sums[e] < BULK * total)}
-
-
 def main_text(page: str | None) -> str:
     """The page's article: blocks of single-spaced text, joined by two line feeds. Null and empty pages give ''."""
     if not page:
         return ""
-    nodes = [(e, holder, block, html.unescape(text)) for e, holder, block, text in text_nodes(page) if not e.outside]
-    if out := _ruled_out([(e, text.strip()) for e, _, _, text in nodes if text.strip()]):
-        nodes = [n for n in nodes if not _below(n[0], out)]
+    read = _Page(page)
+    nodes = [(e, block, html.unescape(text)) for e, block, text in read.nodes if not e.silent]
+    shown = [(e, block, text) for e, block, text in nodes if text.strip()]
+    good = content_paths([(e.path, text.strip(), LINKED if e.link else 1.0, e.prior) for e, _, text in shown])
+    chosen = [(e, block, text) for e, block, text in shown if e.path in good]
+    for e, _, text in chosen:
+        e.holder.weight += len(text)
+    for e in reversed(read.elements):
+        if e.parent is not None:
+            e.parent.weight += e.weight
+    article = max((e for e in read.elements if e.weight >= COVER * read.root.weight and e.tag not in PARTS), key=lambda e: e.depth)
+    # each element is outside the article, within it, or barred: within it, but below one of little prior
+    place: dict[_Element, str] = {}
+    for e in read.elements:
+        above = "outside" if e.parent is None else place[e.parent]
+        place[e] = "within" if e is article else "barred" if above == "within" and e.marked else above
+    with_content = {block for _, block, _ in chosen}
     blocks: dict[int, list] = {}
-    for e, holder, block, text in nodes:
-        b = blocks.setdefault(block, [[], None, 0, 0])
-        b[0].append(text)
-        if text.strip():
-            b[1] = b[1] or holder
-            size = len("".join(text.split()))
-            b[2] += size
-            link = e
-            while link is not None and link.tag != "a" and link is not holder:
-                link = link.parent
-            b[3] += size if link is not None and link.tag == "a" else 0
-    kept = {k: b for k, b in blocks.items() if b[1] is not None}
-    kept = {k: b for k, b in kept.items() if b[1] not in _menus(kept)} if any(b[3] for b in kept.values()) else kept
-    good = content_paths([(e.path, t.strip()) for e, _, k, t in nodes if t.strip() and k in kept])
-    weight: dict[_Element, int] = {}
-    total = 0
-    for e, holder, k, text in nodes:
-        if k in kept and text.strip() and e.path in good:
-            total += len(text)
-            while holder is not None:
-                weight[holder] = weight.get(holder, 0) + len(text)
-                holder = holder.parent
-    article = max((e for e, n in weight.items() if n >= COVER * total and e.tag not in ("p", "li", "h1", "h2", "h3", "td", "blockquote")), key=lambda e: e.depth, default=None)
-    chosen = {k for e, _, k, text in nodes if k in kept and text.strip() and e.path in good}
-    out = []
-    for k, b in sorted(kept.items()):
-        e = b[1]
-        while e is not None and e is not article:
-            e = e.parent
-        if k in chosen or (e is not None and e is article):
-            out.append(" ".join("".join(b[0]).split()))
-    return "\n\n".join(out)
-
-
-def _below(e: _Element | None, out: set[_Element]) -> bool:
-    while e is not None:
-        if e in out:
-            return True
-        e = e.parent
-    return False
+    for e, block, text in nodes:
+        if e.path in good or place[e] == "within" or (place[e] == "outside" and block in with_content):
+            b = blocks.setdefault(block, [[], None, 0, 0])
+            b[0].append(text)
+            if text.strip():
+                b[1] = b[1] or e.holder
+                size = len("".join(text.split()))
+                b[2] += size
+                b[3] += size if e.link else 0
+    kept = {k: b for k, b in sorted(blocks.items()) if b[1] is not None}
+    menus = _menus(kept) if any(b[3] for b in kept.values()) else set()
+    return "\n\n".join(" ".join("".join(b[0]).split()) for b in kept.values() if b[1] not in menus)
 
 
 def _menus(blocks: dict[int, list]) -> set[_Element]:
-    """List items in lists whose whole text is links: menus inside the article."""
+    """List items in lists whose whole text is links: menus inside the article. blocks holds the texts, the block element,
+    characters and those within links."""
     lists: dict[_Element, list[int]] = {}
     items: dict[_Element, set[_Element]] = {}
     for b in blocks.values():

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import unicodedata
 from collections import Counter
 
@@ -358,3 +359,51 @@ def test_marked_wrappers_of_the_page_do_not_drop_the_article(wrap, inner):
     noise = "<div class='site-footer'><p>Imprint, contact.</p></div><div class='related-posts'><article><p>A teaser, short.</p></article></div><div class='sidebar'><p>Side text, with marks, too.</p></div>"
     page = "<html><body>" + wrap % (inner % "".join(f"<p>{p}</p>" for p in paragraphs) + noise) + "</body></html>"
     assert html_text.main_text(page) == "\n\n".join(paragraphs)
+
+
+def made_page(r, i):
+    """A page and its article's blocks: paragraphs, headings, lists and quotes among menus, adverts, forms, notices, comments."""
+    line = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(n))
+    sentence = lambda: line(r.randint(5, 14)).capitalize() + r.choice(".?!")
+    paragraph = lambda: " ".join(sentence() + (" " + line(3) + "," if r.random() < 0.3 else "") for _ in range(r.randint(3, 7)))
+    blocks = [("h1", line(6))]
+    for _ in range(r.randint(5, 9)):
+        blocks.append((r.choice(["p", "p", "p", "p", "h2", "blockquote", "li"]), ""))
+    blocks = [(t, x or (line(4) if t == "h2" else sentence() if t == "li" else paragraph())) for t, x in blocks] + [("p", paragraph()), ("p", "Short.")]
+    body = "".join(f"<ul><li>{x}</li></ul>" if t == "li" else f"<{t}>{x}</{t}>" for t, x in blocks)
+    advert = r.choice(["<div class='ad'>%s</div>", "<aside>%s</aside>", "<div class='promo-box'><p>%s</p></div>", "<form><label>%s</label><input></form>"]) % sentence()
+    at = body.rfind("<p>", 0, len(body) - 20)
+    body = body[:at] + advert + body[at:]
+    menu = "<ul>" + "".join(f"<li><a href='/{k}'>{line(1)}</a></li>" for k in range(r.randint(3, 9))) + "</ul>"
+    wrap = [("<article>", "</article>"), ("<main>", "</main>"), ("<div class='post-body'>", "</div>"), ("<div id='c1'><section>", "</section></div>")][i % 4]
+    comments = "<section class='comments'>" + "".join(f"<div class='comment'><p>{sentence()} {sentence()}</p></div>" for _ in range(r.randint(0, 3))) + "</section>"
+    page = f"<html><head><title>{line(4)}</title><style>p{{}}</style></head><body><header><p>{sentence()}</p></header><nav>{menu}</nav><div class='{r.choice(['cookie-notice', 'x1'])}'>{sentence()}</div><script>if (a<b) c('</p>');</script>{wrap[0]}{body}{wrap[1]}{comments}<div class='sidebar'>{menu}<p>{sentence()}</p></div><footer>&copy; {sentence()} {sentence()}</footer></body></html>"
+    return page, "\n\n".join(x for _, x in blocks)
+
+
+def test_pages_of_known_text_and_what_decides(monkeypatch):
+    r = random.Random(21)
+    pages = [made_page(r, i) for i in range(200)]
+    right = lambda: sum(html_text.main_text(p) == want for p, want in pages)
+    assert right() >= 196
+    with monkeypatch.context() as m:  # without names the ratios still find most articles
+        m.setattr(html_text, "MARKS", set())
+        m.setattr(html_text, "TOP_MARKS", set())
+        assert right() >= 100
+    with monkeypatch.context() as m:  # without the ratios none
+        m.setattr(html_text, "content_paths", lambda nodes: {n[0] for n in nodes})
+        assert right() == 0
+
+
+@pytest.mark.parametrize(
+    "page", ["<p>a</p>" + '<a title="x ' * 20_000, "<b>x" * 50_000, "<!" * 90_000, "<i><div>" + "<b>x" * 9_000 + "</i>" * 9_000, "<p a" + " " * 200_000, '<p title="' * 20_000 + ">", "<ul>" + "<li><a>x</a>" * 20_000, "<" * 200_000, "&" * 200_000, "<script>" * 20_000]
+)
+def test_hostile_pages_take_linear_time(page):
+    start = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - start < 5
+
+
+def test_long_page_is_whole():
+    paragraphs = [f"Paragraph {i}, which goes on; and on." for i in range(20_000)]
+    assert html_text.main_text("<nav><a>x</a></nav><article>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</article>") == "\n\n".join(paragraphs)
