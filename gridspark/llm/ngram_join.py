@@ -1,17 +1,19 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
-1. Word n-grams become 64-bit hashes, a document the sorted set of them. How often n-grams occur is counted over all
-   documents in a fixed number of hash buckets; (count of the bucket, hash) is the rare-first order.
-2. Equal sets are one class; its representative alone takes part in the join.
-3. Two sets of at least the threshold share an n-gram of both prefixes. The prefix rows are dealt by n-gram, and each
-   row of a run (n-gram, length band) is a candidate with the run's first row: as many candidates as rows, whatever
-   the size of the group. Verified, they give first components.
-4. What remains are pairs of different components that share a prefix n-gram and pass the length and positional
-   filters: an equi-join, whose new pairs are verified too. Groups of near copies are one component by then, so that
-   they don't meet pair by pair.
+1. Word n-grams become 64-bit hashes, a document the sorted set of them. N-grams are counted over all documents; the
+   most frequent ones, whose counts are exact but for one in each stretch of COUNTED n-grams, come last in a set's order
+   (count, hash).
+2. Equal sets are one class, a node named by a digest; it takes part in the join once.
+3. Two sets of at least the threshold share an n-gram of both prefixes. The prefix rows are dealt by ranges of (n-gram,
+   length band, ...), and each row of a run (n-gram, length band) is a candidate with the run's first row: as many
+   candidates as rows, whatever the size of the group. Verified, they give first components.
+4. What remains are pairs of different components that share a prefix n-gram, are in neighbouring length bands and pass
+   the length and positional filters: an equi-join, whose new pairs are verified too. Groups of near copies are one
+   component by then, so that they don't meet pair by pair.
 5. A suffix filter bounds each candidate's overlap from the sizes of both sets in ranges of the hash: a byte for
    about eight n-grams, so that few sets travel. What it leaves is verified once per pair by intersection.
-Texts compare as sets of 64-bit hashes: two different n-grams of a pair pass as equal with probability 2 ** -64.
+Texts compare as sets of 64-bit hashes, sets by 64-bit digests: two different ones pass as equal with probability
+2 ** -64.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ from pyspark.sql import functions as F
 from gridspark.llm.common import small, written
 from gridspark.plans.components import connected_components
 
-#: Bits of a frequency bucket: 2 ** BUCKET_BITS counts are gathered and broadcast, whatever the input.
-BUCKET_BITS = 16
+#: Frequent n-grams whose counts are broadcast, at most: 16 bytes each. The bound touches the order alone, no result.
+FREQUENT = 1 << 20
+#: N-grams that a task counts at once; those that occur there once only are not passed on.
+COUNTED = 1 << 20
 #: Representatives whose ids are broadcast to fetch their texts; more of them are joined.
 FETCH_ROWS = 500_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -73,21 +77,47 @@ def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
-def _bucket_counts(texts: DataFrame, size: int) -> np.ndarray:
-    """Occurrences (documents per n-gram, summed) in each bucket, over all texts."""
+def _frequent(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the most frequent n-grams over all texts, FREQUENT at most, and in how many texts they are."""
+
+    def repeated(sets: list[np.ndarray]) -> pa.RecordBatch:
+        grams, n = np.unique(np.concatenate(sets), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(grams[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["gram", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(1 << BUCKET_BITS, np.int64)
+        sets, held = [], 0
         for piece in _pieces(batches):
-            sets = [shingles(t, size) for t in piece.column(0).to_pylist()]
-            sums += np.bincount(np.concatenate(sets) >> np.uint64(64 - BUCKET_BITS), minlength=1 << BUCKET_BITS)
-        found = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(sums[found])], names=["bucket", "n"])
-
-    got = texts.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << BUCKET_BITS, np.int64)
-    out[got["bucket"].to_numpy(int)] = got["n"]
-    return out
+            sets += [shingles(t, size) for t in piece.column(0).to_pylist()]
+            held += sum(map(len, sets[-piece.num_rows :]))
+            if held >= COUNTED:
+                yield repeated(sets)
+                sets, held = [], 0
+        if sets:
+            yield repeated(sets)
+
+    counts = written(texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "counts")
+    level = F.floor(F.log2("n") * 16).cast("int")
+    levels = counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()  # 16 to a doubling: under 1,000 rows
+    least, held = None, 0
+    for r in levels:
+        held += r["count"]
+        if held > FREQUENT:
+            break
+        least = r.level
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    got = counts.filter(level >= least).toPandas()
+    grams = got["gram"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(grams)
+    return grams[order], got["n"].to_numpy(np.int64)[order]
+
+
+def rare_first(s: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The sorted set s in the order (count, hash); n-grams that aren't among the frequent ones count 0."""
+    if not len(grams):
+        return s
+    at = np.minimum(np.searchsorted(grams, s), len(grams) - 1)
+    return s[np.argsort(np.where(grams[at] == s, counts[at], 0), kind="stable")]
 
 
 def range_sizes(s: np.ndarray) -> bytes:
@@ -111,25 +141,22 @@ def needed(n: int, m: int, percent: int) -> int:
 
 
 def _profiles(rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, id, n, two halves of the set's digest, its range sizes, and the prefix in rare-first order."""
-    counts = rows.sparkSession.sparkContext.broadcast(_bucket_counts(rows.select("text"), size))
+    """doc_id, id and copy of rows, the set's size n and digest node, its range sizes, and the prefix, rare first."""
+    frequent = rows.sparkSession.sparkContext.broadcast(_frequent(rows.select("text"), size))  # FREQUENT rows at most
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _pieces(batches):
-            n, high, low, ranges, prefixes = [], [], [], [], []
-            for text in piece.column(2).to_pylist():
+            n, node, ranges, prefixes = [], [], [], []
+            for text in piece.column(3).to_pylist():
                 s = shingles(text, size)
                 n.append(len(s))
-                digest = xxhash.xxh3_128_intdigest(s.tobytes())
-                high.append((digest >> 64) - (1 << 63))
-                low.append((digest & (1 << 64) - 1) - (1 << 63))
+                node.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
                 ranges.append(range_sizes(s))
-                order = np.lexsort((s, counts.value[s >> np.uint64(64 - BUCKET_BITS)]))
-                prefixes.append(s[order[: prefix_length(len(s), percent)]].view(np.int64) if len(s) else s.view(np.int64))
-            arrays = [piece.column(0), piece.column(1), pa.array(n, pa.int32()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(ranges, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "id", "n", "high", "low", "ranges", "prefix"])
+                prefixes.append(rare_first(s, *frequent.value)[: prefix_length(len(s), percent)].view(np.int64) if len(s) else s.view(np.int64))
+            arrays = [piece.column(0), piece.column(1), piece.column(2), pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array(ranges, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "id", "copy", "n", "node", "ranges", "prefix"])
 
-    return rows.mapInArrow(profile, "doc_id long, id long, n int, high long, low long, ranges binary, prefix array<long>")
+    return rows.mapInArrow(profile, "doc_id long, id long, copy long, n int, node long, ranges binary, prefix array<long>")
 
 
 RUNS = {"gram": pa.int64(), "band": pa.int32(), "pos": pa.int32(), "n": pa.int32(), "node": pa.int64()}
@@ -160,10 +187,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r), k) for r, k in zip(rows, types, strict=True)], names=names)
 
 
-def _suffix_filtered(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+def _suffix_filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that their range sizes don't rule out."""
-    sizes = profiles.select("id", "n", "ranges").dropDuplicates(["id"])
-    a, b = (sizes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("ranges").alias(f"r{c}")) for c in "ab")
+    a, b = (classes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("ranges").alias(f"r{c}")) for c in "ab")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _pieces(batches, 1024):
@@ -177,17 +203,18 @@ def _suffix_filtered(pairs: DataFrame, profiles: DataFrame, percent: int) -> Dat
     return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(keep, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets have 100 * intersection >= percent * union. One text of each class is read."""
     pairs = written(pairs, "candidates")
-    nodes = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
-    wanted = texts.join(small(nodes, FETCH_ROWS), "id", "left_semi").select("id", "text")
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    nodes = written(nodes.join(classes.select("node", "id", "copy"), "node"), "wanted")
+    wanted = texts.join(small(nodes, FETCH_ROWS), ["id", "copy"]).select("node", "text").dropDuplicates(["node"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _pieces(batches):
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([shingles(t, size).tobytes() for t in piece.column(1).to_pylist()], pa.binary())], names=["id", "grams"])
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([shingles(t, size).tobytes() for t in piece.column(1).to_pylist()], pa.binary())], names=["node", "grams"])
 
-    grams = written(wanted.mapInArrow(sets, "id long, grams binary"), "grams")
+    grams = written(wanted.mapInArrow(sets, "node long, grams binary"), "grams")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _pieces(batches):
@@ -199,53 +226,86 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([piece.column(0).filter(keep), piece.column(1).filter(keep)], names=["a", "b"])
 
-    a, b = grams.select(F.col("id").alias("a"), F.col("grams").alias("x")), grams.select(F.col("id").alias("b"), F.col("grams").alias("y"))
+    a, b = grams.select(F.col("node").alias("a"), F.col("grams").alias("x")), grams.select(F.col("node").alias("b"), F.col("grams").alias("y"))
     links = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
     return written(links.distinct(), "links")
 
 
-def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of all documents; component_id is the smallest doc_id reachable by links.
-
-    Two documents link when 100 * intersection >= percent * union of their n-gram sets. Null and wordless texts have
-    no n-gram and link with nothing: their component is their own doc_id. Rows that share a doc_id count as linked,
-    a null doc_id as if it were a hash of its text.
-    """
+def _linked(rows: DataFrame, size: int, percent: int, link_ids: bool) -> tuple[DataFrame, DataFrame]:
+    """Written tables: the profiles of rows (doc_id, id, copy, text), and (node, label) of all sets with n-grams, where
+    sets of a component share a label. With link_ids, sets of rows with equal ids link too."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
-    texts = documents.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("id"), "text")
-    profiles = written(_profiles(texts, size, percent), "profiles")
+    texts = rows.select("id", "copy", "text")
+    profiles = written(_profiles(rows.select("doc_id", "id", "copy", "text"), size, percent), "profiles")
     full = profiles.filter("n > 0")
-    classes = written(full.groupBy("high", "low").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies")), "classes")
-    chosen = full.join(classes.select(F.col("node").alias("id"), "high", "low"), ["id", "high", "low"], "left_semi").dropDuplicates(["id", "high", "low"])
+    one = F.min(F.struct("id", "copy")).alias("one")  # what else a class needs is the same in all its rows
+    classes = full.groupBy("node").agg(one, *[F.first(c).alias(c) for c in ("n", "ranges", "prefix")])
+    classes = written(classes.select("node", "one.*", "n", "ranges", "prefix"), "classes")
     band = F.floor(F.log("n") / F.lit(math.log(100 / percent) if percent < 100 else 1.0)).cast("int").alias("band")
-    grams = chosen.select(F.posexplode("prefix").alias("pos", "gram"), band, "n", F.col("id").alias("node")).select("gram", "band", "pos", "n", "node")
-    dealt = grams.repartition("gram").sortWithinPartitions("gram", "band", "pos", "n", "node")
+    grams = classes.select(F.posexplode("prefix").alias("pos", "gram"), band, "n", "node").select("gram", "band", "pos", "n", "node")
+    order = ["gram", "band", "pos", "n", "node"]
+    dealt = grams.repartitionByRange(*order).sortWithinPartitions(*order)
     runs = written(dealt.mapInArrow(_runs, "gram long, band int, pos int, n int, node long, a_pos int, a_n int, a_node long"), "runs")
     # candidates with anchors, then first components
     fits = lambda n, pos, m, at: F.least(n - pos, m - at) >= overlap_needed(n, m, percent)
     near = runs.filter((F.col("node") != F.col("a_node")) & fits(F.col("n"), F.col("pos"), F.col("a_n"), F.col("a_pos")))
     tried = written(near.select(F.least("node", "a_node").alias("a"), F.greatest("node", "a_node").alias("b")).distinct(), "tried")
-    links = _verified(_suffix_filtered(tried, full, percent), texts, size, percent)
+    links = _verified(_suffix_filtered(tried, classes, percent), classes, texts, size, percent)
     labels = connected_components(links, written)
-    # the join proper: pairs across components that share a prefix n-gram
-    rows = runs.select("gram", "pos", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rows = written(rows, "labelled")
-    mixed = rows.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    x = written(rows.join(mixed.select("gram"), "gram", "left_semi"), "mixed")
-    y = x.select("gram", *[F.col(c).alias(f"b_{c}") for c in ("pos", "n", "node", "label")])
-    across = (F.col("node") < F.col("b_node")) & (F.col("label") != F.col("b_label"))
-    pairs = x.join(y, (x["gram"] == y["gram"]) & across & fits(F.col("n"), F.col("pos"), F.col("b_n"), F.col("b_pos")))
-    pairs = pairs.select(F.col("node").alias("a"), F.col("b_node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = _verified(_suffix_filtered(pairs, full, percent), texts, size, percent)
+    # the join proper: pairs across components that share a prefix n-gram, in the same length band or the next
+    found = written(grams.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    mixed = found.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    x = written(found.join(mixed.select("gram"), "gram", "left_semi"), "mixed")
+    y = x.select("gram", F.col("band").alias("b_band"), *[F.col(c).alias(f"b_{c}") for c in ("pos", "n", "node", "label")], F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
+    once = (F.col("b_band") != F.col("band")) | (F.col("node") < F.col("b_node"))
+    across = x.join(y, ["gram", "band"]).filter(once & (F.col("label") != F.col("b_label")) & fits(F.col("n"), F.col("pos"), F.col("b_n"), F.col("b_pos")))
+    pairs = across.select(F.least("node", "b_node").alias("a"), F.greatest("node", "b_node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    more = _verified(_suffix_filtered(pairs, classes, percent), classes, texts, size, percent)
+    if link_ids:
+        ids = full.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("high")).filter("a <> high").select("id", "a")
+        more = written(more.unionByName(full.join(ids, "id").select("a", F.col("node").alias("b")).filter("a <> b").distinct()), "links")
+    nodes = classes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     if not more.isEmpty():
-        of = lambda c: F.coalesce(F.col(c), F.col(c[0]))
-        la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("a_label")), labels.select(F.col("node").alias("b"), F.col("label").alias("b_label"))
-        merged = more.join(la, "a", "left").join(lb, "b", "left").select(of("a_label").alias("a"), of("b_label").alias("b")).distinct()
+        la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("_a")), labels.select(F.col("node").alias("b"), F.col("label").alias("_b"))
+        merged = more.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).distinct()
         tops = connected_components(written(merged, "merged"), written).select(F.col("node").alias("label"), F.col("label").alias("top"))
-        labels = labels.join(tops, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
-        labels = labels.unionByName(tops.select(F.col("label").alias("node"), F.col("top").alias("label")).join(labels.select("node"), "node", "left_anti"))
-    found = classes.join(labels, "node", "left").select("high", "low", F.coalesce("label", "node").alias("component_id"))
-    own = profiles.select("doc_id", "id", F.col("n").cast("long").alias("n_shingles"), "high", "low")
-    joined = own.join(found, ["high", "low"], "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+        nodes = nodes.join(tops, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    return profiles, written(nodes, "nodes")
+
+
+def _identified(documents: DataFrame, *more) -> DataFrame:
+    """more, doc_id, id (doc_id, a hash of the text where it is null), copy (a hash of the text) and text."""
+    copy = F.xxhash64("text")
+    return documents.select(*more, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), copy).alias("id"), copy.alias("copy"), "text")
+
+
+def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id of all documents; component_id is the smallest doc_id reachable by links.
+
+    Two documents link when 100 * intersection >= percent * union of their n-gram sets. Null and wordless texts have
+    no n-gram and link with nothing: their component is their own doc_id. Rows with words that share a doc_id count as
+    linked, whatever their texts. A null doc_id is named by a hash of its text where its component has no other.
+    """
+    profiles, nodes = _linked(_identified(documents), size, percent, True)
+    lows = profiles.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.min("id").alias("low_id"))
+    lows = written(lows.join(nodes, "node"), "lows")
+    names = lows.groupBy("label").agg(F.coalesce(F.min("low"), F.min("low_id")).alias("component_id"))
+    found = lows.join(names, "label").select("node", "component_id")
+    own = profiles.select("doc_id", "id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
+    return own.join(found, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+
+
+def distinct_documents(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """One row of documents, with all its columns, of each group of texts that link: that with the smallest doc_id (null
+    last), then text hash. Rows link by their texts alone, so that rows which share a doc_id stay if their texts differ;
+    of rows with equal doc_id and text one stays. Wordless texts link with nothing but their copies."""
+    profiles, nodes = _linked(_identified(documents), size, percent, False)
+    labelled = profiles.withColumn("node", F.when(F.col("n") > 0, F.col("node"))).join(nodes, "node", "left")
+    group = F.struct(F.col("label"), F.when(F.col("label").isNull(), F.struct("id", "copy")).alias("own"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "id", "copy")).alias("first")
+    chosen = written(labelled.groupBy(group.alias("g")).agg(first).select("first.id", "first.copy", "first.unnamed"), "chosen")
+    rows = _identified(documents, F.struct("*").alias("_doc")).withColumn("unnamed", F.col("doc_id").isNull())
+    order = F.xxhash64(F.to_json("_doc") if "map<" in documents.schema.simpleString() else F.col("_doc"))  # maps have no hash
+    rows = rows.groupBy("id", "copy", "unnamed").agg(F.min_by("_doc", order).alias("_doc"))
+    return rows.join(chosen, ["id", "copy", "unnamed"], "left_semi").select("_doc.*")

@@ -74,6 +74,40 @@ def test_ngram_join_of_odd_rows(spark):
     assert ngram_join.near_duplicates(df.limit(0), 3, 90).count() == 0
 
 
+def test_rows_that_share_a_doc_id(spark):
+    r = random.Random(40)
+    new = lambda n: [f"t{r.randrange(10**9)}" for _ in range(n)]
+    near = lambda w: " ".join(w[:-1] + new(1))
+    rows = []
+    for i in range(0, 90, 3):  # id i has the texts A and B, i + 1 is near A, i + 2 near B
+        a, b = new(50), new(70)
+        rows += [(i, " ".join(a)), (i, " ".join(b)), (i + 1, near(a)), (i + 2, near(b))]
+    rows += [(1000, "x y z"), (1005, "x y z"), (1005, "p q r s"), (1007, "p q r s"), (None, "lone words here"), (None, "x y z"), (2000, None), (2000, "")]
+    r.shuffle(rows)
+    df = spark.createDataFrame([(i, t, "kept", k, [k]) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _id string, label int, prefix array<int>").repartition(5)
+    got = ngram_join.near_duplicates(df, 3, 90).collect()
+    assert len(got) == len(rows) and all(x.component_id == x.doc_id // 3 * 3 for x in got if x.doc_id is not None and x.doc_id < 90)
+    assert {x.component_id for x in got if x.doc_id and x.doc_id >= 1000} == {1000, 2000}
+    # the stage links texts alone: A and B stay, of near texts the one with the smaller doc_id
+    kept = ngram_join.distinct_documents(df, 3, 90)
+    assert kept.columns == df.columns
+    texts = {x.text for x in kept.collect()}
+    want = {t for i, t in rows if i is not None and i < 90 and i % 3 == 0} | {"x y z", "p q r s", "lone words here", None, ""}
+    assert texts == want and kept.count() == len(want)
+    again = kept.unionByName(kept)
+    assert ngram_join.distinct_documents(again, 3, 90).count() == len(want)
+
+
+def test_many_copies_and_one_frequent_ngram(spark):
+    r = random.Random(41)
+    common = "every text starts with these nine common words here"
+    texts = [common] * 300 + [f"{common} " + " ".join(f"u{r.randrange(10**9)}" for _ in range(r.randint(0, 60))) for _ in range(400)]
+    texts += [f"{common} same tail {i % 3}" for i in range(200)] + [" ".join(f"v{k}" for k in range(30_000)), " ".join(f"v{k}" for k in range(29_900))]
+    sets = word_sets(texts, 3)
+    got = {x.doc_id: x.component_id for x in ngram_join.near_duplicates(documents(spark, texts).repartition(6), 3, 90).collect()}
+    assert [got[i] for i in range(len(texts))] == components(sets, 90)
+
+
 def test_runs_across_batches():
     import pyarrow as pa
 
