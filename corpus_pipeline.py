@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gridspark.llm import bpe, mixing, ngram_join, pii, quality
 from gridspark.llm.common import table, written
@@ -15,10 +14,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five words, similarity 0.8): the one with the smallest doc_id."""
-    found = ngram_join.near_duplicates(docs, size=5, percent=80).select(F.col("component_id").alias("_id")).distinct()
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    return rows.join(found, "_id", "left_semi").dropDuplicates(["_id"]).select(*docs.columns)
+    """One document of each near-duplicate group (five words, similarity 0.8): the one with the smallest doc_id. Rows that
+    share a doc_id stay if their texts differ."""
+    return ngram_join.distinct_documents(docs, size=5, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +42,7 @@ STAGES = [
     ("bpe", token_ids),
 ]
 
-#: SQL can express neither the robust fit nor the permutations; the tests hold each stage against brute force.
+#: SQL can express neither the robust fit nor the permutations.
 ORACLE_SQL = None
 
 
