@@ -38,8 +38,8 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def connected_components(edges: DataFrame, written: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """(node, label) of all nodes of edges (a, b): label is the smallest node of the node's component.
 
-    In each round the edges are dealt by range and every partition, of the size that Spark's shuffle settings give it,
-    replaces its own by stars. If there was one partition that is the answer. Otherwise every node points to its
+    In each round the edges are dealt by a hash of both ends, so that a node of many edges lies in many partitions, and
+    every partition, of the size that Spark's shuffle settings give it, replaces its own by stars. If there was one partition that is the answer. Otherwise every node points to its
     smallest neighbour, pointers are shortened, the edges contracted along them, and the next round begins. A node
     gets one row in each step, whatever its degree: neighbours meet as a minimum, which is combined before the
     shuffle. `written` stores a table and reads it again.
@@ -47,7 +47,7 @@ def connected_components(edges: DataFrame, written: Callable[[DataFrame, str], D
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")
     labels = None
     while True:
-        stars = written(edges.repartitionByRange("a").mapInArrow(_stars, "node long, up long, part int"), "stars")
+        stars = written(edges.repartition("a", "b").mapInArrow(_stars, "node long, up long, part int"), "stars")
         parts = stars.select("part").distinct().limit(2).count()
         if parts < 2:
             up = stars.select("node", "up")

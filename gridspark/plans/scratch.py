@@ -19,8 +19,11 @@ _kept: set[str] = set()
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests on one machine), a folder of our own."""
+    """The folder named in spark.checkpoint.dir; where it is unset and Spark runs on this machine alone, as in tests, a
+    folder of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="gridspark-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
@@ -58,4 +61,4 @@ def _clear_at_exit(spark: SparkSession) -> None:
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marks df for broadcast if its counted rows stay within the bound; df should be a written table."""
-    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
+    return F.broadcast(df) if df.select(F.lit(1)).limit(rows + 1).count() <= rows else df
