@@ -31,7 +31,7 @@ from gridspark.llm.common import small, written
 from gridspark.plans.components import connected_components
 
 #: Frequent n-grams whose counts are broadcast, at most: 16 bytes each. The bound touches the order alone, no result.
-FREQUENT = 1 << 20
+FREQUENT = 1 << 18
 #: N-grams that a task counts at once; those that occur there once only are not passed on.
 COUNTED = 1 << 20
 #: Representatives whose ids are broadcast to fetch their texts; more of them are joined.
@@ -106,10 +106,10 @@ def _frequent(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
         least = r.level
     if least is None:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    got = counts.filter(level >= least).toPandas()
-    grams = got["gram"].to_numpy(np.int64).view(np.uint64)
+    got = counts.filter(level >= least).select("gram", "n").toArrow()
+    grams, n = got.column("gram").to_numpy().view(np.uint64), got.column("n").to_numpy()
     order = np.argsort(grams)
-    return grams[order], got["n"].to_numpy(np.int64)[order]
+    return grams[order], n[order]
 
 
 def rare_first(s: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -164,7 +164,8 @@ RUNS = {"gram": pa.int64(), "band": pa.int32(), "pos": pa.int32(), "n": pa.int32
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Gives each row of rows sorted by gram and length band an anchor: the first row of its band, and for that one
-    the first row of the gram's band before. A gram's very first row is its own anchor; grams of one row go."""
+    the first row of the gram's band before. A gram's very first row is its own anchor; grams of one row go, except for
+    a partition's first and last one, which may go on in another partition."""
     carried, given = None, True  # the anchor of the last row so far, and whether it has been given out
     types = [*RUNS.values(), pa.int32(), pa.int32(), pa.int64()]
     names = [*RUNS, "a_pos", "a_n", "a_node"]
@@ -179,12 +180,15 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.maximum.accumulate(np.where(new_band, np.arange(len(new_band)), 0))
         anchor = np.where(new_band & ~new_gram, np.append(0, head[:-1]), head)
         out = ~(new_gram & np.append(new_gram[1:], True))
+        out[0] |= carried is None
         late = out[head[-1]] or (carried is not None and head[-1] == 0 and given)
         if carried is not None and given:
             out[0] = False
         carried, given = [v[head[-1]] for v in x], late
         rows = [v[out] for v in x] + [v[anchor[out]] for v in x[2:]]
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r), k) for r, k in zip(rows, types, strict=True)], names=names)
+    if not given:
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([*carried, *carried[2:]], types, strict=True)], names=names)
 
 
 def _suffix_filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -254,7 +258,7 @@ def _linked(rows: DataFrame, size: int, percent: int, link_ids: bool) -> tuple[D
     links = _verified(_suffix_filtered(tried, classes, percent), classes, texts, size, percent)
     labels = connected_components(links, written)
     # the join proper: pairs across components that share a prefix n-gram, in the same length band or the next
-    found = written(grams.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    found = written(runs.select("gram", "band", "pos", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
     mixed = found.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
     x = written(found.join(mixed.select("gram"), "gram", "left_semi"), "mixed")
     y = x.select("gram", F.col("band").alias("b_band"), *[F.col(c).alias(f"b_{c}") for c in ("pos", "n", "node", "label")], F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))

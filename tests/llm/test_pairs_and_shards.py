@@ -112,16 +112,18 @@ def test_runs_across_batches():
     import pyarrow as pa
 
     rows = [(1, 0, 0, 9, 1), (2, 0, 0, 9, 2), (2, 0, 1, 9, 3), (2, 1, 0, 12, 4), (3, 0, 0, 9, 5), (4, 0, 0, 9, 6), (4, 5, 0, 9, 7)]
+    last = [r for b in ngram_join._runs(iter([pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[:5]), ngram_join.RUNS.values())], names=list(ngram_join.RUNS))])) for r in b.to_pylist()]
+    assert [(r["gram"], r["node"], r["a_node"]) for r in last] == [(1, 1, 1), (2, 2, 2), (2, 3, 2), (2, 4, 2), (3, 5, 5)]
     names = ["gram", "band", "pos", "n", "node"]
 
     def batches(cuts):
         for a, b in zip([0, *cuts], [*cuts, len(rows)]):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[a:b]), ngram_join.RUNS.values())], names=names)
 
-    want = {(2, 2): 2, (2, 3): 2, (2, 4): 2, (4, 6): 6, (4, 7): 6}
+    want = {(1, 1): 1, (2, 2): 2, (2, 3): 2, (2, 4): 2, (4, 6): 6, (4, 7): 6}
     for cuts in ([], [1], [2], [3], [2, 3], [1, 2, 3, 4, 5, 6], [5], [6]):
         out = [r for b in ngram_join._runs(batches(cuts)) for r in b.to_pylist()]
-        assert {(r["gram"], r["node"]): r["a_node"] for r in out} == want and len(out) == 5
+        assert {(r["gram"], r["node"]): r["a_node"] for r in out} == want and len(out) == 6
 
 
 def test_fingerprints_and_neighbours(spark):
