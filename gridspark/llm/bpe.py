@@ -2,10 +2,13 @@
 
 The automaton reads token ids; its paths are exactly the token sequences that the merges produce. It starts with one
 state where every base symbol loops. The gadget of merge (a, b) -> c gives a's target a copy without b, and every
-state that has an arc a a new arc c to b's target. All arcs of one token lead to one state, so that a state is
-named by the token read last; it is kept as its parent state, the arcs taken from it and the time of each, and a row
-of the transition table is filled in where words need it. A word's encoding is its only path: for each prefix of the
-word one token ends it, the one whose arc leaves the state of the prefix before.
+state that has an arc a a new arc c to b's target. All arcs of one token lead to one state, so that a state is named by
+the token read last; it is kept as its parent state, the arcs taken from it and the time of each.
+
+Spelt out by a trie of the tokens it becomes a deterministic automaton over the symbols of a word: a state is the set of
+(token read last, place in the trie) that the symbols so far allow, among which one token ends here. Rows of its
+transition table are filled in when words first need them, up to a bound in bytes. A word is one transition for each
+symbol; its encoding is read back from the tokens that end at each place.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,8 +25,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Distinct words whose encoding a Python worker remembers; beyond, it starts over.
-MEMO_WORDS = 300_000
+#: Bytes, about, that a Python worker keeps of the transition table and of words with their encodings; beyond, each
+#: starts over. Words longer than MEMO_LETTERS bytes are not remembered.
+TABLE_BYTES, MEMO_BYTES, MEMO_LETTERS = 128 << 20, 64 << 20, 128
 #: The pieces that the vocabulary's pre-tokenizer keeps.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 
@@ -43,7 +48,6 @@ class TokenAutomaton:
         self.parts: dict[int, tuple[int, int]] = {}
         self.cut: dict[tuple[int, int], int] = {}
         self.dead: set[int] = set()
-        self.table: dict[tuple[int, int], bool] = {}
         made = {a + b for a, b in merges}
         self.born.update((i, -1) for t, i in vocab.items() if t not in made)
         for time, (a, b) in enumerate(merges):
@@ -73,11 +77,81 @@ class TokenAutomaton:
                 return True
 
     def follows(self, state: int, token: int) -> bool:
-        found = self.table.get((state, token))
+        return self._arc(state, token, self.end)
+
+
+class SymbolAutomaton:
+    """The deterministic automaton over symbols: bytes, plus 256 for the last one of a word."""
+
+    def __init__(self, tokens: TokenAutomaton, spelling: dict[int, list[int]]):
+        self.tokens = tokens
+        self.length = {t: len(symbols) for t, symbols in spelling.items()}
+        # the trie: children of a node by symbol, and the token that ends at a node
+        self.child: list[dict[int, int]] = [{}]
+        self.ends: list[int] = [-1]
+        for token, symbols in spelling.items():
+            at = 0
+            for c in symbols:
+                below = self.child[at].get(c)
+                if below is None:
+                    below = self.child[at][c] = len(self.child)
+                    self.child.append({})
+                    self.ends.append(-1)
+                at = below
+            self.ends[at] = token
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[tuple, int] = {}
+        self.parts: list[tuple] = []  # of each state: pairs of the token read last (-1 at the start) and a trie node
+        self.last: list[int] = []  # of each state: the token that ends here
+        self.rows: list[dict[int, int]] = []  # the transition table
+        self.bytes = 0
+        self._state(((-1, 0),), -1)
+
+    def _state(self, parts: tuple, last: int) -> int:
+        found = self.number.get(parts)
         if found is None:
-            found = self.table[state, token] = self._arc(state, token, self.end)
+            found = self.number[parts] = len(self.parts)
+            self.parts.append(parts)
+            self.last.append(last)
+            self.rows.append({})
+            self.bytes += 400 + 100 * len(parts)
+        return found
+
+    def _row(self, state: int, symbol: int) -> int:
+        """Fills in the transition of a state."""
+        parts, last = [], -1
+        for before, node in self.parts[state]:
+            below = self.child[node].get(symbol)
+            if below is not None:
+                if self.child[below]:
+                    parts.append((before, below))
+                token = self.ends[below]
+                if last < 0 <= token and (before < 0 or self.tokens.follows(before, token)):
+                    last = token
+        if last < 0:
+            raise ValueError(f"no path for symbol {symbol}")
+        parts.append((last, 0))
+        if self.bytes > TABLE_BYTES:
+            self._clear()
+            return self._state(tuple(parts), last)
+        found = self.rows[state][symbol] = self._state(tuple(parts), last)
+        self.bytes += 80
         return found
 
+    def encode(self, symbols: list[int]) -> list[int]:
+        state, ends = 0, []
+        for c in symbols:
+            following = self.rows[state].get(c)
+            state = self._row(state, c) if following is None else following
+            ends.append(self.last[state])
+        out, i = [], len(symbols)
+        while i:
+            out.append(ends[i - 1])
+            i -= self.length[ends[i - 1]]
+        return out[::-1]
+
 
 class Tokenizer:
     """Encodes and decodes text with a vocabulary file of word-end BPE over byte letters."""
@@ -85,47 +159,41 @@ class Tokenizer:
     def __init__(self, spec: str):
         given = json.loads(spec)
         model = given["model"]
-        self.ids = model["vocab"]
+        ids = model["vocab"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.suffix = model["end_of_word_suffix"] or ""
-        self.automaton = TokenAutomaton(self.ids, merges)
-        self.longest = max(map(len, self.ids))
+        suffix, byte = model["end_of_word_suffix"] or "", {c: i for i, c in enumerate(byte_letters())}
+        tokens, made = TokenAutomaton(ids, merges), {a + b for a, b in merges}
+        spelling = {}
+        for t, i in ids.items():
+            final = bool(suffix) and t.endswith(suffix)
+            letters = t[: len(t) - len(suffix)] if final else t
+            if i not in tokens.dead and letters and (t in made or len(letters) == 1):
+                spelling[i] = [byte[c] for c in letters]
+                spelling[i][-1] += 256 if final else 0
+        self.automaton = SymbolAutomaton(tokens, spelling)
+        self.last = 256 if suffix else 0
         self.special = {t["content"]: t["id"] for t in given["added_tokens"]}
-        self.labels = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
+        self.labels = {i: t for t, i in ids.items()} | {i: t for t, i in self.special.items()}
         self.splits = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.letters = dict(enumerate(byte_letters()))
         self.memo: dict[str, bytes] = {}
+        self.memo_bytes = 0
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one pre-split word, by the automaton's only path over its bytes."""
-        s = word.encode().decode("latin-1").translate(self.letters)
-        n, ids, automaton = len(s), self.ids, self.automaton
-        last: list[int | None] = [None] * (n + 1)
-        back = [0] * (n + 1)
-        for i in range(1, n + 1):
-            tail = self.suffix if i == n else ""
-            for j in range(max(0, i - self.longest), i):
-                token = ids.get(s[j:i] + tail)
-                if token is None or token in automaton.dead:
-                    continue
-                if j == 0 or (last[j] is not None and automaton.follows(last[j], token)):
-                    last[i], back[i] = token, j
-                    break
-        out, i = [], n
-        while i:
-            if last[i] is None:
-                raise ValueError(f"no path for {word!r}")
-            out.append(last[i])
-            i = back[i]
-        return out[::-1]
+        symbols = list(word.encode())
+        symbols[-1] += self.last
+        return self.automaton.encode(symbols)
 
     def _word(self, word: str) -> bytes:
         found = self.memo.get(word)
         if found is None:
-            if len(self.memo) >= MEMO_WORDS:
-                self.memo.clear()
-                self.automaton.table.clear()
-            found = self.memo[word] = np.array(self.encode_word(word), "<u4").tobytes()
+            found = array("I", self.encode_word(word)).tobytes()
+            if len(found) <= 4 * MEMO_LETTERS:
+                if self.memo_bytes > MEMO_BYTES:
+                    self.memo.clear()
+                    self.memo_bytes = 0
+                self.memo[word] = found
+                self.memo_bytes += 200 + len(word) + len(found)
         return found
 
     def encode(self, text: str) -> bytes:
@@ -178,7 +246,8 @@ def _mapped(documents: DataFrame, path: str | None, columns: list[str], schema:
 
 
 def encode_documents(documents: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids (array<int>), decoded text of each document. Null and empty texts have no ids."""
+    """doc_id, n_tokens, ids (array<int>), decoded text of each document. Null and empty texts have no ids; repeated rows
+    stay; an empty table gives an empty one; other columns are ignored."""
 
     def row(t: Tokenizer, text: str) -> dict:
         ids = t.encode(text)
@@ -188,7 +257,8 @@ def encode_documents(documents: DataFrame, path: str | None = None) -> DataFrame
 
 
 def digest_documents(documents: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, and SHA-256 digests of the ids and of the text decoded from them."""
+    """doc_id, n_tokens, and SHA-256 digests of the ids and of the text decoded from them, for each row of documents. Null
+    and empty texts have no ids; repeated rows stay; an empty table gives an empty one; other columns are ignored."""
 
     def row(t: Tokenizer, text: str) -> dict:
         ids = t.encode(text)

@@ -38,7 +38,9 @@ def test_bpe_equals_the_library(spark):
     assert bpe.digest_documents(documents(spark, ["a"]).limit(0)).count() == 0
 
 
-def test_automaton_equals_merging():
+@pytest.mark.parametrize("table_bytes", [128 << 20, 3_000])
+def test_automaton_equals_merging(monkeypatch, table_bytes):
+    monkeypatch.setattr(bpe, "TABLE_BYTES", table_bytes)  # a small table starts over within words
     r = random.Random(9)
     for _ in range(60):
         symbols, merges = list("abc"), []
@@ -49,6 +51,7 @@ def test_automaton_equals_merging():
                 symbols.append(a + b)
         ids = {s: i for i, s in enumerate(symbols)}
         automaton = bpe.TokenAutomaton(ids, merges)
+        table = bpe.SymbolAutomaton(automaton, {i: ["abc".index(c) for c in s] for s, i in ids.items() if i not in automaton.dead})
         for _ in range(40):
             word = "".join(r.choice("abc") for _ in range(r.randint(1, 9)))
             parts = list(word)
@@ -58,6 +61,7 @@ def test_automaton_equals_merging():
                     if (parts[i], parts[i + 1]) == (a, b):
                         parts[i : i + 2] = [a + b]
                     i += 1
+            assert table.encode(["abc".index(c) for c in word]) == [ids[x] for x in parts]
             assert all(automaton.follows(ids[x], ids[y]) for x, y in zip(parts, parts[1:]))
             paths = [[]]
             for i in range(len(word)):
@@ -65,6 +69,20 @@ def test_automaton_equals_merging():
             assert [p for p in paths if "".join(p) == word] == [parts]
 
 
+def test_bpe_of_long_words_and_repeated_rows(spark):
+    from tokenizers import Tokenizer
+
+    other = Tokenizer.from_file(bpe.default_path())
+    r = random.Random(23)
+    long = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    rows = [(1, long, "x", 5), (1, long, "x", 5), (None, None, None, None), (2, "plain", "y", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids string, n_tokens int")
+    got = bpe.encode_documents(df).collect()
+    want = other.encode(long, add_special_tokens=False).ids
+    assert [x.ids for x in got if x.doc_id == 1] == [want, want] and [x.ids for x in got if x.doc_id is None] == [[]]
+    assert bpe.digest_documents(df).count() == 4
+
+
 # --- quality rules
 
 
