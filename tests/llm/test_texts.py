@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridspark.llm import bpe, html_text, language, pii, quality, toxicity
 
@@ -273,8 +274,6 @@ def test_pii_takes_every_notation_that_validates(spark):
 
 
 def test_number_permutation_is_a_bijection(spark):
-    from pyspark.sql import functions as F
-
     out = spark.range(75 * 487).select(pii.permute_number(F.col("id"), 75, 487, "t", "k").alias("v")).agg(F.countDistinct("v"), F.min("v"), F.max("v")).first()
     assert tuple(out) == (75 * 487, 0, 75 * 487 - 1)
     out = spark.range(1000).select(pii.permute_digits(F.lpad(F.col("id").cast("string"), 3, "0"), "t", "k").alias("v")).agg(F.countDistinct("v"), F.max(F.length("v"))).first()
@@ -336,17 +335,37 @@ def test_toxicity(spark):
     assert none.count() == len(texts)
 
 
-def test_interaction_of_harmless_terms():
-    r = np.random.default_rng(1)
-    terms, y = [], []
-    for _ in range(2000):
-        a, b = r.random(2) < 0.5
-        terms.append(np.array([t for t, on in ((11, a), (22, b)) if on], np.int32))
-        y.append(float(a and b))
-    kept, w, v = toxicity.train(np.array(y), terms, float(np.mean(y)))
-    assert list(kept) == [11, 22]
-    score = lambda on: w[-1] + w[:-1][on].sum() + 0.5 * ((v[on].sum(axis=0) ** 2).sum() - (v[on] ** 2).sum())
-    assert score([0, 1]) > 0 > max(score([0]), score([1]), score([]))
+def test_interaction_of_terms_without_an_effect_of_their_own(spark):
+    """Of the texts with 'zark' or 'quell' alone as many are toxic as of all texts, of those with both all are."""
+    r = random.Random(18)
+    texts, labels, both, alone = [], [], [], []
+    for i in range(3000):
+        words = babble(r, ["an", "the", "or", "in", "ti", "es", "un", "ma"], 40).split()
+        kind = r.choice(["none"] * 6 + ["zark", "quell", "zark", "quell", "both"])
+        toxic = kind == "both" or (kind == "none" and r.random() < 0.28)
+        words += ["vileword"] if kind == "none" and toxic else []
+        words += {"none": [], "both": ["zark", "quell"]}.get(kind, [kind])
+        if kind != "none":
+            (both if kind == "both" else alone).append(i)
+        r.shuffle(words)
+        texts.append(" ".join(words))
+        labels.append((i, int(toxic)))
+    got = {x.doc_id: x for x in toxicity.score_documents(documents(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    held = lambda ids: [got[i].predicted for i in ids if got[i].held_out]
+    assert np.mean(held(both)) > 0.9 and np.mean(held(alone)) < 0.1
+    assert np.mean([got[i].predicted == y for i, y in labels if got[i].held_out]) > 0.95
+
+
+def test_toxicity_of_odd_tables(spark):
+    rows = [(i % 40, f"word{i} some text {'badword' if i % 3 == 0 else ''} é" * (1 + i % 4), "s", 0.5) for i in range(200)]
+    rows += [(None, None, None, None), (None, "badword", None, None), (7, "long " * 50_000, "s", 1.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string, score double")
+    labels = spark.createDataFrame([(i % 40, (i // 7) % 2 if i % 5 else None, 1) for i in range(90)] + [(None, 1, 0)], "doc_id long, toxic int, quality int")
+    one, two = (sorted(map(tuple, toxicity.score_documents(t, labels).fillna(-1).collect())) for t in (df, df.repartition(3)))
+    assert len(one) == len(rows) and one == two
+    assert toxicity.score_documents(df.limit(0), labels).count() == 0
+    same = toxicity.score_documents(df, labels.withColumn("toxic", F.lit(1)))  # one label alone
+    assert same.count() == len(rows)
 
 
 # --- pages
