@@ -219,6 +219,57 @@ def test_mix(spark):
     assert mixing.mix_documents(df.limit(0)).count() == 0 and mixing.repeat_documents(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shard_docs,fan", [(60, 64), (10, 4)])
+def test_taken_words_equal_a_plain_version(spark, monkeypatch, shard_docs, fan):
+    monkeypatch.setattr(mixing, "FAN", fan)  # a small tree of several levels
+    r = random.Random(26)
+    texts = [" ".join(["w"] * r.choice((0, 5, 90, r.randint(1, 700)))) for _ in range(500)]
+    names = ["b", "a", None, "c"]
+    df = documents(spark, texts, lambda i: names[min(i % 9, 3)])
+    keys = {x.doc_id: x.k for x in df.selectExpr("doc_id", f"xxhash64({mixing.SEED}, doc_id, cast(n_chars - length(replace(text, 'w')) as bigint)) as k").collect()}
+    size = {i: len(t.split()) for i, t in enumerate(texts)}
+    source = {i: names[min(i % 9, 3)] for i in size}
+    order = ["a", "b", "c", None]
+    total = {s: sum(size[i] for i in size if source[i] == s) for s in order}
+    target = mixing.share_targets(total, dict(zip(order, (5, 2, 1, 5))))
+    seats = quotients([target[s] for s in order], round(sum(target.values()) / 64), [3 * -(-total[s] // 64) for s in order])
+    want = {}
+    for s, q in zip(order, seats):
+        n = -(-sum(source[i] == s for i in size) // shard_docs)
+        shard = collections.defaultdict(list)
+        for i in size:
+            if source[i] == s:
+                shard[keys[i] % n].append(i)
+        words = {k: sum(size[i] for i in v) for k, v in shard.items()}
+        blocks = {k: -(-w // 64) for k, w in words.items()}
+        depth = 1
+        while fan**depth < n:
+            depth += 1
+        given = {0: q}
+        for level in range(depth - 1, -1, -1):
+            below = {}
+            for parent, quota in given.items():
+                nodes = sorted({k // fan**level for k in words if k // fan ** (level + 1) == parent})
+                of = lambda d, node: sum(v for k, v in d.items() if k // fan**level == node)
+                below |= dict(zip(nodes, quotients([of(words, x) for x in nodes], quota, [3 * of(blocks, x) for x in nodes])))
+            given = below
+        for k, ids in shard.items():
+            m = blocks[k]
+            shift = spark.sql(f"select pmod(xxhash64({mixing.SEED}, cast({repr(s) if s else 'null'} as string), {k}L), {mixing.PRIME})").first()[0]
+            at = 0
+            for i in sorted(ids, key=lambda i: (keys[i], i, size[i])):
+                hits = [given[k] // m + ((w // 64 * mixing.PRIME + shift) % m < given[k] % m) for w in range(at, at + size[i])] if m else []
+                want[i], at = sum(hits), at + size[i]
+    assert {x.doc_id: x.taken for x in mixing.mix_documents(df, shard_docs=shard_docs).collect()} == want
+
+
+def test_mix_of_odd_columns(spark):
+    df = spark.createDataFrame([(i % 3, "a b c " * i, None if i % 2 else "s", i, "x", 2.5) for i in range(40)], "doc_id long, text string, source string, _s int, _shard string, target double")
+    out = mixing.repeat_documents(df)
+    assert out.columns == df.columns and out.count() > 0
+    assert {x._s for x in out.collect()} <= set(range(1, 40)) and mixing.mix_documents(df).count() == 40
+
+
 @pytest.mark.parametrize("shard_docs", [2000, 100])
 def test_copies_of_long_documents_hit_the_target(spark, shard_docs):
     r = random.Random(12)
