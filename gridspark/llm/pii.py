@@ -17,8 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-#: The default key is for tests and examples; give your own and keep it secret.
-KEY = "change-me"
+#: Permutations that a cycle walk takes at most.
+WALKS = 160
+#: The default key is for tests and examples; set your own in the Spark setting KEY_SETTING and keep it secret.
+KEY, KEY_SETTING = "change-me", "spark.gridspark.pii.key"
 #: What a candidate looks like, in the order in which they are tried.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 SECRET = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?i:password|passwd|secret|api_key|apikey|token)\s?[=:]\s?[\"']?[A-Za-z0-9_\-]{8,}|(?<![A-Za-z0-9])(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,64}(?![A-Za-z0-9])"
@@ -29,10 +31,15 @@ IBAN_LENGTHS = {
 }
 #: By country; figures in groups of four for any other one.
 IBAN = "(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:[ -]?[0-9A-Z]){{{n}}}" for n, c in IBAN_LENGTHS.items()) + "|[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){3,6}(?: ?[0-9]{1,3})?)(?![A-Za-z0-9])"
-IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
+#: Numbers after a word for a version are no addresses.
+IPV4 = r"(?<![0-9A-Za-z.])(?<!(?i:version|release|ver\.|build) )(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = "(?<![0-9./-])(?:" + "|".join(f"[0-9]{{4}}{c}[0-9]{{1,2}}{c}[0-9]{{1,2}}|[0-9]{{1,2}}{c}[0-9]{{1,2}}{c}[0-9]{{4}}" for c in ("-", "/", "[.]")) + ")(?![0-9]|[./-][0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,5}\)?){2,5}(?![0-9])"
+#: International and North American numbers; national ones of Germany (0 and an area), France (five pairs), Spain.
+PHONE = (
+    r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,5}\)?){2,5}(?![0-9])"
+    r"|(?<![0-9A-Za-z.,/-])(?:0[1-9](?:[ .-][0-9]{2}){4}|\(?0[1-9][0-9]{1,3}\)?[ /-]{1,3}[0-9]{3,8}(?:[ -][0-9]{1,5})?|[6-9][0-9]{2}(?:[ -][0-9]{3}){2}|[6-9][0-9]{2}(?:[ -][0-9]{2}){3})(?![0-9]|[.,/-][0-9])"
+)
 #: Groups as cards have them; four figures before or up to three after 16 may be another number (a year, a code).
 CARD = r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){4}(?![ -]?[0-9])|[0-9]{4}(?:[ -]?[0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{4,5}|[0-9]{4}(?:[ -][0-9]{3}){3}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{5}|[0-9]{6}[ -][0-9]{13}|[0-9]{8}[ -][0-9]{8})(?![0-9])"
 PATTERN = "|".join([EMAIL, SECRET, IBAN, IPV4, DATE, SSN, CARD, PHONE])
@@ -74,15 +81,29 @@ def permute_digits(d: Column, tag: str, key: str) -> Column:
     return out
 
 
+def walked(value: Column, permute: Callable[[Column], Column], valid: Callable[[Column], Column]) -> Column:
+    """Cycle walking: value permuted until the result is valid, as value itself is; so valid values map one to one onto
+    each other. Of the domains used here a share of 0.2 at least is valid, so that WALKS permutations always meet one."""
+    start = F.struct(value.alias("v"), F.lit(False).alias("done"))
+    tried = lambda v: _bind(permute(v), lambda w: F.struct(w.alias("v"), valid(w).alias("done")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), start, lambda s, _: F.when(s["done"], s).otherwise(tried(s["v"])), lambda s: s["v"])
+
+
+def letters_class(s: Column) -> Column:
+    """0 for strings of hexadecimal digits in lower case that hold a letter, 1 for long ones in upper case, 2 for others."""
+    return F.when(s.rlike("^[0-9a-f]+$") & s.rlike("[a-f]"), 0).when(s.rlike("^[0-9A-F]{32,}$") & s.rlike("[A-F]"), 1).otherwise(2)
+
+
 def permute_letters(s: Column, tag: str, key: str) -> Column:
-    """Keyed bijection on strings that keeps length and each character's class: 0-9, a-z, A-Z; others stay. Strings
-    of hexadecimal digits in lower case, and long ones in upper case, stay such strings."""
-    upper = s.rlike("^[0-9A-F]{32,}$") & s.rlike("[A-F]")
-    hexadecimal = upper | (s.rlike("^[0-9a-f]+$") & s.rlike("[a-f]"))
+    """Keyed bijection on strings that keeps length and letters_class(), and of other strings each character's class: 0-9,
+    a-z, A-Z; others stay."""
+    return _bind(F.struct(s.alias("s"), letters_class(s).alias("k")), lambda p: walked(p["s"], lambda v: _permuted(v, p["k"], tag, key), lambda v: letters_class(v) == p["k"]))
 
+
+def _permuted(s: Column, kind: Column, tag: str, key: str) -> Column:
     def shift(c: Column, k: Column) -> Column:
         figure = F.conv(F.pmod(F.conv(c, 16, 10).cast("int") + k, F.lit(16)).cast("string"), 10, 16)
-        return F.when(hexadecimal, F.when(upper, figure).otherwise(F.lower(figure))).otherwise(by_class(c, k))
+        return F.when(kind == 0, F.lower(figure)).when(kind == 1, figure).otherwise(by_class(c, k))
 
     def by_class(c: Column, k: Column) -> Column:
         code = F.ascii(c)
@@ -159,32 +180,29 @@ def ipv4(m: Column, key: str) -> Column:
 
 
 def date(m: Column, key: str) -> Column:
-    """A calendar date from 1900 to 2099 becomes another one of its century in the same notation."""
+    """A calendar date from 1900 to 2099 becomes another one of its century in the same notation, figures of day and
+    month included."""
     iso = m.rlike("^[0-9]{4}")
     parts = F.split(m, "[./-]")
-    day_first = parts[1].cast("int") <= 12
-    y = F.when(iso, parts[0]).otherwise(parts[2]).cast("int")
-    mo = F.when(iso, parts[1]).when(day_first, parts[1]).otherwise(parts[0]).cast("int")
-    d = F.when(iso, parts[2]).when(day_first, parts[0]).otherwise(parts[1]).cast("int")
-    day = F.when(mo.between(1, 12) & d.between(1, 31), F.try_to_date(F.format_string("%04d-%02d-%02d", y, mo, d), "yyyy-MM-dd"))
+    day_first = ~iso & (parts[1].cast("int") <= 12)
+    year, month, day = (F.when(iso, parts[i]).otherwise(other) for i, other in ((0, parts[2]), (1, F.when(day_first, parts[1]).otherwise(parts[0])), (2, F.when(day_first, parts[0]).otherwise(parts[1]))))
+    y, mo, d = year.cast("int"), month.cast("int"), day.cast("int")
+    valid = F.when(mo.between(1, 12) & d.between(1, 31), F.try_to_date(F.format_string("%04d-%02d-%02d", y, mo, d), "yyyy-MM-dd"))
+    # a date that only reads with the month first stays one, so that no two dates share a pseudonym
+    fits = lambda v: ((F.length(day) == 2) | (F.dayofmonth(v) < 10)) & ((F.length(month) == 2) | (F.month(v) < 10)) & (iso | day_first | (F.dayofmonth(v) > 12))
 
     def moved(first: str, a: int, b: int) -> Column:
-        return F.date_add(F.lit(first).cast("date"), permute_number(F.datediff(day, F.lit(first).cast("date")).cast("long"), a, b, "date" + first[:2], key).cast("int"))
+        zero = F.lit(first).cast("date")
+        permute = lambda v: F.date_add(zero, permute_number(F.datediff(v, zero).cast("long"), a, b, "date" + first[:2], key).cast("int"))
+        return walked(valid, permute, fits)
 
     def shown(v: Column) -> Column:
-        size = lambda p: F.when(F.length(p) == 2, 2).otherwise(1)
-        dd, mm, yy = F.date_format(v, "dd"), F.date_format(v, "MM"), F.date_format(v, "yyyy")
+        dd, mm, yy = F.lpad(F.dayofmonth(v).cast("string"), F.length(day), "0"), F.lpad(F.month(v).cast("string"), F.length(month), "0"), F.date_format(v, "yyyy")
         mark = F.regexp_extract(m, "[./-]", 0)
-        return F.when(iso, F.concat(yy, mark, mm, mark, dd)).otherwise(_kept_width(m, parts, day_first, dd, mm, yy, size))
+        return F.when(iso, F.concat(yy, mark, mm, mark, dd)).when(day_first, F.concat(dd, mark, mm, mark, yy)).otherwise(F.concat(mm, mark, dd, mark, yy))
 
     new = F.when(y.between(1900, 1999), moved("1900-01-01", 92, 397)).when(y.between(2000, 2099), moved("2000-01-01", 75, 487))
-    return F.when(day.isNotNull() & y.between(1900, 2099), _bind(new, shown))
-
-
-def _kept_width(m, parts, day_first, dd, mm, yy, size) -> Column:
-    """d.m.yyyy or m/d/yyyy; the figures of day and month are two, which every date can have."""
-    mark = F.regexp_extract(m, "[./-]", 0)
-    return F.when(day_first, F.concat(dd, mark, mm, mark, yy)).otherwise(F.concat(mm, mark, dd, mark, yy))
+    return F.when(valid.isNotNull() & y.between(1900, 2099), _bind(new, shown))
 
 
 def ssn(m: Column, key: str) -> Column:
@@ -204,7 +222,7 @@ def ssn(m: Column, key: str) -> Column:
 
 def phone(m: Column, key: str) -> Column:
     """National digits are permuted; a country code after + and the notation stay, and so do leading digits of area
-    and exchange from 2 to 9 in ten-digit numbers."""
+    and exchange from 2 to 9 in ten-digit numbers, 0 and the digit after it, and the first of other national numbers."""
     code = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
     rest = F.substring(m, F.length(code) + 1, F.length(m))
 
@@ -213,7 +231,9 @@ def phone(m: Column, key: str) -> Column:
         area, exchange, line = F.substring(d, 1, 3).cast("long") - 200, F.substring(d, 4, 3).cast("long") - 200, F.substring(d, 7, 4).cast("long")
         n = (area * 800 + exchange) * 10_000 + line
         numbered = _bind(permute_number(n, 80_000, 80_000, "nanp", key), lambda v: F.format_string("%03d%03d%04d", (F.floor(v / 8_000_000) + 200).cast("long"), (F.pmod(F.floor(v / 10_000), F.lit(800)) + 200).cast("long"), F.pmod(v, F.lit(10_000)).cast("long")))
-        return F.concat(code, _laid(rest, F.when(north, numbered).otherwise(permute_digits(d, "phone", key))))
+        stay = F.when(m.startswith("+"), 0).when(d.startswith("0"), 2).otherwise(1)
+        other = F.concat(F.substring(d, F.lit(1), stay), permute_digits(F.substring(d, stay + 1, F.length(d)), "phone", key))
+        return F.concat(code, _laid(rest, F.when(north, numbered).otherwise(other)))
 
     return _bind(_digits(rest), lambda d: F.when(F.length(d).between(6, 15), new(d)))
 
@@ -284,14 +304,18 @@ def pseudonymised(text: Column, key: str = KEY) -> Column:
     return F.when(text.rlike("[0-9@]|(?i:password|passwd|secret|api_?key|token)"), _bind(found, lambda f: F.when(F.size(f) > 0, joined(f)).otherwise(none))).otherwise(none)
 
 
-def pseudonymise(documents: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
+def pseudonymise(documents: DataFrame, key: str | None = None, text: str = "text") -> DataFrame:
     """All rows and columns of documents with the text replaced, and n_chars, where there is one, counted again:
-    addresses and dates can change their width. Null and empty texts stay as they are."""
+    addresses can change their width. Null and empty texts stay as they are, repeated rows become equal ones, an empty
+    table stays empty. key is that of KEY_SETTING unless given."""
+    key = key or documents.sparkSession.conf.get(KEY_SETTING, KEY)
     out = documents.withColumn(text, pseudonymised(F.col(text), key)["text"])
     return out.withColumn("n_chars", F.length(text).cast(dict(documents.dtypes)["n_chars"])) if "n_chars" in documents.columns else out
 
 
-def pseudonymise_documents(documents: DataFrame, key: str = KEY) -> DataFrame:
-    """doc_id, text with pseudonyms, and n_found of all documents."""
+def pseudonymise_documents(documents: DataFrame, key: str | None = None) -> DataFrame:
+    """doc_id, text with pseudonyms, and n_found of all documents. Null and empty texts stay; repeated rows are replaced
+    alike; an empty table gives an empty one; other columns are ignored."""
+    key = key or documents.sparkSession.conf.get(KEY_SETTING, KEY)
     made = documents.select("doc_id", pseudonymised(F.col("text"), key).alias("_new"))
     return made.select("doc_id", F.col("_new.text").alias("text"), F.col("_new.n_found").alias("n_found"))

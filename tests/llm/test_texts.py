@@ -273,6 +273,95 @@ def test_pii_takes_every_notation_that_validates(spark):
     assert "2100 0418" not in got[n + 3] and "ABNA" not in got[n + 3] and " BANK OF NL" in got[n + 3] and got[n + 3].endswith(" NOW")
 
 
+def plain_prf(key, *parts):
+    return int(hashlib.sha256("|".join([key, *map(str, parts)]).encode()).hexdigest()[:13], 16)
+
+
+def plain_number(n, a, b, tag, key):
+    x, y = divmod(n, b)
+    for r in range(pii.ROUNDS):
+        x, y = y, (x + plain_prf(key, tag, r, y)) % (a if r % 2 == 0 else b)
+    return x * b + y
+
+
+def plain_letters(s, tag, key):
+    kind = lambda s: 0 if re.fullmatch("[0-9a-f]+", s) and re.search("[a-f]", s) else 1 if re.fullmatch("[0-9A-F]{32,}", s) and re.search("[A-F]", s) else 2
+    k, v = kind(s), s
+    while True:
+        x, y = v[: len(v) // 2], v[len(v) // 2 :]
+        for r in range(pii.ROUNDS):
+            h = hashlib.sha256("|".join([key, tag, str(r), str(len(x)), y]).encode()).hexdigest()
+            out = ""
+            for i, c in enumerate(x):
+                by = int(h[i % 31 * 2 : i % 31 * 2 + 4], 16) + i
+                alphabet = ("0123456789abcdef", "0123456789ABCDEF")[k] if k < 2 else next((a for a in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c in a), c)
+                out += alphabet[(alphabet.index(c) + by) % len(alphabet)]
+            x, y = y, out
+        v = x + y
+        if kind(v) == k:
+            return v
+
+
+def test_pseudonyms_equal_a_plain_feistel_network(spark):
+    import datetime
+
+    def plain_date(t):
+        mark, parts = re.search("[./-]", t)[0], re.split("[./-]", t)
+        iso = len(parts[0]) == 4
+        first = not iso and int(parts[1]) <= 12
+        y, m, d = parts if iso else (parts[2], parts[1], parts[0]) if first else (parts[2], parts[0], parts[1])
+        zero, (a, b) = (datetime.date(1900, 1, 1), (92, 397)) if y < "2000" else (datetime.date(2000, 1, 1), (75, 487))
+        v = datetime.date(int(y), int(m), int(d))
+        while True:
+            v = zero + datetime.timedelta(plain_number((v - zero).days, a, b, "date" + str(zero)[:2], "k"))
+            if (len(d) == 2 or v.day < 10) and (len(m) == 2 or v.month < 10) and (iso or first or v.day > 12):
+                break
+        d, m, y = str(v.day).rjust(len(d), "0"), str(v.month).rjust(len(m), "0"), str(v.year)
+        return mark.join((y, m, d) if iso else (d, m, y) if first else (m, d, y))
+
+    dates = ["1/2/1999", "3.4.2001", "31.12.1999", "12/25/1985", "1985-03-12", "9-9-2000", "29.2.2000", "01.02.2003", "5/31/2010"]
+    addresses = ["1.2.3.4", "255.254.3.0"]
+    words = ["a", "f0", "deadbeef", "zeta9", "Ab-c_9", "12345678", "0123456789ABCDEF" * 2, "x" * 70]
+    rows = [(v, "date") for v in dates] + [(v, "ip") for v in addresses] + [(v, "word") for v in words]
+    df = spark.createDataFrame(rows, "v string, kind string").repartition(2)
+    got = {x.v: x.o for x in df.select("v", F.when(F.col("kind") == "date", pii.date(F.col("v"), "k")).when(F.col("kind") == "ip", pii.ipv4(F.col("v"), "k")).otherwise(pii.permute_letters(F.col("v"), "t", "k")).alias("o")).collect()}
+    assert {v: got[v] for v in dates} == {v: plain_date(v) for v in dates}
+    assert all([len(x) for x in re.split("[./-]", v)] == [len(x) for x in re.split("[./-]", got[v])] for v in dates)
+    for v in addresses:
+        n = plain_number(int.from_bytes(bytes(map(int, v.split("."))), "big"), 65536, 65536, "ip", "k")
+        assert got[v] == ".".join(map(str, n.to_bytes(4, "big")))
+    assert {v: got[v] for v in words} == {v: plain_letters(v, "t", "k") for v in words}
+
+
+def test_permutations_of_whole_domains(spark):
+    letters = spark.range(16**3).select(F.lower(F.lpad(F.hex("id"), 3, "0")).alias("v")).unionByName(spark.range(1296).select(F.concat(F.char(97 + F.col("id") % 26), F.char(97 + (F.col("id") / 26).cast("int") % 26)).alias("v"))).distinct()
+    made = letters.select("v", pii.permute_letters(F.col("v"), "t", "k").alias("o"))
+    assert made.agg(F.countDistinct("o")).first()[0] == letters.count()
+    assert made.filter(pii.letters_class(F.col("v")) != pii.letters_class(F.col("o"))).isEmpty()
+    days = spark.range(7305).select(F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    notations = days.select(F.explode(F.array(F.date_format("d", "d/M/yyyy"), F.date_format("d", "dd/MM/yyyy"), F.date_format("d", "M/d/yyyy"))).alias("v")).distinct()
+    made = notations.repartition(4).select("v", pii.date(F.col("v"), "k").alias("o"))
+    assert made.agg(F.countDistinct("o")).first()[0] == notations.count()
+
+
+def test_national_phones_and_versions(spark):
+    phones = ["030 1234567", "0171 2345678", "089/123456", "01 42 68 53 00", "06.12.34.56.78", "612 345 678", "91 234 56 78", "(030) 901820"]
+    left = ["version 1.2.3.4", "v1.2.3.4 is out", "in 0171 days", "1,030 1234567", "10 20 30 40 50"]
+    df = documents(spark, [f"call {p} now" for p in phones] + left)
+    got = [x.text for x in sorted(pii.pseudonymise_documents(df).collect(), key=lambda x: x.doc_id)]
+    shape = lambda t: re.sub("[0-9]", "9", t)
+    for p, t in zip(phones, got):
+        assert shape(t) == shape(f"call {p} now") and (p not in t) == (p != "91 234 56 78"), (p, t)
+    assert got[len(phones) :] == left
+    spark.conf.set(pii.KEY_SETTING, "another")
+    try:
+        assert pii.pseudonymise_documents(df).filter("doc_id = 0").first().text == pii.pseudonymise_documents(df, "another").filter("doc_id = 0").first().text != got[0]
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    odd = spark.createDataFrame([(1, "mail a@b.org " * 3_000, "x", 3), (1, "mail a@b.org " * 3_000, "x", 3), (None, None, None, None)], "doc_id long, text string, _new string, n_chars int")
+    assert pii.pseudonymise(odd).columns == odd.columns and [x.n_found for x in pii.pseudonymise_documents(odd).orderBy("doc_id").collect()] == [0, 3_000, 3_000]
+
+
 def test_number_permutation_is_a_bijection(spark):
     out = spark.range(75 * 487).select(pii.permute_number(F.col("id"), 75, 487, "t", "k").alias("v")).agg(F.countDistinct("v"), F.min("v"), F.max("v")).first()
     assert tuple(out) == (75 * 487, 0, 75 * 487 - 1)
