@@ -200,6 +200,7 @@ def _all() -> dict[str, tuple[Query, str | None]]:
         out[f"ccl_periodic_{c}"] = _ccl("event:3", c, periodic=True)
         out[f"ccl_continuous_{c}"] = _ccl("event:9", c, delta=1)
     out["ccl_periodic_6"] = _ccl("lineitem:5", 6, periodic=True)
+    out["ccl_periodic_binary_6"] = _ccl("lineitem:5", 6, periodic=True, binary=True)
     for c in (6, 18, 26):
         out[f"ccl_continuous_{c}"] = _ccl("lineitem:9", c, delta=1)
     out["ccl_continuous_float"] = (lambda s, d: label.connected_components(*embedding_grid(s, d), 4, delta=0.02)), None
@@ -218,9 +219,12 @@ def _all() -> dict[str, tuple[Query, str | None]]:
         lambda g: "SELECT * FROM cells WHERE v IN (SELECT v FROM cells GROUP BY v HAVING count(*) >= 1000 AND count(*) < 4000)",
     )
     top = ", sizes AS (SELECT label, count(*) AS n FROM lab GROUP BY label), top AS (SELECT label AS old, row_number() OVER (ORDER BY n, label) AS label FROM (SELECT * FROM sizes ORDER BY n DESC, label LIMIT {})) SELECT x, y, z, top.label AS label FROM lab JOIN top ON lab.label = top.old"
+    as_labels = lambda c: c.withColumnRenamed("v", "label")
     out["largest_k"] = _on_labels("lineitem:5", 6, lambda c, g: prune.largest_k(c, g, 10, 6), top.format(10))
+    out["largest_all"] = _on_labels("lineitem:5", 6, lambda c, g: prune.largest_k(c, g, 1_000_000, 6), "SELECT x, y, z, label FROM lab")
+    out["largest_none"] = _on_labels("lineitem:5", 6, lambda c, g: prune.largest_k(c, g, 0, 6), "SELECT x, y, z, label FROM lab WHERE FALSE")
+    out["each_binary"] = _on_cells("event:3", lambda c, g: extract.each(as_labels(c), binary=True), lambda g: "SELECT CAST(v AS BIGINT) AS label, x, y, z, TRUE AS value FROM cells")
     out["largest_1"] = _on_labels("event:3", 8, lambda c, g: prune.largest_k(c, g, 1, 8), top.format(1))
-    as_labels = lambda c: c.withColumnRenamed("v", "label")
     out["contacts_area"] = _on_cells("lineitem:5", lambda c, g: contacts.contacts(as_labels(c), g), lambda g: _contacts_sql(g, 26, ", sum(o.area) AS value").replace("o.area", "CAST(o.area AS DOUBLE)"))
     out["contacts_count"] = _on_cells("lineitem:5", lambda c, g: contacts.contacts(as_labels(c), g, 18, surface_area=False), lambda g: _contacts_sql(g, 18, ", CAST(count(*) AS DOUBLE) AS value"))
     out["contacts_anisotropic"] = _on_cells(

@@ -33,6 +33,12 @@ def test_periodic(spark, connectivity, ndim):
     assert (run(spark, a, connectivity, periodic_boundary=True) == brute.label(a, connectivity, periodic=True)).all()
 
 
+@pytest.mark.parametrize("connectivity,ndim", [(4, 2), (8, 2), (6, 3)])
+def test_periodic_binary(spark, connectivity, ndim):
+    a = RNG.integers(0, 2, (7, 6, 5)[:ndim]) * RNG.integers(1, 4, (7, 6, 5)[:ndim])
+    assert (run(spark, a, connectivity, periodic_boundary=True, binary_image=True) == brute.label(a, connectivity, periodic=True, binary=True)).all()
+
+
 @pytest.mark.parametrize("connectivity,ndim", [(8, 2), (26, 3)])
 def test_continuous(spark, connectivity, ndim):
     a = RNG.integers(0, 60, (9, 8, 5)[:ndim]).astype(np.float64)
