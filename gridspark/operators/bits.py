@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import mul
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridspark.operators.grid import Grid, densify
+from gridspark.operators import halo
+from gridspark.operators.grid import Grid
 from gridspark.operators.label import dense_labels
 from gridspark.operators.neighborhood import BITS_2D, BITS_3D, check_connectivity, offsets
 from gridspark.plans.components import connected_components
@@ -30,14 +35,34 @@ def voxel_connectivity_graph(df: DataFrame, grid: Grid, connectivity: int = 26,
         raise TypeError("only whole numbers and booleans are supported")
     reach = set(offsets(connectivity, 2 if connectivity in (4, 8) else 3))
     bits = {o: 1 << i for i, o in enumerate(_encoding(connectivity, grid)) if o in reach}
-    cells = densify(df.withColumn(column, F.col(column).cast("long")), grid, column)
-    steps = F.array(*[F.struct(*[F.lit(d).alias(f"d{n}") for n, d in zip("xyz", o, strict=True)], F.lit(b).alias("bit")) for o, b in bits.items()])
-    one = cells.select(F.col(column).alias("_v"), "x", "y", "z", F.explode(steps).alias("_o"))
-    # what each cell tells the neighbour in the opposite direction: a bit to clear if the values differ
-    told = one.select(F.col("_v"), F.col("_o.bit").alias("_bit"), *[(F.col(n) - F.col(f"_o.d{n}")).alias(n) for n in "xyz"])
-    differs = cells.join(told, ["x", "y", "z"]).filter(F.col(column) != F.col("_v")).groupBy("x", "y", "z").agg(F.bit_or("_bit").alias("_clear"))
-    full = reduce(int.__or__, bits.values())
-    return cells.join(differs, ["x", "y", "z"], "left").select("x", "y", "z", (F.lit(full) - F.coalesce("_clear", F.lit(0))).cast("int").alias("bits"))
+    steps, full = list(bits), reduce(int.__or__, bits.values())
+    value = F.coalesce(F.col(column).cast("long"), F.lit(0).cast("long")).alias("v")
+    blocks = halo.blocks_of(grid)
+    side, sizes = blocks.side, blocks.size
+    cells = blocks.spread(df.select("x", "y", "z", value).filter("v <> 0"))
+    nothing = [F.lit(None).cast(cells.schema[n].dataType).alias(n) for n in ("x", "y", "z", "v")]
+    empty = df.sparkSession.range(reduce(mul, blocks.counts)).select(*nothing, F.col("id").alias("_block"))  # blocks without cells too
+
+    def field(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        rows = rows.filter(pc.is_valid(rows.column("x")))
+        first = blocks.corner(key[0].as_py())
+        values = np.zeros([s + 2 for s in side], np.int64)
+        at = [rows.column(n).to_numpy().astype(np.int64) - f + 1 for n, f in zip("xyz", first, strict=True)]
+        values[tuple(at)] = rows.column("v").to_numpy()
+        size = [int(min(s, n - f)) for s, n, f in zip(side, sizes, first, strict=True)]
+        place = np.indices(size)
+        here = values[tuple(slice(1, n + 1) for n in size)]
+        clear = np.zeros(size, np.int64)
+        for step in steps:
+            there = values[tuple(slice(1 + d, n + 1 + d) for d, n in zip(step, size, strict=True))]
+            inside = np.ones(size, bool)
+            for d, p, f, n in zip(step, place, first, sizes, strict=True):
+                inside &= (p + f + d >= 0) & (p + f + d < n)
+            clear |= np.where(inside & (here != there), bits[step], 0)
+        out = {n: (p + f).ravel().astype(np.int32) for n, p, f in zip("xyz", place, first, strict=True)}
+        return pa.table(out | {"bits": (full - clear).ravel().astype(np.int32)})
+
+    return cells.unionByName(empty).groupBy("_block").applyInArrow(field, "x int, y int, z int, bits int")
 
 
 def color_connectivity_graph(graph: DataFrame, grid: Grid, connectivity: int = 26, return_N: bool = False, wide: bool | None = None, column: str = "bits"):
@@ -53,10 +78,12 @@ def color_connectivity_graph(graph: DataFrame, grid: Grid, connectivity: int = 2
     reach = set(offsets(connectivity, 2 if connectivity in (4, 8) or grid.sz == 1 else 3))
     back = [(o, i) for i, o in enumerate(order) if o in reach and o[::-1] < (0, 0, 0)]
     cells = written(graph.select("x", "y", "z", F.col(column).cast("int").alias("_bits"), grid.lin().alias("lin")), "fields")
-    steps = F.array(*[F.struct(*[F.lit(d).alias(f"d{n}") for n, d in zip("xyz", o, strict=True)], F.lit(i).alias("i")) for o, i in back])
-    one = cells.select("lin", "_bits", "x", "y", "z", F.explode(steps).alias("_o")).filter(F.getbit("_bits", F.col("_o.i")) == 1)
-    one = one.select(F.col("lin").alias("a"), *[(F.col(n) + F.col(f"_o.d{n}")).alias(n) for n in "xyz"])
-    edges = written(one.join(cells.select(F.col("lin").alias("b"), "x", "y", "z"), ["x", "y", "z"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "edges")
+    passable = np.array([1 << i for _, i in back], np.int64)
+
+    def passes(rows: pa.Table, n: int, i: np.ndarray, _: np.ndarray) -> np.ndarray:
+        return (rows.column("_bits").to_numpy()[i].astype(np.int64) & passable[n]) != 0
+
+    edges = written(halo.edges(cells, grid, [o for o, _ in back], "lin", passes), "edges")
     if edges.isEmpty():
         rooted = cells.select("x", "y", "z", F.col("lin").alias("root"))
     else:

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridspark.operators import halo
 from gridspark.operators.grid import Grid, foreground
 from gridspark.operators.neighborhood import check_connectivity, half_offsets
 
 
 def _pairs(labels: DataFrame, grid: Grid, connectivity: int, weights: tuple[float, ...], column: str) -> DataFrame:
-    """(label_1, label_2, area) for each pair of neighbouring cells with different labels, none of them 0."""
+    """(label_1, label_2, face, n): how many neighbouring cells with these labels, none of them 0, share a face of that
+    area; rows are sums over a block of cells each."""
     check_connectivity(connectivity, grid)
     wx, wy, wz = (*weights, 1.0, 1.0, 1.0)[:3]
     cells = foreground(labels, column=column).select("x", "y", "z", F.col("v").cast("long").alias("label"))
+    steps, blocks = half_offsets(connectivity, grid.ndim), halo.blocks_of(grid)
 
     def area(o: tuple[int, int, int]) -> float:
         if sum(map(abs, o)) > 1:
@@ -22,17 +27,24 @@ def _pairs(labels: DataFrame, grid: Grid, connectivity: int, weights: tuple[floa
             return float(wy if o[0] else wx)
         return float(wy * wz if o[0] else wx * wz if o[1] else wx * wy)
 
-    steps = F.array(*[F.struct(*[F.lit(d).alias(f"d{n}") for n, d in zip("xyz", o, strict=True)], F.lit(area(o)).alias("area")) for o in half_offsets(connectivity, grid.ndim)])
-    one = cells.select("label", "x", "y", "z", F.explode(steps).alias("_o"))
-    one = one.select(F.col("label").alias("_l"), F.col("_o.area").alias("area"), *[(F.col(n) + F.col(f"_o.d{n}")).alias(n) for n in "xyz"])
-    met = one.join(cells, ["x", "y", "z"]).filter("_l <> label")
-    return met.select(F.least("_l", "label").alias("label_1"), F.greatest("_l", "label").alias("label_2"), "area")
+    areas = [area(o) for o in steps]
+
+    def meet(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        label, out = rows.column("label").to_numpy(), []
+        for k, i, j in blocks.meetings(rows, key[0].as_py(), steps):
+            other = label[i] != label[j]
+            one, two, n = halo.distinct_pairs(label[i][other], label[j][other])
+            out.append(pa.table({"label_1": one, "label_2": two, "face": np.full(len(n), areas[k]), "n": n}))
+        return pa.concat_tables(out)
+
+    schema = "label_1 long, label_2 long, face double, n long"
+    return blocks.spread(cells).groupBy("_block").applyInArrow(meet, schema)
 
 
 def contacts(labels: DataFrame, grid: Grid, connectivity: int = 26, surface_area: bool = True, anisotropy: tuple[float, ...] = (1, 1, 1), column: str = "label") -> DataFrame:
     """(label_1, label_2, value), label_1 < label_2: shared area of each pair of regions, or number of neighbouring
     cells. Pairs that touch only across edges or corners have area 0 and stay. Each adjacency counts once."""
-    value = F.sum("area") if surface_area else F.count(F.lit(1)).cast("double")
+    value = F.sum(F.col("face") * F.col("n")) if surface_area else F.sum("n").cast("double")
     return _pairs(labels, grid, connectivity, tuple(anisotropy), column).groupBy("label_1", "label_2").agg(value.alias("value"))
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridspark.operators import halo
 from gridspark.operators.grid import Grid, foreground, is_float
 from gridspark.operators.neighborhood import check_connectivity, half_offsets, row_offsets
 from gridspark.operators.runs import cell_runs
@@ -53,14 +56,16 @@ def run_edges(cells: DataFrame, grid: Grid, connectivity: int, periodic: bool, b
 def _cell_edges(cells: DataFrame, grid: Grid, connectivity: int, delta: float) -> DataFrame:
     """Edges (a, b) between runs that hold neighbouring cells whose values differ by delta at most."""
     steps = [o for o in half_offsets(connectivity, grid.ndim) if o != (-1, 0, 0)]
-    if not steps:
-        return cells.select(F.col("run").alias("a"), F.col("run").alias("b")).limit(0)
-    offsets = F.array(*[F.struct(*[F.lit(d).alias(f"d{n}") for n, d in zip("xyz", o, strict=True)]) for o in steps])
-    one = cells.select("run", "v", "x", "y", "z", F.explode(offsets).alias("_o"))
-    one = one.select(F.col("run").alias("a"), F.col("v").alias("_v"), *[(F.col(n) + F.col(f"_o.d{n}")).alias(n) for n in "xyz"])
-    other = cells.select(F.col("run").alias("b"), "v", "x", "y", "z")
-    met = one.join(other, ["x", "y", "z"]).filter((F.abs(F.col("v") - F.col("_v")) <= F.lit(delta)) & (F.col("a") != F.col("b")))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def close(rows: pa.Table, _: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        v = rows.column("v").to_numpy()
+        if v.dtype.kind != "i":
+            return np.abs(v[i] - v[j]).astype(float) <= delta
+        one, other = v[i].astype(np.int64), v[j].astype(np.int64)
+        apart = np.maximum(one, other).view(np.uint64) - np.minimum(one, other).view(np.uint64)  # wraps to the true difference
+        return apart <= np.uint64(min(int(delta), 2**64 - 1))
+
+    return halo.edges(cells.select("run", "v", "x", "y", "z"), grid, steps, "run", close)
 
 
 def dense_labels(roots: DataFrame, column: str = "root") -> DataFrame:
