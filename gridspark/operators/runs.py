@@ -6,22 +6,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.operators.grid import Grid, foreground, is_float
+from gridspark.plans.scratch import written
+
+
+#: Cells along x, and of the flattened grid, that one task puts in order; runs that go on are joined afterwards.
+ROW_STRETCH, FLAT_STRETCH = 1 << 18, 1 << 20
+
+
+def _apart(cells: DataFrame, one: Column, other: Column, delta: float) -> Column:
+    """Whether two values belong to different runs."""
+    differs = F.abs(one - other) > F.lit(delta) if delta else one != other
+    return differs | F.isnan(one) | F.isnan(other) if is_float(cells) else differs
 
 
 def cell_runs(cells: DataFrame, grid: Grid, delta: float = 0) -> DataFrame:
     """Foreground cells (x, y, z, v) with run, the linear index of the first cell of their run along x.
 
-    Neighbours in a row share a run if their values are equal, or differ by delta at most. NaN is never equal.
+    Neighbours in a row share a run if their values are equal, or differ by delta at most. NaN is never equal. Rows
+    longer than ROW_STRETCH are put in order by stretches.
     """
-    row = Window.partitionBy("y", "z").orderBy("x")
-    apart = (F.col("x") - F.lag("x").over(row)) != 1
-    differs = F.abs(F.col("v") - F.lag("v").over(row)) > F.lit(delta) if delta else F.col("v") != F.lag("v").over(row)
-    if is_float(cells):
-        differs = differs | F.isnan("v") | F.isnan(F.lag("v").over(row))
-    starts = F.coalesce(apart | differs, F.lit(True))
-    marked = cells.withColumn("_at", F.when(starts, F.col("x")))
+    long = grid.sx > ROW_STRETCH
+    keys = ["y", "z", "_k"] if long else ["y", "z"]
+    if long:
+        cells = cells.withColumn("_k", F.floor(F.col("x") / ROW_STRETCH))
+    row = Window.partitionBy(*keys).orderBy("x")
+    gap = (F.col("x") - F.lag("x").over(row)) != 1
+    starts = F.coalesce(gap | _apart(cells, F.col("v"), F.lag("v").over(row), delta), F.lit(True))
     first = F.last("_at", ignorenulls=True).over(row.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("run", grid.lin(first)).drop("_at")
+    marked = cells.withColumn("_at", F.when(starts, F.col("x"))).withColumn("_first", first).drop("_at")
+    if long:
+        marked = written(marked, "stretches")
+        heads = marked.filter(F.col("x") == F.col("_k") * ROW_STRETCH).select(*keys, F.col("v").alias("_head"))
+        tails = marked.filter(F.col("x") == (F.col("_k") + 1) * ROW_STRETCH - 1).select("y", "z", (F.col("_k") + 1).alias("_k"), F.col("v").alias("_tail"), F.col("_first").alias("_from"))
+        met = heads.join(tails, keys).filter(~_apart(cells, F.col("_head"), F.col("_tail"), delta))
+        # a run that fills the stretch before goes on from where that one began; two rows for each stretch at most
+        order = Window.partitionBy("y", "z").orderBy("_k")
+        goes_on = (F.lag("_k").over(order) == F.col("_k") - 1) & (F.col("_from") == (F.col("_k") - 1) * ROW_STRETCH)
+        begun = met.withColumn("_begun", F.when(F.coalesce(goes_on, F.lit(False)), None).otherwise(F.col("_from")))
+        begun = begun.select(*keys, F.last("_begun", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_begun"))
+        marked = marked.join(begun, keys, "left").withColumn("_first", F.when(F.col("_first") == F.col("_k") * ROW_STRETCH, F.coalesce("_begun", "_first")).otherwise(F.col("_first"))).drop("_begun", "_k")
+    return marked.withColumn("run", grid.lin(F.col("_first"))).drop("_first")
 
 
 def x_runs(cells: DataFrame, grid: Grid) -> DataFrame:
@@ -35,15 +59,17 @@ def flat_runs(labels: DataFrame, grid: Grid, column: str = "label") -> DataFrame
     Islands are found within label and block of the flattened index, then joined where blocks meet, so that no task
     sorts all cells of one label.
     """
-    block = 1 << 20
+    block = FLAT_STRETCH
     cells = labels.filter(F.col(column).isNotNull() & (F.col(column) != 0)).select(F.col(column).cast("long").alias("label"), grid.lin().alias("lin"))
     inside = Window.partitionBy("label", F.floor(F.col("lin") / block)).orderBy("lin")
     parts = cells.withColumn("_island", F.col("lin") - F.row_number().over(inside)).groupBy("label", F.floor(F.col("lin") / block).alias("_block"), "_island").agg(F.min("lin").alias("start"), (F.max("lin") + 1).alias("end"))
-    # a part that ends at its block's end goes on where one starts there
+    # only parts that touch a block's border, two for each label and block at most, can go on in another
+    touches = (F.col("start") % block == 0) | (F.col("end") % block == 0)
     order = Window.partitionBy("label").orderBy("start")
     fresh = F.coalesce(F.lag("end").over(order) != F.col("start"), F.lit(True))
-    chained = parts.withColumn("_run", F.sum(F.when(fresh, 1).otherwise(0)).over(order))
-    return chained.groupBy("label", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
+    chained = parts.filter(touches).withColumn("_run", F.sum(F.when(fresh, 1).otherwise(0)).over(order))
+    chained = chained.groupBy("label", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
+    return parts.filter(~touches).select("label", "start", "end").unionByName(chained)
 
 
 def draw(runs: DataFrame, grid: Grid, image: DataFrame | None = None, value: object = None, column: str = "label") -> DataFrame:

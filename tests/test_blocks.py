@@ -61,3 +61,35 @@ def test_colouring(spark):
     df, grid = from_numpy(spark, a, "F")
     got = bits.color_connectivity_graph(bits.voxel_connectivity_graph(df, grid, 26), grid, 26)
     assert (to_numpy(got, grid) == brute.label(a + 1, 26)).all()
+
+
+def test_rows_by_stretches(spark, monkeypatch):
+    monkeypatch.setattr(runs, "ROW_STRETCH", 4)
+    a = np.array([1, 1, 1, 1, 1, 1, 1, 1, 1, 2, 2, 2, 2, 2, 2, 2, 2, 0, 2, 2, 2, 3, 3, 3, 3, 0, 0, 0, 0, 3])
+    a = np.stack([a, a[::-1], RNG.integers(0, 2, len(a))], 1)
+    df, grid = from_numpy(spark, a, "F")
+    got = to_numpy(runs.cell_runs(df, grid), grid, "run")
+    monkeypatch.setattr(runs, "ROW_STRETCH", 1 << 18)
+    assert (got == to_numpy(runs.cell_runs(df, grid), grid, "run")).all()
+    for delta in (0, 1):
+        want = brute.label(a, 4, delta)
+        monkeypatch.setattr(runs, "ROW_STRETCH", 4)
+        assert (to_numpy(label.connected_components(df, grid, 4, delta), grid) == want).all()
+
+
+def test_one_giant_label_in_fragments(spark, monkeypatch):
+    monkeypatch.setattr(runs, "FLAT_STRETCH", 8)
+    a = (RNG.random(200) > 0.2).astype(int)
+    a[40:75] = 1
+    df, grid = from_numpy(spark, a, "F")
+    edge = np.flatnonzero(np.diff(np.r_[0, a, 0]))
+    got = {tuple(r) for r in runs.flat_runs(df.withColumnRenamed("v", "label"), grid).select("start", "end").collect()}
+    assert got == set(zip(edge[::2].tolist(), edge[1::2].tolist()))
+
+
+def test_background_of_a_full_and_of_an_empty_grid(spark):
+    df, grid = from_numpy(spark, np.ones((3, 2, 2), int), "F")
+    full = {r.label: r for r in stats.statistics(df, grid, "v").collect()}
+    assert full[0].voxel_counts == 0 and full[0].xmin is None and np.isnan(full[0].cx) and full[1].voxel_counts == 12
+    none = stats.statistics(df.filter("v = 0"), grid, "v").collect()
+    assert [(r.label, r.voxel_counts, r.xmin, r.xmax, r.zmax, r.cx) for r in none] == [(0, 12, 0, 3, 2, 1.0)]
