@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 from gridspark.operators import bits, contacts, extract, label, prune, runs, stats
 from gridspark.operators.grid import Grid, densify
 from gridspark.operators.neighborhood import BITS_2D, BITS_3D, half_offsets, offsets, row_offsets
+from gridspark.plans.scratch import scratch_folder
 from gridspark.sources.fixtures import EVENT_GRID, LINEITEM_GRID, embedding_grid, event_grid, lineitem_grid
+from gridspark.streaming.slabs import SlabLabels
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -149,6 +152,38 @@ def _stacked(connectivity: int) -> tuple[Query, str]:
     return _on_labels("lineitem:5", connectivity, run, "SELECT x, y, z, label FROM lab")
 
 
+def _streamed(connectivity: int) -> tuple[Query, str]:
+    """Labels of cells that arrive as a stream of files."""
+    read, sql, grid = _source("lineitem:5")
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        cells, folder = read(spark, sf_dir)[0], f"{scratch_folder(spark)}/stream-{uuid.uuid4().hex}"
+        cells.repartitionByRange(4, "z").write.parquet(f"{folder}/cells")
+        volume = SlabLabels(spark, f"{folder}/volume", grid, connectivity)
+        stream = spark.readStream.schema(cells.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/cells")
+        volume.writer(stream).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+        return volume.labels()
+
+    return query, _run_labels_sql(sql, grid, connectivity) + "SELECT x, y, z, label FROM lab"
+
+
+def _returned_count(cells: DataFrame, grid: Grid) -> DataFrame:
+    n = label.connected_components(cells, grid, 18, return_N=True)[1]
+    return cells.sparkSession.range(1).select(F.lit(n).cast("long").alias("n"))
+
+
+def _absent(cells: DataFrame, grid: Grid) -> DataFrame:
+    """Statistics where two of three labels don't occur."""
+    out = stats.statistics(cells.select("x", "y", "z", (F.col("v") * 3).alias("label")), grid, no_slice_conversion=True)
+    return out.select("label", "voxel_counts", *[F.coalesce(n, F.lit(-1)).alias(n) for n in stats.BOXES], F.isnan("cx").alias("absent"))
+
+
+def _absent_sql(grid: Grid) -> str:
+    boxes = ", ".join(f"coalesce({n}, -1) AS {n}" for n in stats.BOXES)
+    return f"""SELECT * FROM (WITH {_dense(grid)}, found AS ({_stats_sql("full_", "v * 3", False)}), every AS (SELECT i AS label FROM range((SELECT max(label) + 1 FROM found)) r(i))
+SELECT every.label, coalesce(voxel_counts, 0) AS voxel_counts, {boxes}, found.label IS NULL AS absent FROM every LEFT JOIN found ON found.label = every.label)"""
+
+
 def _count(source: str, connectivity: int) -> tuple[Query, str]:
     def run(cells: DataFrame, grid: Grid) -> DataFrame:
         return label.connected_components(cells, grid, connectivity).agg(F.coalesce(F.max("label"), F.lit(0)).alias("n"))
@@ -164,12 +199,12 @@ def _background(cells: DataFrame, grid: Grid) -> DataFrame:
     return stats.statistics(cells.withColumnRenamed("v", "label"), grid)
 
 
-def _colored(source: str, connectivity: int, field: int) -> tuple[Query, str]:
+def _colored(source: str, connectivity: int, field: int, wide: bool | None = None) -> tuple[Query, str]:
     """Components of the field of `field` connectivity; in SQL, labels of all cells, background included."""
     read, sql, grid = _source(source)
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return bits.color_connectivity_graph(bits.voxel_connectivity_graph(read(spark, sf_dir)[0], grid, field), grid, connectivity)
+        return bits.color_connectivity_graph(bits.voxel_connectivity_graph(read(spark, sf_dir)[0], grid, field), grid, connectivity, wide=wide)
 
     dense = f"WITH cells AS ({sql}), {_dense(grid)} SELECT x, y, z, v FROM full_"
     return query, _run_labels_sql(dense, grid, connectivity) + "SELECT x, y, z, label FROM lab"
@@ -205,9 +240,11 @@ def _all() -> dict[str, tuple[Query, str | None]]:
         out[f"ccl_continuous_{c}"] = _ccl("lineitem:9", c, delta=1)
     out["ccl_continuous_float"] = (lambda s, d: label.connected_components(*embedding_grid(s, d), 4, delta=0.02)), None
     out["component_count"] = _count("lineitem:5", 26)
+    out["returned_count"] = _on_labels("lineitem:5", 18, _returned_count, "SELECT coalesce(max(label), 0) AS n FROM lab")
     out["statistics_3d"] = _on_labels("lineitem:5", 6, _statistics, _stats_sql("lab", "label", False))
     out["statistics_2d"] = _on_labels("event:3", 8, _statistics, _stats_sql("lab", "label", False))
     out["statistics_background"] = _on_cells("lineitem:5", _background, lambda g: f"SELECT * FROM (WITH {_dense(g)} {_stats_sql('full_')})")
+    out["statistics_absent"] = _on_cells("event:3", _absent, _absent_sql)
     sizes = ", sizes AS (SELECT label, count(*) AS n FROM lab GROUP BY label) "
     kept = "SELECT x, y, z, v FROM lab WHERE label IN (SELECT label FROM sizes WHERE {})"
     out["dust_min"] = _on_labels("lineitem:5", 6, lambda c, g: prune.dust(c, g, 4, 6), sizes + kept.format("n >= 4"))
@@ -245,6 +282,7 @@ def _all() -> dict[str, tuple[Query, str | None]]:
     )
     out["color_4"] = _colored("event:3", 4, 4)
     out["color_8"] = _colored("event:3", 8, 8)
+    out["color_8_wide"] = _colored("event:3", 8, 26, wide=True)
     out["color_6"] = _colored("lineitem:5", 6, 6)
     out["color_26"] = _colored("lineitem:5", 26, 26)
     out["runs_flat"] = _on_cells("lineitem:5", lambda c, g: runs.flat_runs(as_labels(c), g).withColumnRenamed("end", "stop"), lambda g: _runs_sql(g).replace('"end"', "stop"))
@@ -253,6 +291,7 @@ def _all() -> dict[str, tuple[Query, str | None]]:
     out["erase_runs"] = _on_cells("lineitem:5", _erased, lambda g: "SELECT * FROM cells WHERE v <> 1")
     out["stack_6"] = _stacked(6)
     out["stack_26"] = _stacked(26)
+    out["stream_18"] = _streamed(18)
     return out
 
 

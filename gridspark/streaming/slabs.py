@@ -20,6 +20,10 @@ from gridspark.plans.components import connected_components
 from gridspark.plans.scratch import written
 
 
+#: Planes whose cells share a folder.
+DEPTH = 32
+
+
 class SlabLabels:
     """Labels of a growing volume in the folder `path`, which all executors share. grid.sz may grow: in order F it
     isn't used, and cells are numbered plane by plane."""
@@ -30,21 +34,26 @@ class SlabLabels:
             raise ValueError("a volume that grows in z is numbered in order F")
         self.spark, self.path, self.grid, self.connectivity, self.binary = spark, path.rstrip("/"), grid, connectivity, binary
 
-    def _read(self, name: str) -> DataFrame | None:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
-            return None
-        return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(f"{self.path}/{name}")
+    def _read(self, name: str, parts: list[str] | None = None) -> DataFrame | None:
+        """A table of the volume, or those of its folders that are named and exist."""
+        paths = [f"{self.path}/{name}"] if parts is None else [f"{self.path}/{name}/{part}" for part in parts]
+        files = [self.spark._jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+        paths = [p for p, f in zip(paths, files, strict=True) if f.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(f)]
+        return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(*paths) if paths else None
 
     def add(self, batch: DataFrame, batch_id: int) -> None:
-        """Takes in the cells (x, y, z, v) of one batch."""
-        cells = cell_runs(foreground(batch, self.binary), self.grid)
-        cells.write.mode("overwrite").parquet(f"{self.path}/cells/batch={batch_id}")
-        cells = self.spark.read.parquet(f"{self.path}/cells/batch={batch_id}")
+        """Takes in the cells (x, y, z, v) of one batch. Cells lie in folders by z, so that a batch opens only those next
+        to it, however many came before."""
+        cells = foreground(batch, self.binary)
         planes = cells.agg(F.min("z").alias("low"), F.max("z").alias("high")).first()
         if planes.low is None:
             return
-        near = self._read("cells").filter((F.col("z") >= planes.low - 1) & (F.col("z") <= planes.high + 1)).select(cells.columns)
+        cells = cell_runs(cells, self.grid)
+        placed = cells.withColumns({"zs": F.floor(F.col("z") / DEPTH), "batch": F.lit(batch_id)})
+        placed.write.partitionBy("zs", "batch").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{self.path}/cells")
+        reach = range((planes.low - 1) // DEPTH, (planes.high + 1) // DEPTH + 1)
+        near = self._read("cells", [f"zs={k}" for k in reach])
+        near = near.filter((F.col("z") >= planes.low - 1) & (F.col("z") <= planes.high + 1)).select(cells.columns)
         edges = run_edges(near, self.grid, self.connectivity, False, not self.binary, within_rows=True)
         edges.write.mode("overwrite").parquet(f"{self.path}/edges/batch={batch_id}")
 
@@ -53,7 +62,7 @@ class SlabLabels:
         return stream.writeStream.foreachBatch(lambda batch, batch_id: self.add(batch, batch_id))
 
     def labels(self) -> DataFrame | None:
-        """(x, y, z, label) of all cells so far, numbered as connected_components() does; None before any came."""
+        """(x, y, z, label) of all cells so far, numbered as connected_components() does; None before any cell came."""
         cells, edges = self._read("cells"), self._read("edges")
         if cells is None:
             return None
