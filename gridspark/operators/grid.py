@@ -65,14 +65,14 @@ def densify(df: DataFrame, grid: Grid, column: str = "v", fill: object = 0) -> D
     return joined.withColumn(column, F.coalesce(F.col(column), F.lit(fill).cast(kind)))
 
 
-def foreground(df: DataFrame, binary: bool = False, column: str = "v") -> DataFrame:
-    """Cells with a value other than 0 and null; in binary mode, or for booleans, with the value 1."""
+def foreground(df: DataFrame, binary: bool = False, column: str = "v", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Cells with a value other than 0 and null; in binary mode, or for booleans, with the value 1. The columns keep stay."""
     kind = df.schema[column].dataType
     if isinstance(kind, T.BooleanType):
         binary, df = True, df.withColumn(column, F.col(column).cast("int"))
     elif not isinstance(kind, (T.NumericType,)):
         raise TypeError(f"type {kind.simpleString()} is not supported")
-    out = df.select("x", "y", "z", F.col(column).alias("v")).filter(F.col("v").isNotNull() & (F.col("v") != 0))
+    out = df.select("x", "y", "z", F.col(column).alias("v"), *keep).filter(F.col("v").isNotNull() & (F.col("v") != 0))
     return out.withColumn("v", F.lit(1)) if binary else out
 
 

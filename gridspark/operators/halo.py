@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.operators.grid import Grid
@@ -45,6 +45,12 @@ class Blocks:
         nx, ny, _ = self.counts
         return out.withColumn("_block", F.col("_bx") + nx * (F.col("_by") + ny * F.col("_bz"))).drop("_bx", "_by", "_bz")
 
+    def number(self) -> Column:
+        """The number of the block that holds a cell."""
+        bx, by, bz = (F.floor(F.col(n) / side) for n, side in zip("xyz", self.side, strict=True))
+        nx, ny, _ = self.counts
+        return bx + nx * (by + ny * bz)
+
     def corner(self, block: int) -> np.ndarray:
         """x, y, z of the first cell of a block."""
         nx, ny, _ = self.counts
@@ -77,10 +83,10 @@ def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return found[:, 0], found[:, 1], n
 
 
-def edges(cells: DataFrame, grid: Grid, steps: list[Step], node: str, joined: Callable[..., np.ndarray]) -> DataFrame:
+def edges(cells: DataFrame, grid: Grid, steps: list[Step], node: str, joined: Callable[..., np.ndarray], blocks: Blocks | None = None) -> DataFrame:
     """Distinct (a, b) of the nodes of cells that are one of the steps apart and that joined(rows, n, i, j), a boolean for
     each pair of rows of step n, lets meet; no node meets itself."""
-    blocks = blocks_of(grid)
+    blocks = blocks or blocks_of(grid)
 
     def compare(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         nodes = rows.column(node).to_numpy()

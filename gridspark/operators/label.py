@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridspark.operators import halo
 from gridspark.operators.grid import Grid, foreground, is_float
-from gridspark.operators.neighborhood import check_connectivity, half_offsets, row_offsets
-from gridspark.operators.runs import cell_runs
-from gridspark.plans.components import connected_components as components_of
+from gridspark.operators.neighborhood import check_connectivity, offsets, row_offsets
+from gridspark.operators.seams import Joined, components
 from gridspark.plans.scratch import small, written
 
 #: Cells along x that share a join key; a run is looked up under each stretch that it touches.
@@ -53,19 +54,39 @@ def run_edges(cells: DataFrame, grid: Grid, connectivity: int, periodic: bool, b
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _cell_edges(cells: DataFrame, grid: Grid, connectivity: int, delta: float) -> DataFrame:
-    """Edges (a, b) between runs that hold neighbouring cells whose values differ by delta at most."""
-    steps = [o for o in half_offsets(connectivity, grid.ndim) if o != (-1, 0, 0)]
+def matching(delta: float, binary: bool) -> Joined:
+    """Whether the values of cells are equal, or differ by delta at most; in binary mode all go together. NaN is unequal."""
 
-    def close(rows: pa.Table, _: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    def joined(rows: pa.Table, _: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        if binary:
+            return np.ones(len(i), bool)
         v = rows.column("v").to_numpy()
+        if not delta:
+            return np.equal(v[i], v[j]).astype(bool)
         if v.dtype.kind != "i":
             return np.abs(v[i] - v[j]).astype(float) <= delta
         one, other = v[i].astype(np.int64), v[j].astype(np.int64)
         apart = np.maximum(one, other).view(np.uint64) - np.minimum(one, other).view(np.uint64)  # wraps to the true difference
         return apart <= np.uint64(min(int(delta), 2**64 - 1))
 
-    return halo.edges(cells.select("run", "v", "x", "y", "z"), grid, steps, "run", close)
+    return joined
+
+
+def _across_borders(cells: DataFrame, grid: Grid, connectivity: int, binary: bool) -> DataFrame:
+    """Edges (a, b) between roots of cells of equal value that are neighbours across opposite borders of the grid."""
+    sizes = (grid.sx, grid.sy, grid.sz)
+    steps = F.array(*[F.struct(*[F.lit(d).alias(f"d{n}") for n, d in zip("xyz", o, strict=True)]) for o in offsets(connectivity, grid.ndim)])
+    border = reduce(or_, [(F.col(n) == 0) | (F.col(n) == size - 1) for n, size in zip("xyz", sizes, strict=True) if size > 1] or [F.lit(True)])
+    edge = cells.filter(border)
+    if is_float(cells):
+        edge = edge.filter(~F.isnan("v"))
+    there = {n: F.col(n) + F.col(f"_o.d{n}") for n in "xyz"}
+    leaves = reduce(or_, [~there[n].between(0, size - 1) for n, size in zip("xyz", sizes, strict=True)])
+    one = edge.select("x", "y", "z", "v", F.col("root").alias("a"), F.explode(steps).alias("_o")).filter(leaves)
+    one = one.select("a", "v", *[F.pmod(there[n], F.lit(size)).alias(n) for n, size in zip("xyz", sizes, strict=True)])
+    keys = ["x", "y", "z"] + ([] if binary else ["v"])
+    met = one.join(edge.select("x", "y", "z", "v", F.col("root").alias("b")), keys).filter("a <> b")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def dense_labels(roots: DataFrame, column: str = "root") -> DataFrame:
@@ -82,23 +103,23 @@ def dense_labels(roots: DataFrame, column: str = "root") -> DataFrame:
     return ranged.join(small(written(offsets, "offsets")), "_part").select(column, (F.col("_from") + F.row_number().over(inside)).cast("long").alias("label"))
 
 
-def run_labels(df: DataFrame, grid: Grid, connectivity: int = 26, delta: float = 0, periodic: bool = False, binary: bool = False, column: str = "v") -> tuple[DataFrame, DataFrame]:
-    """Foreground cells with their run, and (run, label) of all runs, as written tables."""
+def cell_labels(
+    df: DataFrame, grid: Grid, connectivity: int = 26, delta: float = 0, periodic: bool = False, binary: bool = False, column: str = "v", keep: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """Foreground cells (x, y, z, v, root), and (root, label) of all roots, as written tables. With keep, cells have their
+    value as _value too, which v isn't in binary mode."""
     check_connectivity(connectivity, grid, periodic, delta)
-    cells = foreground(df, binary, column)
     binary = binary or dict(df.dtypes)[column] == "boolean"
-    cells = written(cell_runs(cells, grid, 0 if binary else delta), "cells")
-    by_cell = delta > 0 and not binary
-    edges = _cell_edges(cells, grid, connectivity, delta) if by_cell else run_edges(cells, grid, connectivity, periodic, not binary)
-    edges = written(edges, "edges")
-    runs = cells.select("run").distinct()
-    if edges.isEmpty():
-        rooted = runs.withColumn("root", F.col("run"))
-    else:
-        found = components_of(edges, written).withColumnRenamed("node", "run")
-        rooted = runs.join(found, "run", "left").select("run", F.coalesce("label", "run").alias("root"))
-    rooted = written(rooted, "rooted")
-    return cells, rooted.join(dense_labels(rooted), "root").select("run", "label")
+    cells = foreground(df.withColumn("_value", F.col(column)), binary, column, ("_value",) if keep else ())
+    back = [o for o in offsets(connectivity, grid.ndim) if sum(d * s for d, s in zip(o, _order(grid), strict=True)) < 0]
+    wrapped = (lambda rooted: _across_borders(rooted, grid, connectivity, binary)) if periodic else None
+    cells, rooted = components(cells, grid, back, matching(0 if binary else delta, binary), wrapped)
+    return cells, written(rooted.join(dense_labels(rooted, "first"), "first").select("root", "label"), "labels")
+
+
+def _order(grid: Grid) -> tuple[int, int, int]:
+    """Weights that put offsets by memory order."""
+    return (1, 3, 9) if grid.order == "F" else (9, 3, 1)
 
 
 def connected_components(
@@ -108,15 +129,15 @@ def connected_components(
     """(x, y, z, label) of the foreground; labels count up from 1 by each component's first cell in memory order.
 
     Cells with 0 or null are background and get no row. Neighbours join if their values are equal; with delta, if
-    they differ by delta at most; in binary mode, always. A NaN is a component of its own unless binary. Equal runs
-    along x are the nodes, so that work follows their number rather than the number of cells. max_labels is accepted
-    and not needed; out_dtype is checked against the number of labels.
+    they differ by delta at most; in binary mode, always. A NaN is a component of its own unless binary. Cells are
+    labelled within blocks, which are joined at their seams. Cells off the grid get no row; of rows with equal
+    coordinates each gets the label of one of them. max_labels is accepted and not needed; out_dtype is checked against
+    the number of labels.
     """
     if out_dtype is not None and out_dtype not in _OUT:
         raise ValueError(f"out_dtype must be one of {sorted(_OUT)}: {out_dtype}")
-    cells, labels = run_labels(df, grid, connectivity, delta, periodic_boundary, binary_image, column)
-    labels = written(labels, "labels")
-    out = cells.join(labels, "run").select("x", "y", "z", "label")
+    cells, labels = cell_labels(df, grid, connectivity, delta, periodic_boundary, binary_image, column)
+    out = cells.join(small(labels), "root").select("x", "y", "z", "label")
     if not return_N and out_dtype is None:
         return out
     n = component_count(labels)

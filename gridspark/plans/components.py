@@ -14,15 +14,9 @@ from pyspark.sql import functions as F
 JUMPS = 2
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of one partition, as edges from each of its nodes to the smallest node that it reaches within."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-    if not parts:
-        return
-    a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    a, b = at[: len(a)], at[len(a) :]
-    top = np.arange(len(nodes))
+def smallest_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of the nodes 0 to n - 1 the smallest node that it reaches along the edges (a, b)."""
+    top = np.arange(n)
     while len(a):
         low = np.minimum(a, b)
         np.minimum.at(top, a, low)
@@ -30,7 +24,19 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while not np.array_equal(top, top[top]):
             top = top[top]
         a, b = top[a], top[b]
-        a, b = a[a != b], b[a != b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+    return top
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of one partition, as edges from each of its nodes to the smallest node that it reaches within."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not parts:
+        return
+    a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    top = smallest_reached(len(nodes), at[: len(a)], at[len(a) :])
     part = np.full(len(nodes), TaskContext.get().partitionId(), np.int32)
     yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[top]), pa.array(part)], names=["node", "up", "part"])
 

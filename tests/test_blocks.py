@@ -3,8 +3,8 @@
 import numpy as np
 import pytest
 
-from gridspark.operators import bits, contacts, halo, label, runs, stats
-from gridspark.operators.grid import from_numpy, to_numpy
+from gridspark.operators import bits, contacts, halo, label, runs, seams, stats
+from gridspark.operators.grid import Grid, from_numpy, to_numpy
 from tests import brute
 
 RNG = np.random.default_rng(21)
@@ -13,6 +13,7 @@ RNG = np.random.default_rng(21)
 @pytest.fixture(autouse=True)
 def little_blocks(monkeypatch):
     monkeypatch.setattr(halo, "SIDES", {1: (3, 1, 1), 2: (3, 2, 1), 3: (3, 2, 2)})
+    monkeypatch.setattr(seams, "SIDES", {1: (3, 1, 1), 2: (3, 2, 1), 3: (3, 2, 2)})
 
 
 @pytest.mark.parametrize("connectivity,shape", [(4, (17,)), (8, (8, 7)), (6, (7, 5, 4)), (18, (7, 5, 4)), (26, (7, 5, 4))])
@@ -25,7 +26,56 @@ def test_continuous_labels(spark, connectivity, shape):
 def test_differences_of_extreme_values_do_not_wrap(spark):
     a = np.array([[np.iinfo(np.int64).min, 1], [np.iinfo(np.int64).max, 2]]).T
     df, grid = from_numpy(spark, a, "F")
-    assert to_numpy(label._cell_edges(df.selectExpr("*", "cast(x + 2 * y as long) as run"), grid, 4, 1).selectExpr("a as x", "0 as y", "0 as z", "b as label"), from_numpy(spark, np.ones(4, int))[1]).tolist() == [0, 3, 0, 0]
+    assert to_numpy(label.connected_components(df, grid, 4, delta=1), grid).tolist() == [[1, 3], [2, 2]]
+
+
+@pytest.mark.parametrize("order", ["F", "C"])
+@pytest.mark.parametrize("connectivity,shape", [(4, (17,)), (4, (9, 8)), (8, (9, 8)), (6, (7, 5, 4)), (18, (7, 5, 4)), (26, (7, 5, 4))])
+def test_labels_across_seams(spark, connectivity, shape, order):
+    a = RNG.integers(0, 3, shape)
+    df, grid = from_numpy(spark, a, order)
+    assert (to_numpy(label.connected_components(df, grid, connectivity), grid) == brute.label(a, connectivity, order=order)).all()
+    got = to_numpy(label.connected_components(df, grid, connectivity, binary_image=True), grid)
+    assert (got == brute.label(a, connectivity, binary=True, order=order)).all()
+
+
+@pytest.mark.parametrize("binary", [False, True])
+@pytest.mark.parametrize("connectivity,shape", [(4, (1, 9)), (4, (9, 8)), (8, (9, 8)), (8, (2, 7)), (6, (7, 5, 4)), (6, (7, 1, 2)), (6, (11,))])
+def test_labels_across_seams_and_borders(spark, connectivity, shape, binary):
+    a = RNG.integers(0, 3, shape)
+    df, grid = from_numpy(spark, a, "F")
+    got = label.connected_components(df, grid, connectivity, periodic_boundary=True, binary_image=binary)
+    assert (to_numpy(got, grid) == brute.label(a, connectivity, periodic=True, binary=binary)).all()
+
+
+def test_a_component_through_every_block(spark):
+    a = np.zeros((9, 8, 6), int)  # a snake that crosses seams again and again, and its mirror image
+    a[::2] = 1
+    for k in range(1, 9, 2):
+        a[k, 0 if k % 4 == 1 else 7, 0 if k % 8 < 4 else 5] = 1
+    df, grid = from_numpy(spark, np.stack([a[..., 0], a[..., 1] * 2, a[..., 5]], 2), "F")
+    full = np.stack([a[..., 0], a[..., 1] * 2, a[..., 5]], 2)
+    assert (to_numpy(label.connected_components(df, grid, 6), grid) == brute.label(full, 6)).all()
+    df, grid = from_numpy(spark, a, "F")
+    assert (to_numpy(label.connected_components(df, grid, 6), grid) == 1).sum() == (a > 0).sum()
+
+
+def test_not_a_number_is_alone_in_blocks(spark):
+    a = RNG.choice([np.nan, 1.0, 2.5, 0.0], (8, 7))
+    df, grid = from_numpy(spark, a, "F")
+    got = to_numpy(label.connected_components(df, grid, 8), grid)
+    alone = got[np.isnan(a)]
+    assert len(set(alone.tolist())) == alone.size and not set(alone) & set(got[~np.isnan(a)])
+    want = brute.label(np.nan_to_num(a), 8)
+    pairs = set(zip(got[~np.isnan(a)].tolist(), want[~np.isnan(a)].tolist()))
+    assert len(pairs) == len({x for x, _ in pairs}) == len({y for _, y in pairs})
+
+
+def test_repeated_cells_and_cells_off_the_grid(spark):
+    rows = [(0, 0, 0, 1), (0, 0, 0, 1), (1, 0, 0, 1), (3, 0, 0, 2), (3, 0, 0, 2), (-1, 0, 0, 1), (0, 9, 0, 1)]
+    df = spark.createDataFrame(rows, "x int, y int, z int, v int")
+    got = label.connected_components(df, Grid(5, 5, 1, 2), 8)
+    assert sorted(tuple(r) for r in got.collect()) == [(0, 0, 0, 1), (0, 0, 0, 1), (1, 0, 0, 1), (3, 0, 0, 2), (3, 0, 0, 2)]
 
 
 @pytest.mark.parametrize("connectivity,shape", [(8, (8, 7)), (6, (7, 5, 4)), (26, (7, 5, 4))])
