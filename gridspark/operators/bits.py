@@ -14,10 +14,10 @@ from pyspark.sql import types as T
 
 from gridspark.operators import halo
 from gridspark.operators.grid import Grid
-from gridspark.operators.label import dense_labels
+from gridspark.operators.label import component_count, dense_labels
 from gridspark.operators.neighborhood import BITS_2D, BITS_3D, check_connectivity, offsets
-from gridspark.plans.components import connected_components
-from gridspark.plans.scratch import written
+from gridspark.operators.seams import components
+from gridspark.plans.scratch import small, written
 
 
 def _encoding(connectivity: int, grid: Grid) -> list[tuple[int, int, int]]:
@@ -77,21 +77,16 @@ def color_connectivity_graph(graph: DataFrame, grid: Grid, connectivity: int = 2
     order = BITS_3D if wide else BITS_2D
     reach = set(offsets(connectivity, 2 if connectivity in (4, 8) or grid.sz == 1 else 3))
     back = [(o, i) for i, o in enumerate(order) if o in reach and o[::-1] < (0, 0, 0)]
-    cells = written(graph.select("x", "y", "z", F.col(column).cast("int").alias("_bits"), grid.lin().alias("lin")), "fields")
+    cells = graph.select("x", "y", "z", F.col(column).cast("int").alias("_bits"))
     passable = np.array([1 << i for _, i in back], np.int64)
 
     def passes(rows: pa.Table, n: int, i: np.ndarray, _: np.ndarray) -> np.ndarray:
         return (rows.column("_bits").to_numpy()[i].astype(np.int64) & passable[n]) != 0
 
-    edges = written(halo.edges(cells, grid, [o for o, _ in back], "lin", passes), "edges")
-    if edges.isEmpty():
-        rooted = cells.select("x", "y", "z", F.col("lin").alias("root"))
-    else:
-        found = connected_components(edges, written).withColumnRenamed("node", "lin")
-        rooted = cells.join(found, "lin", "left").select("x", "y", "z", F.coalesce("label", "lin").alias("root"))
-    rooted = written(rooted, "rooted")
-    out = rooted.join(dense_labels(rooted), "root").select("x", "y", "z", "label")
-    return (out, rooted.select("root").distinct().count()) if return_N else out
+    cells, rooted = components(cells, grid, [o for o, _ in back], passes)
+    labels = written(rooted.join(dense_labels(rooted, "first"), "first").select("root", "label"), "labels")
+    out = cells.join(small(labels), "root").select("x", "y", "z", "label")
+    return (out, component_count(labels)) if return_N else out
 
 
 def estimate_graph_labels(graph: DataFrame, grid: Grid, column: str = "bits") -> DataFrame:

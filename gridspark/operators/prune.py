@@ -6,18 +6,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.operators.grid import Grid, foreground
-from gridspark.operators.label import connected_components
+from gridspark.operators.label import cell_labels
 from gridspark.plans.scratch import small, written
 
 
-def _sizes(labels: DataFrame) -> DataFrame:
-    return written(labels.groupBy("label").agg(F.count(F.lit(1)).alias("voxel_counts")), "sizes")
+def _labelled(df: DataFrame, grid: Grid, connectivity: int, binary: bool, precomputed: bool, delta: float, periodic: bool, column: str) -> tuple[DataFrame, DataFrame]:
+    """Foreground cells (x, y, z, _value, root), and (root, label, n): the label of each root and how many cells have that
+    root. The cells of a block are summed where they lie; what is joined and summed again are roots."""
+    if precomputed:
+        cells = foreground(df.withColumn("_value", F.col(column)), column=column, keep=("_value",)).withColumn("root", F.col("v").cast("long"))
+        sizes = cells.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+        return cells, written(sizes.select("root", F.col("root").alias("label"), "n"), "sizes")
+    cells, labels = cell_labels(df, grid, connectivity, delta, periodic, binary, column, keep=True)
+    sizes = cells.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    return cells, written(labels.join(sizes, "root"), "sizes")
 
 
-def _labelled(df: DataFrame, grid: Grid, connectivity: int, binary: bool, precomputed: bool, delta: float, periodic: bool, column: str) -> DataFrame:
-    if precomputed:
-        return foreground(df, column=column).select("x", "y", "z", F.col("v").cast("long").alias("label"))
-    return written(connected_components(df, grid, connectivity, delta=delta, periodic_boundary=periodic, binary_image=binary, column=column), "labelled")
+def _sizes(roots: DataFrame) -> DataFrame:
+    return written(roots.groupBy("label").agg(F.sum("n").alias("voxel_counts")), "sizes")
 
 
 def dust(
@@ -29,13 +35,12 @@ def dust(
     A number as threshold keeps sizes of at least that; a pair (low, high) keeps low <= size < high; invert keeps the
     others instead. With precomputed_ccl the values are the labels.
     """
-    labels = _labelled(df, grid, connectivity, binary_image, precomputed_ccl, delta, periodic_boundary, column)
+    cells, roots = _labelled(df, grid, connectivity, binary_image, precomputed_ccl, delta, periodic_boundary, column)
     size = F.col("voxel_counts")
     fits = (size >= threshold[0]) & (size < threshold[1]) if isinstance(threshold, (tuple, list)) else size >= threshold
-    kept = written(_sizes(labels).filter(~fits if invert else fits).select("label"), "kept")
-    cells = labels.join(small(kept), "label", "left_semi").select("x", "y", "z")
-    values = df.filter(F.col(column).isNotNull()).select("x", "y", "z", column)
-    out = values.join(cells, ["x", "y", "z"], "left_semi")
+    kept = written(_sizes(roots).filter(~fits if invert else fits).select("label"), "kept")
+    kept_roots = written(roots.join(small(kept), "label", "left_semi").select("root"), "kept_roots")
+    out = cells.join(small(kept_roots), "root", "left_semi").select("x", "y", "z", F.col("_value").alias(column))
     return (out, kept.count()) if return_N else out
 
 
@@ -47,16 +52,15 @@ def largest_k(
     (of those as large as the smallest kept one, the lower labels stay). With k components or fewer labels stay."""
     if k < 0:
         raise ValueError("k must not be negative")
-    labels = _labelled(df, grid, connectivity, binary_image, precomputed_ccl, delta, periodic_boundary, column)
-    if k == 0:
-        empty = labels.limit(0)
-        return (empty, 0) if return_N else empty
-    sizes = _sizes(labels)
+    cells, roots = _labelled(df, grid, connectivity, binary_image, precomputed_ccl, delta, periodic_boundary, column)
+    sizes = _sizes(roots)
     n = sizes.count()
-    if n <= k:
-        return (labels, n) if return_N else labels
-    top = sizes.orderBy(F.desc("voxel_counts"), "label").limit(k)
-    new = top.select(F.col("label").alias("_old"), F.row_number().over(Window.orderBy("voxel_counts", "label")).cast("long").alias("label"))  # k rows
-    new = small(written(new, "largest"))
-    out = labels.withColumnRenamed("label", "_old").join(new, "_old").select("x", "y", "z", "label")
-    return (out, k) if return_N else out
+    if n > k > 0:
+        top = sizes.orderBy(F.desc("voxel_counts"), "label").limit(k)
+        new = top.select("label", F.row_number().over(Window.orderBy("voxel_counts", "label")).cast("long").alias("_new"))  # k rows
+        roots = written(roots.join(small(written(new, "largest")), "label").select("root", F.col("_new").alias("label")), "largest_roots")
+        n = k
+    elif k == 0:
+        roots, n = roots.limit(0), 0
+    out = cells.join(small(roots.select("root", "label")), "root").select("x", "y", "z", "label")
+    return (out, n) if return_N else out

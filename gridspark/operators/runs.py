@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from gridspark.plans.scratch import written
 
 #: Cells along x, and of the flattened grid, that one task puts in order; runs that go on are joined afterwards.
 ROW_STRETCH, FLAT_STRETCH = 1 << 18, 1 << 20
+#: Cells of the flattened grid that are drawn or erased together.
+DRAWN = 1 << 16
 
 
 def _apart(cells: DataFrame, one: Column, other: Column, delta: float) -> Column:
@@ -72,26 +76,71 @@ def flat_runs(labels: DataFrame, grid: Grid, column: str = "label") -> DataFrame
     return parts.filter(~touches).select("label", "start", "end").unionByName(chained)
 
 
+def run_pieces(runs: DataFrame, grid: Grid) -> DataFrame:
+    """(label, start, end, stretch): runs cut at multiples of DRAWN, a row for each stretch that they touch. Cut by coarser
+    stretches first, so that no row holds a long array, and dealt anew. Runs outside the grid are refused."""
+    bad = runs.filter((F.col("start") < 0) | (F.col("end") > grid.cells) | (F.col("start") > F.col("end")))
+    if not bad.isEmpty():
+        raise ValueError("a run leaves the grid or ends before it starts")
+    pieces = runs.select(F.col("label").cast("long").alias("label"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).filter("start < end")
+    for size in (DRAWN**3, DRAWN**2, DRAWN):
+        stretch = F.explode(F.sequence(F.floor(F.col("start") / F.lit(size)), F.floor((F.col("end") - 1) / F.lit(size)))).alias("stretch")
+        cut = pieces.select("label", "start", "end", stretch)
+        low, high = F.greatest("start", F.col("stretch") * F.lit(size)), F.least("end", (F.col("stretch") + 1) * F.lit(size))
+        pieces = cut.select("label", low.alias("start"), high.alias("end"), "stretch")
+    return pieces
+
+
+def _filled(pieces: pa.Table, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which cells of a stretch lie on a run, and the largest label on each."""
+    on, label = np.zeros(DRAWN, bool), np.zeros(DRAWN, np.int64)
+    pieces = pieces.sort_by("label")
+    for name, start, end in zip(*(pieces.column(n).to_numpy() for n in ("label", "start", "end")), strict=True):
+        on[start - first : end - first] = True
+        label[start - first : end - first] = name
+    return on, label
+
+
 def draw(runs: DataFrame, grid: Grid, image: DataFrame | None = None, value: object = None, column: str = "label") -> DataFrame:
     """Cells (x, y, z, column) along runs: the run's label, or value; other cells of image keep theirs.
 
-    Drawing 0 erases: those cells have no row in the result. Runs outside the grid are refused.
+    Where runs overlap the largest label is drawn. Drawing 0 erases: those cells have no row in the result. Runs outside
+    the grid are refused. Runs and the cells of image meet by stretches of DRAWN cells of the flattened grid, each filled
+    on its own, so that a run of any length is drawn in parallel.
     """
-    bad = runs.filter((F.col("start") < 0) | (F.col("end") > grid.cells) | (F.col("start") > F.col("end")))
-    if not bad.isEmpty():
-        raise ValueError("a run leaves the grid or ends before it starts")
-    filled = runs.filter("start < end").select("label", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("_lin"))
+    pieces = run_pieces(runs, grid).distinct()
     kept = F.col("label") if value is None else F.lit(value)
-    drawn = filled.select(*[c.alias(n) for n, c in grid.coordinates(F.col("_lin")).items()], kept.alias(column))
+
+    def fill(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        first = key[0].as_py() * DRAWN
+        on, label = _filled(rows, first)
+        at = np.flatnonzero(on)
+        return pa.table({"_lin": at + first, "label": label[at]})
+
+    drawn = pieces.groupBy("stretch").applyInArrow(fill, "_lin long, label long")
+    drawn = drawn.select(*[c.alias(n) for n, c in grid.coordinates(F.col("_lin")).items()], kept.alias(column))
     if image is not None:
-        rest = image.select("x", "y", "z", column).join(drawn.select("x", "y", "z"), ["x", "y", "z"], "left_anti")
-        drawn = rest.unionByName(drawn)
+        drawn = _off_runs(pieces, grid, image.select("x", "y", "z", column)).unionByName(drawn)
     return drawn.filter(F.col(column) != 0)
 
 
+def _off_runs(pieces: DataFrame, grid: Grid, image: DataFrame) -> DataFrame:
+    """The cells of image that no piece of a run covers."""
+
+    def keep(key: tuple[pa.Scalar, ...], cells: pa.Table, rows: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return cells.drop(["_lin", "stretch"])
+        first = key[0].as_py() * DRAWN
+        on, _ = _filled(rows, first)
+        return cells.filter(pa.array(~on[cells.column("_lin").to_numpy() - first])).drop(["_lin", "stretch"])
+
+    cells = image.withColumn("_lin", grid.lin()).withColumn("stretch", F.floor(F.col("_lin") / F.lit(DRAWN)))
+    return cells.groupBy("stretch").cogroup(pieces.groupBy("stretch")).applyInArrow(keep, image.schema)
+
+
 def erase(runs: DataFrame, grid: Grid, image: DataFrame, column: str = "label") -> DataFrame:
-    """image without the cells along runs."""
-    return draw(runs, grid, image, 0, column)
+    """image without the cells along runs, which are never laid out as cells themselves."""
+    return _off_runs(run_pieces(runs, grid).distinct(), grid, image.select("x", "y", "z", column)).filter(F.col(column) != 0)
 
 
 def row_bounds(df: DataFrame, column: str = "v") -> DataFrame:

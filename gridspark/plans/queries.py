@@ -137,6 +137,17 @@ def _drawn(cells: DataFrame, grid: Grid) -> DataFrame:
     return runs.draw(flat.filter("label <= 2"), grid, cells.withColumnRenamed("v", "label"), 9).select("x", "y", "z", F.col("label").cast("int").alias("v"))
 
 
+def _overlapping(cells: DataFrame, grid: Grid) -> DataFrame:
+    """A run of seven cells from each cell on, those of larger labels over the others."""
+    at = grid.lin()
+    return runs.draw(cells.select(F.col("v").alias("label"), at.alias("start"), F.least(at + 7, F.lit(grid.cells)).alias("end")), grid)
+
+
+def _overlapping_sql(grid: Grid) -> str:
+    x, y, z = (f"CAST(at // {s} % {size} AS INT) AS {n}" for n, s, size in zip("xyz", grid.strides, (grid.sx, grid.sy, grid.sz), strict=True))
+    return f"SELECT {x}, {y}, {z}, CAST(max(v) AS BIGINT) AS label FROM (SELECT v, unnest(range({_lin(grid)}, least({_lin(grid)} + 7, {grid.cells}))) AS at FROM cells) GROUP BY at"
+
+
 def _erased(cells: DataFrame, grid: Grid) -> DataFrame:
     image = cells.withColumnRenamed("v", "label")
     return runs.erase(runs.flat_runs(image, grid).filter("label = 1"), grid, image).withColumnRenamed("label", "v")
@@ -287,6 +298,10 @@ def _all() -> dict[str, tuple[Query, str | None]]:
     out["color_26"] = _colored("lineitem:5", 26, 26)
     out["runs_flat"] = _on_cells("lineitem:5", lambda c, g: runs.flat_runs(as_labels(c), g).withColumnRenamed("end", "stop"), lambda g: _runs_sql(g).replace('"end"', "stop"))
     out["each_label"] = _on_cells("lineitem:5", lambda c, g: extract.each(as_labels(c)), lambda g: "SELECT CAST(v AS BIGINT) AS label, x, y, z, CAST(v AS BIGINT) AS value FROM cells")
+    boxes = ", ".join(f"CAST({f}({n}) AS INT) AS {n}{f}" for n in "xyz" for f in ("min", "max"))
+    out["each_index"] = _on_cells("lineitem:5", lambda c, g: extract.ComponentIndex(as_labels(c)).labels(), lambda g: f"SELECT CAST(v AS BIGINT) AS label, count(*) AS voxel_counts, {boxes} FROM cells GROUP BY v")
+    out["each_image"] = _on_cells("event:3", lambda c, g: extract.ComponentIndex(as_labels(c)).image(2), lambda g: "SELECT x, y, z FROM cells WHERE v = 2")
+    out["draw_overlaps"] = _on_cells("lineitem:5", _overlapping, _overlapping_sql)
     out["draw_runs"] = _on_cells("lineitem:5", _drawn, lambda g: "SELECT x, y, z, CAST(CASE WHEN v <= 2 THEN 9 ELSE v END AS INT) AS v FROM cells")
     out["erase_runs"] = _on_cells("lineitem:5", _erased, lambda g: "SELECT * FROM cells WHERE v <> 1")
     out["stack_6"] = _stacked(6)

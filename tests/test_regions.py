@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridspark.operators import bits, contacts, extract, prune, runs, stats
-from gridspark.operators.grid import from_numpy, to_numpy
+from gridspark.operators.grid import Grid, from_numpy, to_numpy
 from tests import brute
 
 RNG = np.random.default_rng(8)
@@ -146,3 +146,61 @@ def test_each(spark):
     assert len(images) == len(np.unique(a[a > 0]))
     for k, cells in images:
         assert (to_numpy(cells, grid, "value") == (a == k)).all()
+
+
+def test_overlapping_runs_and_runs_over_many_stretches(spark):
+    grid = Grid(1000, 1000, 400, 3, "F")
+    made = [(3, 10, 20), (5, 15, 18), (5, 15, 18), (1, 0, 12), (0, 19, 30), (2, 65530, 65540), (4, 7, 7), (6, 399_999_990, 400_000_000)]
+    df = spark.createDataFrame(made, "label long, start long, `end` long")
+    want = {}
+    for name, start, end in sorted(made):
+        want |= {i: name for i in range(start, end)}
+    got = {r.lin: r.label for r in runs.draw(df, grid).select(grid.lin().alias("lin"), "label").collect()}
+    assert got == {i: v for i, v in want.items() if v}
+    image = spark.createDataFrame([(x, 0, 0, 9) for x in range(0, 40, 3)] + [(0, 1, 0, 9)], "x int, y int, z int, label int")
+    kept = {r.x for r in runs.erase(df, grid, image).filter("y = 0").collect()}
+    assert kept == {x for x in range(0, 40, 3) if x not in want}
+    over = {(r.x, r.y): r.label for r in runs.draw(df, grid, image, value=7).filter("y < 2").collect()}
+    assert over[0, 1] == 9 and over[12, 0] == 7 and over[33, 0] == 9 and over[19, 0] == 7
+
+
+def test_a_run_of_billions_of_cells(spark):
+    grid = Grid(2_000_000, 2_000, 2, 3, "F")
+    one = spark.createDataFrame([(1, 5, 8_000_000_000 - 3)], "label long, start long, `end` long")
+    pieces = runs.run_pieces(one, grid)
+    assert pieces.selectExpr("sum(end - start)", "count(*)").first() == (8_000_000_000 - 8, -(-8_000_000_000 // runs.DRAWN))
+    image = spark.createDataFrame([(x, 0, 0, 1) for x in range(8)] + [(1_999_999, 1_999, 1, 1)], "x int, y int, z int, label int")
+    assert sorted((r.x, r.z) for r in runs.erase(one.selectExpr("label", "start", "start + 2 as end"), grid, image).collect()) == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (7, 0), (1_999_999, 1)]
+    assert runs.draw(one.selectExpr("label", "start", "20000000 as end"), grid).count() == 20_000_000 - 5
+
+
+def test_images_of_all_labels(spark):
+    a = RNG.integers(0, 40, (9, 8, 7))
+    a[:, :, :3] = np.where(a[:, :, :3] > 9, 5, a[:, :, :3])  # a label that fills several files
+    df, grid = as_labels(spark, a)
+    index = extract.ComponentIndex(df.repartition(4))
+    sizes = {r.label: (r.voxel_counts, r.xmin, r.zmax) for r in index.labels().collect()}
+    assert sizes == {k: (int((a == k).sum()), np.argwhere(a == k)[:, 0].min(), np.argwhere(a == k)[:, 2].max()) for k in np.unique(a[a > 0])}
+    seen = []
+    for k, corner, mask in index.arrays():
+        at = np.argwhere(a == k)
+        assert corner == tuple(at.min(axis=0)) and (np.argwhere(mask) + corner == at).all()
+        seen.append(k)
+    assert seen == sorted(sizes)
+    assert (to_numpy(index.image(5).withColumn("value", F.lit(1)), grid, "value") == (a == 5)).all()
+    assert index.image(99).count() == 0
+    assert len(extract.Each(df.filter("label = 0"))) == 0 and list(extract.ComponentIndex(df.filter("label = 0")).arrays()) == []
+
+
+def test_pruning_keeps_values_and_joins_no_cells_with_cells(spark):
+    a = RNG.integers(0, 4, (7, 6, 5))
+    df, grid = from_numpy(spark, a, "F")
+    lab = brute.label(a > 0, 6)
+    size = np.bincount(lab.ravel())[lab] * (lab > 0)
+    out = prune.dust(df, grid, 3, 6, binary_image=True)
+    assert (to_numpy(out, grid, "v") == a * (size >= 3)).all()
+    assert "hashpartitioning(x" not in out._jdf.queryExecution().executedPlan().toString()
+    flags = df.withColumn("v", F.col("v") > 1)
+    lab = brute.label(a > 1, 6)
+    size = np.bincount(lab.ravel())[lab] * (lab > 0)
+    assert (to_numpy(prune.dust(flags, grid, 3, 6), grid, "v", bool) == (size >= 3)).all()
