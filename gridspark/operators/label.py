@@ -11,49 +11,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.operators.grid import Grid, foreground, is_float
-from gridspark.operators.neighborhood import check_connectivity, offsets, row_offsets
+from gridspark.operators.neighborhood import check_connectivity, offsets
 from gridspark.operators.seams import Joined, components
 from gridspark.plans.scratch import small, written
 
-#: Cells along x that share a join key; a run is looked up under each stretch that it touches.
-STRETCH = 256
 _OUT = {"uint16": 2**16 - 1, "uint32": 2**32 - 1, "uint64": 2**64 - 1}
 
 
-def run_edges(cells: DataFrame, grid: Grid, connectivity: int, periodic: bool, by_value: bool, within_rows: bool = False) -> DataFrame:
-    """Edges (a, b) between runs of neighbouring rows that touch; with within_rows also of runs that meet in a row,
-    as where a row came in parts."""
-    runs = cells.groupBy("run", "y", "z").agg(F.first("v").alias("v"), F.min("x").alias("x1"), F.max("x").alias("x2"))
-    if is_float(cells):
-        runs = runs.filter(~F.isnan("v"))
-    rows = dict(row_offsets(connectivity, grid.ndim))
-    if within_rows:
-        rows[0, 0] = 1
-    seen = runs
-    if periodic:
-        rows[0, 0] = 1
-        if connectivity == 8:  # a diagonal step may leave the grid on any side
-            rows |= {(1, 0): 1}
-        left = runs.filter(f"x1 = 0 and {grid.sx} > 1").withColumns({"x1": F.col("x1") + grid.sx, "x2": F.col("x2") + grid.sx})
-        right = runs.filter(f"x2 = {grid.sx - 1} and {grid.sx} > 1").withColumns({"x1": F.col("x1") - grid.sx, "x2": F.col("x2") - grid.sx})
-        ghosts = left.unionByName(right).withColumn("_ghost", F.lit(True))
-        seen = runs.withColumn("_ghost", F.lit(False)).unionByName(ghosts)
-    if not rows:
-        return runs.select(F.col("run").alias("a"), F.col("run").alias("b")).limit(0)
-    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dz).alias("dz"), F.lit(s).alias("s")) for (dy, dz), s in rows.items()])
-    one = runs.select("run", "v", "x1", "x2", "y", "z", F.explode(steps).alias("_o"))
-    y, z = F.col("y") + F.col("_o.dy"), F.col("z") + F.col("_o.dz")
-    if periodic:
-        y, z = F.pmod(y, F.lit(grid.sy)), F.pmod(z, F.lit(grid.sz))
-    stretches = lambda a, b: F.explode(F.sequence(F.floor(a / STRETCH), F.floor(b / STRETCH))).alias("_k")
-    one = one.select(F.col("run").alias("a"), F.col("v").alias("_v"), y.alias("_y"), z.alias("_z"), (F.col("x1") - F.col("_o.s")).alias("_x1"), (F.col("x2") + F.col("_o.s")).alias("_x2"))
-    one = one.select("*", stretches(F.col("_x1"), F.col("_x2")))
-    other = seen.select(F.col("run").alias("b"), F.col("v").alias("_v"), F.col("y").alias("_y"), F.col("z").alias("_z"), "x1", "x2", stretches(F.col("x1"), F.col("x2")))
-    keys = ["_y", "_z", "_k"] + (["_v"] if by_value else [])
-    met = one.join(other, keys).filter("_x1 <= x2 and x1 <= _x2 and a <> b")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def matching(delta: float, binary: bool) -> Joined:
     """Whether the values of cells are equal, or differ by delta at most; in binary mode all go together. NaN is unequal."""
 

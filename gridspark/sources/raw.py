@@ -1,4 +1,4 @@
-"""Arrays in files as cells, and label tables in blocks.
+"""Arrays in files as cells, cells as arrays in files, and label tables in blocks.
 
 `rawgrid` reads .npy files and headerless arrays by ranges of planes along the slowest axis, in parallel, without
 loading the file: spark.read.format("rawgrid").option("path", ...).load(). The path must be one that every executor
@@ -7,13 +7,19 @@ can open, such as a shared file system; what only Spark can read is read as Parq
 
 from __future__ import annotations
 
+import contextlib
+import io
+import os
+import uuid
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from gridspark.operators.grid import DimensionError, Grid
@@ -21,6 +27,19 @@ from gridspark.operators.grid import DimensionError, Grid
 #: Cells that a read task takes about.
 CELLS = 4_000_000
 KINDS = {"b": "boolean", "i": "long", "u": "long", "f": "double"}
+#: Cells of the flattened array that are written at once.
+STRETCH = 1 << 20
+
+
+def _kind(dtype: np.dtype) -> str:
+    """The Spark type of an array's values; only decimals hold unsigned numbers of 64 bits."""
+    return "decimal(20,0)" if dtype == np.uint64 else KINDS[dtype.kind]
+
+
+def _values(values: np.ndarray) -> pa.Array:
+    if values.dtype == np.uint64:
+        return pa.array(values).cast(pa.decimal128(20, 0))
+    return pa.array(values.astype({"b": bool, "f": np.float64}.get(values.dtype.kind, np.int64)))
 
 
 def open_array(options: dict) -> tuple[np.ndarray, str]:
@@ -58,18 +77,88 @@ class _Reader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         array, order = open_array(self.options)
         axis = array.ndim - 1 if order == "F" else 0
-        kind = array.dtype.kind
         for p in range(partition.first, partition.last):
             plane = np.take(array, [p], axis=axis)
             at = np.argwhere(plane != 0).astype(np.int32)
-            values = plane[tuple(at.T)].astype({"b": bool, "f": np.float64}.get(kind, np.int64))
+            values = _values(plane[tuple(at.T)])
             at[:, axis] += p
             at = np.pad(at, ((0, 0), (0, 3 - array.ndim)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(at[:, i])) for i in range(3)] + [pa.array(values)], names=["x", "y", "z", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(at[:, i])) for i in range(3)] + [values], names=["x", "y", "z", "v"])
+
+
+class _Written(WriterCommitMessage):
+    """A task has written its stretches."""
+
+
+class _Writer(DataSourceArrowWriter):
+    """Writes rows (lin, stretch, v), which come sorted by stretch, into a file beside the final one. Every task writes its
+    own stretches at their place, again the same if it is tried again; what no cell covers stays 0. The commit gives the
+    file its length, header and name."""
+
+    def __init__(self, options: dict):
+        self.path, self.dtype, self.shape, self.order = options["path"], np.dtype(options["dtype"]), tuple(map(int, options["shape"].split(","))), options["order"]
+        self.cells, self.stretch, self.made = int(np.prod(self.shape)), int(options["stretch"]), f"{self.path}.{options['token']}"
+        self.header = self._header()
+
+    def _header(self) -> bytes:
+        if not self.path.endswith(".npy"):
+            return b""
+        out = io.BytesIO()
+        np.lib.format.write_array_header_1_0(out, {"descr": np.lib.format.dtype_to_descr(self.dtype), "fortran_order": self.order == "F", "shape": self.shape})
+        return out.getvalue()
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
+        file = os.open(self.made, os.O_RDWR | os.O_CREAT, 0o644)
+        try:
+            held, buffer = None, np.zeros(0, self.dtype)
+            for batch in iterator:
+                lin, stretch = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                values = self._fitting(batch.column(2))
+                if len(lin) and (lin.min() < 0 or lin.max() >= self.cells):
+                    raise ValueError("a cell lies off the grid")
+                starts = np.flatnonzero(np.append(True, stretch[1:] != stretch[:-1])) if len(lin) else []
+                for a, b in zip(starts, [*starts[1:], len(lin)], strict=True):
+                    if stretch[a] != held:
+                        self._put(file, held, buffer)
+                        held = int(stretch[a])
+                        buffer = np.zeros(min(self.stretch, self.cells - held * self.stretch), self.dtype)
+                    buffer[lin[a:b] - held * self.stretch] = values[a:b]
+            self._put(file, held, buffer)
+        finally:
+            os.close(file)
+        return _Written()
+
+    def _put(self, file: int, stretch: int | None, buffer: np.ndarray) -> None:
+        if stretch is None:
+            return
+        left, at = memoryview(buffer.tobytes()), len(self.header) + stretch * self.stretch * self.dtype.itemsize
+        while left:
+            n = os.pwrite(file, left, at)
+            left, at = left[n:], at + n
+
+    def _fitting(self, column: pa.Array) -> np.ndarray:
+        if pa.types.is_decimal(column.type):
+            return column.cast(pa.uint64() if self.dtype == np.uint64 else pa.int64()).to_numpy(zero_copy_only=False).astype(self.dtype)
+        values = column.to_numpy(zero_copy_only=False)
+        if self.dtype.kind in "iu" and len(values):
+            bounds = np.iinfo(self.dtype)
+            if int(values.min()) < bounds.min or int(values.max()) > bounds.max:
+                raise ValueError(f"a value doesn't fit {self.dtype}")
+        return values.astype(self.dtype)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        with open(self.made, "r+b" if os.path.exists(self.made) else "w+b") as f:
+            f.write(self.header)
+            f.truncate(len(self.header) + self.cells * self.dtype.itemsize)
+        os.replace(self.made, self.path)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        with contextlib.suppress(FileNotFoundError):
+            os.remove(self.made)
 
 
 class RawGrid(DataSource):
-    """Foreground cells (x, y, z, v) of an array file."""
+    """Foreground cells (x, y, z, v) of an array file; the sink of write_array()."""
 
     @classmethod
     def name(cls) -> str:
@@ -77,11 +166,14 @@ class RawGrid(DataSource):
 
     def schema(self) -> str:
         array, _ = open_array(dict(self.options))
-        return f"x int, y int, z int, v {KINDS[array.dtype.kind]}"
+        return f"x int, y int, z int, v {_kind(array.dtype)}"
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(dict(self.options), schema)
 
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return _Writer(dict(self.options))
+
 
 def read_array(spark: SparkSession, path: str, **options: str) -> tuple[DataFrame, Grid]:
     """Cells of an array file and its grid."""
@@ -91,6 +183,21 @@ def read_array(spark: SparkSession, path: str, **options: str) -> tuple[DataFram
     return spark.read.format("rawgrid").options(path=path, **options).load(), Grid(*shape, ndim=array.ndim, order=order)
 
 
+def write_array(cells: DataFrame, grid: Grid, path: str, dtype: str, column: str = "label") -> None:
+    """Cells as one array file in the grid's memory order, .npy or headerless by the name's ending; an older file is
+    replaced. Cells without a row, or null, are 0; of rows with equal coordinates one counts. A cell off the grid, or a value that the type
+    can't hold, fails and leaves no file. The path must be one that the driver and every executor can open."""
+    spark = cells.sparkSession
+    spark.dataSource.register(RawGrid)
+    sizes = zip("xyz", (grid.sx, grid.sy, grid.sz), strict=True)
+    inside = reduce(and_, [F.col(n).between(0, size - 1) for n, size in sizes])
+    lin = F.when(inside, grid.lin()).otherwise(F.lit(-1))
+    rows = cells.filter(F.col(column).isNotNull()).select(lin.cast("long").alias("lin"), F.floor(lin / F.lit(STRETCH)).cast("long").alias("stretch"), F.col(column).alias("v"))
+    shape = ",".join(map(str, (grid.sx, grid.sy, grid.sz)[: grid.ndim]))
+    options = {"path": path, "dtype": dtype, "shape": shape, "order": grid.order, "stretch": str(STRETCH), "token": uuid.uuid4().hex}
+    rows.repartition("stretch").sortWithinPartitions("stretch").write.format("rawgrid").options(**options).mode("overwrite").save()
+
+
 def write_blocks(cells: DataFrame, path: str, planes: int = 64) -> None:
     """Cells as Parquet in one folder for each `planes` planes in z, so that a range of z reads only its folders."""
     cells.withColumn("z_block", F.floor(F.col("z") / planes)).write.partitionBy("z_block").option("compression", "zstd").mode("overwrite").parquet(path)
