@@ -2,10 +2,11 @@
 
 A page becomes text nodes with their root-to-leaf tag paths, menus and adverts included. Per path, text length outside
 links and punctuation are averaged over the path's nodes; both ratios are smoothed along the page and multiplied. The
-names of elements weigh the product as a prior: it falls below elements that seldom hold an article and rises below
-article elements. Paths whose mean reaches a share of the page's spread are content. The smallest element around the
-content is the article; its blocks stay, short ones too, except for elements of little prior within it whose ratios
-stay below the threshold, and lists of nothing but links.
+threshold is a share of the page's spread of the fused ratio, and paths whose mean reaches it are content. Names of
+elements don't enter the ratios or the threshold; they lower what a path below elements that seldom hold an article has to
+show, so that they settle close cases. The smallest element around the content is the article; its headings, paragraphs,
+lists and tables stay, short ones too. Within it go: boxes (div, section and the like) without a content path, and
+elements that seldom hold an article whose ratios stay below the threshold.
 """
 
 from __future__ import annotations
@@ -41,11 +42,11 @@ MARKS = {
 TOP_MARKS = {"header", "head", "top"}
 #: First words of names that say what an element has or lacks, not what it is.
 ABOUT = {"has", "have", "is", "no", "not", "non", "with", "without", "show", "hide"}
-#: The prior: factors of the ratio below a marked element, and below an article element.
-LITTLE, LIKELY = 1 / 32, 4.0
+#: The prior: factor of the ratio below an element that seldom holds an article.
+LITTLE = 1 / 256
 #: What text within links counts for, as a share of its length.
 LINKED = 0.1
-#: Elements nest this deep at most, as in browsers: deeper ones are read as if they were not there.
+#: Elements nest this deep at most, as in browsers: of deeper ones the text is read, below the last one that counts.
 MOST_DEPTH = 512
 RAW_END = {tag: re.compile("</" + tag, re.I) for tag in sorted(RAW)}
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)""")
@@ -54,11 +55,13 @@ REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 ATTRIBUTE = re.compile(r"""([^\s"'=<>/]++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]++)))?""")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、؟¿¡]")
 #: Share of the spread of the fused ratio that a path must reach, and the half width of the smoothing.
-SHARE, WIDTH = 0.8, 2
+SHARE, WIDTH = 2.0, 2
 #: Part of the content's characters that the article element must hold.
 COVER = 0.9
 #: Elements that are part of an article's text and not the article.
 PARTS = {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "tr", "blockquote"}
+#: Elements that group others without being a kind of text.
+BOXES = {"div", "section", "aside", "nav", "header", "footer", "form", "fieldset", "menu", "dialog", "details", "center", "address"}
 
 
 class _Element:
@@ -96,7 +99,7 @@ class _Page:
     """Elements in order of their start, and the text nodes (element, number of the block, text) of a page."""
 
     def __init__(self, page: str):
-        self.paths: dict[tuple[int, str], int] = {}
+        self.paths = Paths()
         self.root = _Element("", 0, None)
         self.elements = [self.root]
         self.nodes: list[tuple[_Element, int, str]] = []
@@ -104,14 +107,15 @@ class _Page:
 
     def _open(self, tag: str, raw: str, parent: _Element) -> _Element:
         words, heads, hidden = _marks(raw) if raw else (set(), set(), False)
-        name = tag + "".join(f".{w}" for w in sorted(words)[:4] if not w.isdigit())
-        e = _Element(tag, self.paths.setdefault((parent.path, name), len(self.paths) + 1), parent)
+        name = tag + "".join(f".{w}" for w in sorted(words) if not w.isdigit())
+        path = self.paths.number(parent.path, name)
+        e = _Element(tag, path, parent)
         e.silent |= hidden or tag in SILENT
         if tag in ("article", "main") and not e.inside:
-            e.inside, e.prior = True, e.prior * LIKELY
+            e.inside = True
         top = not e.inside and (tag == "header" or (heads & TOP_MARKS and tag not in ("h1", "h2") and not words & {"article", "entry", "post", "content", "story"}))
         if tag not in ("html", "body", "main") and (tag in SELDOM or heads & MARKS or top):
-            e.marked, e.prior = True, e.prior * LITTLE
+            e.marked, e.prior = True, LITTLE
         self.elements.append(e)
         return e
 
@@ -170,8 +174,37 @@ class _Page:
                 stack.append(self._open(tag, raw, stack[-1]))
 
 
-def fused_ratios(nodes: list[tuple[int, str, float]]) -> list[float]:
-    """Smoothed ratios of text and of punctuation, multiplied, of (path, text, share that counts) nodes in page order."""
+class Paths:
+    """Tag paths as numbers: 0 is the root, and every other one has the path above it."""
+
+    def __init__(self):
+        self.above, self.depth = [0], [0]
+        self._numbers: dict[tuple[int, str], int] = {}
+        self._shared: dict[tuple[int, int], int] = {}
+
+    def number(self, above: int, name: str) -> int:
+        path = self._numbers.setdefault((above, name), len(self.above))
+        if path == len(self.above):
+            self.above.append(above)
+            self.depth.append(self.depth[above] + 1)
+        return path
+
+    def shared(self, a: int, b: int) -> int:
+        """Depth of the deepest path that both begin with."""
+        key = (a, b)
+        if key not in self._shared:
+            while a != b:
+                if self.depth[a] >= self.depth[b]:
+                    a = self.above[a]
+                else:
+                    b = self.above[b]
+            self._shared[key] = self.depth[a]
+        return self._shared[key]
+
+
+def fused_ratios(nodes: list[tuple[int, str, float]], paths: Paths) -> list[float]:
+    """Smoothed ratios of text and of punctuation, multiplied, of (tag path, text, share that counts) nodes in page order.
+    Neighbours weigh by the part of their paths that they share below what all paths of the page share."""
     sums: dict[int, list[float]] = {}
     for path, text, share in nodes:
         s = sums.setdefault(path, [0, 0, 0])
@@ -180,29 +213,33 @@ def fused_ratios(nodes: list[tuple[int, str, float]]) -> list[float]:
         s[2] += 1
     long = [sums[p][0] / sums[p][2] for p, _, _ in nodes]
     marks = [(sums[p][1] + 1) / sums[p][2] for p, _, _ in nodes]
-    kernel = [math.exp(-k * k / 2) for k in range(-WIDTH, WIDTH + 1)]
+    base = min(paths.shared(nodes[0][0], p) for p in sums)
+    kernel = [math.exp(-k * k / 2) for k in range(WIDTH + 1)]
+    out = []
+    for i, (path, _, _) in enumerate(nodes):
+        weight = length = points = 0.0
+        for j in range(max(0, i - WIDTH), min(len(nodes), i + WIDTH + 1)):
+            other = nodes[j][0]
+            deep = max(paths.depth[path], paths.depth[other]) - base
+            w = kernel[abs(i - j)] * ((paths.shared(path, other) - base) / deep if other != path else 1.0)
+            weight, length, points = weight + w, length + w * long[j], points + w * marks[j]
+        out.append(length / weight * points / weight)
+    return out
 
-    def smooth(v: list[float]) -> list[float]:
-        out = []
-        for i in range(len(v)):
-            near = [(v[i + k], kernel[k + WIDTH]) for k in range(-WIDTH, WIDTH + 1) if 0 <= i + k < len(v)]
-            out.append(sum(a * w for a, w in near) / sum(w for _, w in near))
-        return out
 
-    return [a * b for a, b in zip(smooth(long), smooth(marks), strict=True)]
-
-
-def content_paths(nodes: list[tuple[int, str, float, float]]) -> set[int]:
-    """Paths that are content, of (path, text, share that counts, prior) nodes in page order."""
+def content_paths(nodes: list[tuple[int, str, float, float]], paths: Paths) -> set[int]:
+    """The paths that are content, of (tag path, text, share that counts, prior) nodes in page order."""
     if not nodes:
         return set()
-    fused = [x * prior for x, (_, _, _, prior) in zip(fused_ratios([n[:3] for n in nodes]), nodes, strict=True)]
+    fused = fused_ratios([n[:3] for n in nodes], paths)
     mean = sum(fused) / len(fused)
     spread = math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
     by: dict[int, list[float]] = {}
-    for (p, _, _, _), x in zip(nodes, fused, strict=True):
+    priors: dict[int, float] = {}
+    for (p, _, _, prior), x in zip(nodes, fused, strict=True):
         by.setdefault(p, []).append(x)
-    means = {p: sum(x) / len(x) for p, x in by.items()}
+        priors[p] = min(prior, priors.get(p, 1.0))
+    means = {p: sum(x) / len(x) * priors[p] for p, x in by.items()}
     least = min(SHARE * spread, max(means.values()))
     return {p for p, x in means.items() if x >= least}
 
@@ -214,7 +251,7 @@ def main_text(page: str | None) -> str:
     read = _Page(page)
     nodes = [(e, block, html.unescape(text)) for e, block, text in read.nodes if not e.silent]
     shown = [(e, block, text) for e, block, text in nodes if text.strip()]
-    good = content_paths([(e.path, text.strip(), LINKED if e.link else 1.0, e.prior) for e, _, text in shown])
+    good = content_paths([(e.path, text.strip(), LINKED if e.link else 1.0, e.prior) for e, _, text in shown], read.paths)
     chosen = [(e, block, text) for e, block, text in shown if e.path in good]
     for e, _, text in chosen:
         e.holder.weight += len(text)
@@ -222,46 +259,27 @@ def main_text(page: str | None) -> str:
         if e.parent is not None:
             e.parent.weight += e.weight
     article = max((e for e in read.elements if e.weight >= COVER * read.root.weight and e.tag not in PARTS), key=lambda e: e.depth)
-    # each element is outside the article, within it, or barred: within it, but below one of little prior
+    holds = {e for e, _, _ in chosen}  # elements with content below them
+    for e in reversed(read.elements):
+        if e in holds and e.parent is not None:
+            holds.add(e.parent)
+    # each element is outside the article, within it, or barred: within it, but below a box without content or a marked one
     place: dict[_Element, str] = {}
     for e in read.elements:
         above = "outside" if e.parent is None else place[e.parent]
-        place[e] = "within" if e is article else "barred" if above == "within" and e.marked else above
+        place[e] = "within" if e is article else "barred" if above == "within" and (e.marked or (e.tag in BOXES and e not in holds)) else above
     with_content = {block for _, block, _ in chosen}
-    blocks: dict[int, list] = {}
+    blocks: dict[int, list[str]] = {}
     for e, block, text in nodes:
         if e.path in good or place[e] == "within" or (place[e] == "outside" and block in with_content):
-            b = blocks.setdefault(block, [[], None, 0, 0])
-            b[0].append(text)
-            if text.strip():
-                b[1] = b[1] or e.holder
-                size = len("".join(text.split()))
-                b[2] += size
-                b[3] += size if e.link else 0
-    kept = {k: b for k, b in sorted(blocks.items()) if b[1] is not None}
-    menus = _menus(kept) if any(b[3] for b in kept.values()) else set()
-    return "\n\n".join(" ".join("".join(b[0]).split()) for b in kept.values() if b[1] not in menus)
-
-
-def _menus(blocks: dict[int, list]) -> set[_Element]:
-    """List items in lists whose whole text is links: menus inside the article. blocks holds the texts, the block element,
-    characters and those within links."""
-    lists: dict[_Element, list[int]] = {}
-    items: dict[_Element, set[_Element]] = {}
-    for b in blocks.values():
-        e = b[1]
-        while e is not None and e.tag not in ("ul", "ol"):
-            e = e.parent
-        if e is not None:
-            s = lists.setdefault(e, [0, 0])
-            s[0] += b[2]
-            s[1] += b[3]
-            items.setdefault(e, set()).add(b[1])
-    return {i for e, (n, linked) in lists.items() if n == linked and len(items[e]) > 1 for i in items[e]}
+            blocks.setdefault(block, []).append(text)
+    found = (" ".join("".join(b).split()) for _, b in sorted(blocks.items()))
+    return "\n\n".join(x for x in found if x)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of all pages. Null and empty html give an empty text; repeated rows stay."""
+    """page_id, url, text and n_chars of all pages. Null and empty html give an empty text; repeated rows, and rows with a
+    null page_id, stay; no pages give no rows. Other columns are ignored, whatever their names."""
     rows = pages.select(F.struct("page_id", "url").alias("kept"), "html")
     schema = "kept " + rows.schema["kept"].dataType.simpleString() + ", text string, n_chars long"
 

@@ -6,6 +6,7 @@ import unicodedata
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -512,15 +513,37 @@ def test_pages_of_known_text_and_what_decides(monkeypatch):
     pages = [made_page(r, i) for i in range(200)]
     right = lambda: sum(html_text.main_text(p) == want for p, want in pages)
     assert right() >= 196
-    with monkeypatch.context() as m:  # without names the ratios still find most articles
-        m.setattr(html_text, "MARKS", set())
-        m.setattr(html_text, "TOP_MARKS", set())
-        assert right() >= 100
-    with monkeypatch.context() as m:  # without the ratios none
-        m.setattr(html_text, "content_paths", lambda nodes: {n[0] for n in nodes})
+    with monkeypatch.context() as m:  # the ratios alone, without any name
+        for name in ("MARKS", "TOP_MARKS", "SELDOM"):
+            m.setattr(html_text, name, set())
+        assert right() >= 160
+    with monkeypatch.context() as m:  # the names alone
+        m.setattr(html_text, "fused_ratios", lambda nodes, paths: [1.0] * len(nodes))
         assert right() == 0
 
 
+def test_ratios_decide_on_given_pages(monkeypatch):
+    table = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"])
+    pages = [p for p in table.column("html").to_pylist() if p]
+    full = [html_text.main_text(p) for p in pages]
+    same = lambda: sum(html_text.main_text(p) == t for p, t in zip(pages, full, strict=True)) / len(pages)
+    with monkeypatch.context() as m:
+        for name in ("MARKS", "TOP_MARKS", "SELDOM"):
+            m.setattr(html_text, name, set())
+        assert same() >= 0.8
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "fused_ratios", lambda nodes, paths: [1.0] * len(nodes))
+        assert same() <= 0.05
+
+
+def test_lists_of_links_within_an_article_stay():
+    text = "It was a long day, and the sun went down. " * 8
+    page = f"<nav><ul><li><a>Home</a></li><li><a>News</a></li></ul></nav><article><p>{text}</p><p>{text}</p><ul><li><a href='/1'>First source</a></li><li><a href='/2'>Second source</a></li></ul></article><footer>Imprint</footer>"
+    assert html_text.main_text(page) == "\n\n".join([text.strip(), text.strip(), "First source", "Second source"])
+    boxed = page.replace("<ul><li><a href", "<div class='x7'><a href='/more'>More</a> Read on.</div><ul><li><a href")
+    assert html_text.main_text(boxed) == html_text.main_text(page)  # a box without content goes, whatever its name
+
+
 @pytest.mark.parametrize(
     "page", ["<p>a</p>" + '<a title="x ' * 20_000, "<b>x" * 50_000, "<!" * 90_000, "<i><div>" + "<b>x" * 9_000 + "</i>" * 9_000, "<p a" + " " * 200_000, '<p title="' * 20_000 + ">", "<ul>" + "<li><a>x</a>" * 20_000, "<" * 200_000, "&" * 200_000, "<script>" * 20_000]
 )
