@@ -13,6 +13,7 @@ from gridspark.operators import bits, contacts, extract, label, prune, runs, sta
 from gridspark.operators.grid import Grid, densify
 from gridspark.operators.neighborhood import BITS_2D, BITS_3D, half_offsets, offsets, row_offsets
 from gridspark.plans.scratch import scratch_folder
+from gridspark.sources import raw
 from gridspark.sources.fixtures import EVENT_GRID, LINEITEM_GRID, embedding_grid, event_grid, lineitem_grid
 from gridspark.streaming.slabs import SlabLabels
 
@@ -163,6 +164,13 @@ def _stacked(connectivity: int) -> tuple[Query, str]:
     return _on_labels("lineitem:5", connectivity, run, "SELECT x, y, z, label FROM lab")
 
 
+def _stored(cells: DataFrame, grid: Grid) -> DataFrame:
+    """Cells written as one array file in the shared folder, and read again by ranges of bytes."""
+    path = f"{scratch_folder(cells.sparkSession).removeprefix('file://')}-{uuid.uuid4().hex}.npy"
+    raw.write_array(cells, grid, path, "int32", column="v")
+    return raw.read_array(cells.sparkSession, f"file://{path}")[0]
+
+
 def _streamed(connectivity: int) -> tuple[Query, str]:
     """Labels of cells that arrive as a stream of files."""
     read, sql, grid = _source("lineitem:5")
@@ -301,6 +309,7 @@ def _all() -> dict[str, tuple[Query, str | None]]:
     boxes = ", ".join(f"CAST({f}({n}) AS INT) AS {n}{f}" for n in "xyz" for f in ("min", "max"))
     out["each_index"] = _on_cells("lineitem:5", lambda c, g: extract.ComponentIndex(as_labels(c)).labels(), lambda g: f"SELECT CAST(v AS BIGINT) AS label, count(*) AS voxel_counts, {boxes} FROM cells GROUP BY v")
     out["each_image"] = _on_cells("event:3", lambda c, g: extract.ComponentIndex(as_labels(c)).image(2), lambda g: "SELECT x, y, z FROM cells WHERE v = 2")
+    out["stored_array"] = _on_cells("lineitem:5", _stored, lambda g: "SELECT x, y, z, CAST(v AS BIGINT) AS v FROM cells")
     out["draw_overlaps"] = _on_cells("lineitem:5", _overlapping, _overlapping_sql)
     out["draw_runs"] = _on_cells("lineitem:5", _drawn, lambda g: "SELECT x, y, z, CAST(CASE WHEN v <= 2 THEN 9 ELSE v END AS INT) AS v FROM cells")
     out["erase_runs"] = _on_cells("lineitem:5", _erased, lambda g: "SELECT * FROM cells WHERE v <> 1")

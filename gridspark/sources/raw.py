@@ -2,13 +2,14 @@
 
 `rawgrid` reads .npy files and headerless arrays by ranges of planes along the slowest axis, in parallel, without
 loading the file: spark.read.format("rawgrid").option("path", ...).load(). The path must be one that every executor
-can open, such as a shared file system; what only Spark can read is read as Parquet.
+can open, such as a shared file system. read_array() takes paths with a scheme as well, which Hadoop opens.
 """
 
 from __future__ import annotations
 
 import contextlib
 import io
+import math
 import os
 import uuid
 from collections.abc import Iterator
@@ -27,6 +28,8 @@ from gridspark.operators.grid import DimensionError, Grid
 #: Cells that a read task takes about.
 CELLS = 4_000_000
 KINDS = {"b": "boolean", "i": "long", "u": "long", "f": "double"}
+#: Bytes of a record of a file that Hadoop deals out, at most.
+RECORD = 4 << 20
 #: Cells of the flattened array that are written at once.
 STRETCH = 1 << 20
 
@@ -51,13 +54,17 @@ def open_array(options: dict) -> tuple[np.ndarray, str]:
     else:
         order = options.get("order", "F")
         array = np.memmap(path, np.dtype(options["dtype"]), "r", shape=tuple(map(int, options["shape"].split(","))), order=order)
-    if array.ndim not in (1, 2, 3):
-        raise DimensionError(f"only ranks 1 to 3 are supported: {array.ndim}")
-    if array.dtype.kind not in KINDS:
-        raise TypeError(f"type {array.dtype} is not supported")
+    _check(array.dtype, array.ndim)
     return array, order
 
 
+def _check(dtype: np.dtype, ndim: int) -> None:
+    if ndim not in (1, 2, 3):
+        raise DimensionError(f"only ranks 1 to 3 are supported: {ndim}")
+    if dtype.kind not in KINDS:
+        raise TypeError(f"type {dtype} is not supported")
+
+
 class _Planes(InputPartition):
     def __init__(self, first: int, last: int):
         self.first, self.last = first, last
@@ -175,8 +182,68 @@ class RawGrid(DataSource):
         return _Writer(dict(self.options))
 
 
+def _record_bytes(size: int, item: int) -> int:
+    """The largest whole number of items, in bytes, that divides a file and isn't above RECORD."""
+    items, best = size // item, 1
+    for d in range(1, min(math.isqrt(items), RECORD // item) + 1):
+        if items % d == 0:
+            best = max(best, d, items // d if items // d <= RECORD // item else 1)
+    return best * item
+
+
+def _stored_array(spark: SparkSession, path: str, options: dict) -> tuple[int, int, np.dtype, tuple[int, ...], str]:
+    """Length of the file, length of its header, type, shape and order, read through Hadoop's file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = files.getFileStatus(at).getLen()
+    if not path.endswith(".npy"):
+        return size, 0, np.dtype(options["dtype"]), tuple(map(int, options["shape"].split(","))), options.get("order", "F")
+    stream = files.open(at)
+    try:
+        head = io.BytesIO(bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(size, 4096))))
+    finally:
+        stream.close()
+    version = np.lib.format.read_magic(head)
+    shape, fortran, dtype = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(head)
+    return size, head.tell(), dtype, shape, "F" if fortran else "C"
+
+
+def read_stored_array(spark: SparkSession, path: str, **options: str) -> tuple[DataFrame, Grid]:
+    """Cells of an array file that only Spark may be able to open, and its grid. Hadoop deals the file by ranges of bytes;
+    records are whole items of RECORD bytes at most, of a length that divides the file."""
+    size, header, dtype, shape, order = _stored_array(spark, path, options)
+    _check(dtype, len(shape))
+    grid = Grid(*shape, *(1,) * (3 - len(shape)), ndim=len(shape), order=order)
+    if size - header != grid.cells * dtype.itemsize:
+        raise ValueError(f"{path} has {size - header} bytes of data, not {grid.cells * dtype.itemsize}")
+    schema = f"x int, y int, z int, v {_kind(dtype)}"
+    if not grid.cells:
+        return spark.createDataFrame([], schema), grid
+    length = _record_bytes(size, dtype.itemsize)
+    kind = "org.apache.spark.input.FixedLengthBinaryInputFormat"
+    records = spark.sparkContext.newAPIHadoopFile(path, kind, "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf={f"{kind}.recordLength": str(length)})
+    strides, sizes = grid.strides, (grid.sx, grid.sy, grid.sz)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                skipped = max(0, header - number * length)  # the header fills the first records or a part of one
+                if skipped >= length:
+                    continue
+                values = np.frombuffer(data.as_buffer(), dtype, offset=skipped)
+                at = np.flatnonzero(values)
+                lin = at + (number * length + skipped - header) // dtype.itemsize
+                places = [pa.array((lin // s % n).astype(np.int32)) for s, n in zip(strides, sizes, strict=True)]
+                yield pa.RecordBatch.from_arrays([*places, _values(values[at])], names=["x", "y", "z", "v"])
+
+    rows = spark.createDataFrame(records.map(lambda r: (r[0], bytes(r[1]))), "number long, data binary")
+    return rows.mapInArrow(decode, schema), grid
+
+
 def read_array(spark: SparkSession, path: str, **options: str) -> tuple[DataFrame, Grid]:
-    """Cells of an array file and its grid."""
+    """Cells of an array file and its grid; a path with a scheme is read through Spark's file systems."""
+    if "://" in path:
+        return read_stored_array(spark, path, **options)
     spark.dataSource.register(RawGrid)
     array, order = open_array({"path": path, **options})
     shape = array.shape + (1,) * (3 - array.ndim)

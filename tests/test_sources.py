@@ -52,6 +52,24 @@ def test_arrays_are_written_as_they_are_read(spark, tmp_path, monkeypatch, order
     assert [f.name for f in tmp_path.iterdir()] == [name]
 
 
+@pytest.mark.parametrize("order", ["C", "F"])
+@pytest.mark.parametrize("shape,dtype", [((7, 5, 4), "int32"), ((11, 13), "uint64"), ((9,), "float32"), ((64, 64, 3), "uint8"), ((0, 3), "int64")])
+def test_arrays_in_a_store_that_only_spark_reads(spark, tmp_path, monkeypatch, order, shape, dtype):
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.arrays.link./in", f"file://{tmp_path.parent}")
+    monkeypatch.setattr(raw, "RECORD", 64)
+    a = np.asarray(RNG.integers(0, 3, shape), dtype=dtype, order=order)
+    if dtype == "uint64":
+        a[-1] = 2**64 - 1
+    np.save(tmp_path / "a.npy", a)
+    (tmp_path / "a.raw").write_bytes(a.tobytes(order=order))
+    store = f"viewfs://arrays/in/{tmp_path.name}"
+    for name, options in (("a.npy", {}), ("a.raw", {"dtype": dtype, "shape": ",".join(map(str, shape)), "order": order})):
+        df, grid = raw.read_array(spark, f"{store}/{name}", **options)
+        assert grid.ndim == len(shape) and (to_numpy(df, grid, "v", dtype) == a).all()
+    with pytest.raises(ValueError, match="bytes of data"):
+        raw.read_array(spark, f"{store}/a.raw", dtype=dtype, shape="100,100", order=order)
+
+
 def test_a_failed_write_leaves_no_file(spark, tmp_path):
     df, grid = from_numpy(spark, np.arange(600).reshape(20, 30))
     for bad in (df, df.withColumn("v", df.v % 2).withColumn("x", df.x + 10)):  # too large for the type; off the grid
