@@ -145,8 +145,8 @@ def _overlapping(cells: DataFrame, grid: Grid) -> DataFrame:
 
 
 def _overlapping_sql(grid: Grid) -> str:
-    x, y, z = (f"CAST(at // {s} % {size} AS INT) AS {n}" for n, s, size in zip("xyz", grid.strides, (grid.sx, grid.sy, grid.sz), strict=True))
-    return f"SELECT {x}, {y}, {z}, CAST(max(v) AS BIGINT) AS label FROM (SELECT v, unnest(range({_lin(grid)}, least({_lin(grid)} + 7, {grid.cells}))) AS at FROM cells) GROUP BY at"
+    x, y, z = (f"CAST(place // {s} % {size} AS INT) AS {n}" for n, s, size in zip("xyz", grid.strides, (grid.sx, grid.sy, grid.sz), strict=True))
+    return f"SELECT {x}, {y}, {z}, CAST(max(v) AS BIGINT) AS label FROM (SELECT v, unnest(range({_lin(grid)}, least({_lin(grid)} + 7, {grid.cells}))) AS place FROM cells) GROUP BY place"
 
 
 def _erased(cells: DataFrame, grid: Grid) -> DataFrame:
