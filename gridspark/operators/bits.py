@@ -16,7 +16,7 @@ from gridspark.operators import halo
 from gridspark.operators.grid import Grid
 from gridspark.operators.label import component_count, dense_labels
 from gridspark.operators.neighborhood import BITS_2D, BITS_3D, check_connectivity, offsets
-from gridspark.operators.seams import components
+from gridspark.operators.seams import BROADCAST_LABELS, components
 from gridspark.plans.scratch import small, written
 
 
@@ -85,7 +85,7 @@ def color_connectivity_graph(graph: DataFrame, grid: Grid, connectivity: int = 2
 
     cells, rooted = components(cells, grid, [o for o, _ in back], passes)
     labels = written(rooted.join(dense_labels(rooted, "first"), "first").select("root", "label"), "labels")
-    out = cells.join(small(labels), "root").select("x", "y", "z", "label")
+    out = cells.join(small(labels, BROADCAST_LABELS), "root").select("x", "y", "z", "label")
     return (out, component_count(labels)) if return_N else out
 
 

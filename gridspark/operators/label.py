@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridspark.operators.grid import Grid, foreground, is_float
 from gridspark.operators.neighborhood import check_connectivity, offsets
-from gridspark.operators.seams import Joined, components
+from gridspark.operators.seams import BROADCAST_LABELS, Joined, components
 from gridspark.plans.scratch import small, written
 
 _OUT = {"uint16": 2**16 - 1, "uint32": 2**32 - 1, "uint64": 2**64 - 1}
@@ -101,7 +101,7 @@ def connected_components(
     if out_dtype is not None and out_dtype not in _OUT:
         raise ValueError(f"out_dtype must be one of {sorted(_OUT)}: {out_dtype}")
     cells, labels = cell_labels(df, grid, connectivity, delta, periodic_boundary, binary_image, column)
-    out = cells.join(small(labels), "root").select("x", "y", "z", "label")
+    out = cells.join(small(labels, BROADCAST_LABELS), "root").select("x", "y", "z", "label")
     if not return_N and out_dtype is None:
         return out
     n = component_count(labels)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridspark.operators.grid import Grid, foreground
 from gridspark.operators.label import cell_labels
+from gridspark.operators.seams import BROADCAST_LABELS
 from gridspark.plans.scratch import small, written
 
 
@@ -40,7 +41,7 @@ def dust(
     fits = (size >= threshold[0]) & (size < threshold[1]) if isinstance(threshold, (tuple, list)) else size >= threshold
     kept = written(_sizes(roots).filter(~fits if invert else fits).select("label"), "kept")
     kept_roots = written(roots.join(small(kept), "label", "left_semi").select("root"), "kept_roots")
-    out = cells.join(small(kept_roots), "root", "left_semi").select("x", "y", "z", F.col("_value").alias(column))
+    out = cells.join(small(kept_roots, BROADCAST_LABELS), "root", "left_semi").select("x", "y", "z", F.col("_value").alias(column))
     return (out, kept.count()) if return_N else out
 
 
@@ -62,5 +63,5 @@ def largest_k(
         n = k
     elif k == 0:
         roots, n = roots.limit(0), 0
-    out = cells.join(small(roots.select("root", "label")), "root").select("x", "y", "z", "label")
+    out = cells.join(small(roots.select("root", "label"), BROADCAST_LABELS), "root").select("x", "y", "z", "label")
     return (out, n) if return_N else out

@@ -25,6 +25,10 @@ from gridspark.plans.scratch import written
 #: Sides of a block for ranks 1 to 3: 2 ** 18 cells at most in a group.
 SIDES = {1: (1 << 18, 1, 1), 2: (512, 512, 1), 3: (64, 64, 64)}
 
+#: Rows of (root, label), 16 bytes each, that are broadcast to the cells, at most; a larger table is joined by a shuffle, in
+#: which a root has the cells of one block at most.
+BROADCAST_LABELS = 500_000
+
 #: joined(rows, n, i, j) says for pairs of rows, j being step n away from i, whether they belong together.
 Joined = Callable[[pa.Table, int, np.ndarray, np.ndarray], np.ndarray]
 

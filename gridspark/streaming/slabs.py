@@ -20,7 +20,7 @@ from gridspark.operators import halo
 from gridspark.operators.grid import Grid, foreground
 from gridspark.operators.label import dense_labels, matching
 from gridspark.operators.neighborhood import check_connectivity, half_offsets
-from gridspark.operators.seams import components, label_blocks
+from gridspark.operators.seams import BROADCAST_LABELS, components, label_blocks
 from gridspark.plans.components import connected_components
 from gridspark.plans.scratch import small, written
 
@@ -61,7 +61,7 @@ class SlabLabels:
         planes = cells.agg(F.min("z").alias("low"), F.max("z").alias("high")).first()
         if planes.low is None:
             return
-        cells = cells.join(small(rooted), "root").select("x", "y", "z", "v", F.col("first").alias("root"))
+        cells = cells.join(small(rooted, BROADCAST_LABELS), "root").select("x", "y", "z", "v", F.col("first").alias("root"))
         placed = cells.withColumns({"zs": F.floor(F.col("z") / DEPTH), "batch": F.lit(batch_id)})
         placed.write.partitionBy("zs", "batch").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{self.path}/cells")
         near = self._read("cells", [f"zs={k}" for k in range((planes.low - 1) // DEPTH, (planes.high + 1) // DEPTH + 1)])
@@ -128,7 +128,7 @@ class SlabLabels:
             return None
         rooted = written(self._rooted(cells.select("root").distinct()), "rooted")
         labels = written(rooted.join(dense_labels(rooted, "first"), "first").select("root", "label"), "labels")
-        return cells.join(small(labels), "root").select("x", "y", "z", "label")
+        return cells.join(small(labels, BROADCAST_LABELS), "root").select("x", "y", "z", "label")
 
     def finished(self, below: int) -> DataFrame | None:
         """(first, x, y, z) of the cells of components that can't grow any more if all cells with z < below have come and no
@@ -141,4 +141,4 @@ class SlabLabels:
         tops = written(self._rooted(cells.groupBy("root").agg(F.max("z").alias("top"))), "tops")
         closed = tops.groupBy("first").agg(F.max("top").alias("top")).filter(F.col("top") < below - 1).select("first")
         done = written(tops.join(closed, "first").select("root", "first"), "finished")
-        return cells.join(small(done), "root").select("first", "x", "y", "z")
+        return cells.join(small(done, BROADCAST_LABELS), "root").select("first", "x", "y", "z")
