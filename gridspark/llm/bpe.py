@@ -25,9 +25,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Bytes, about, that a Python worker keeps of the transition table and of words with their encodings; beyond, each
-#: starts over. Words longer than MEMO_LETTERS bytes are not remembered.
-TABLE_BYTES, MEMO_BYTES, MEMO_LETTERS = 128 << 20, 64 << 20, 128
+#: Bytes, about, that a task keeps of the transition table and of words with their encodings; beyond, each starts over.
+#: Words longer than MEMO_LETTERS bytes are not remembered.
+TABLE_BYTES, MEMO_BYTES, MEMO_LETTERS = 64 << 20, 32 << 20, 128
 #: The pieces that the vocabulary's pre-tokenizer keeps.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 
@@ -178,6 +178,12 @@ class Tokenizer:
         self.memo: dict[str, bytes] = {}
         self.memo_bytes = 0
 
+    def forget(self) -> None:
+        """Frees what was filled in along the way, so that an idle worker holds the compiled merges alone."""
+        self.memo.clear()
+        self.memo_bytes = 0
+        self.automaton._clear()
+
     def encode_word(self, word: str) -> list[int]:
         """Ids of one pre-split word, by the automaton's only path over its bytes."""
         symbols = list(word.encode())
@@ -234,13 +240,16 @@ def _mapped(documents: DataFrame, path: str | None, columns: list[str], schema:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(spec.value)
-        for batch in batches:
-            names = batch.schema.names
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                made = [row(t, x or "") for x in part.column(names.index("text")).to_pylist()]
-                data = {c: part.column(names.index(c)) for c in columns} | {k: [m[k] for m in made] for k in (made[0] if made else {})}
-                yield pa.RecordBatch.from_arrays([pa.array(data[f.name], f.type) if isinstance(data[f.name], list) else data[f.name].cast(f.type) for f in arrow], schema=arrow)
+        try:
+            for batch in batches:
+                names = batch.schema.names
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    made = [row(t, x or "") for x in part.column(names.index("text")).to_pylist()]
+                    data = {c: part.column(names.index(c)) for c in columns} | {k: [m[k] for m in made] for k in (made[0] if made else {})}
+                    yield pa.RecordBatch.from_arrays([pa.array(data[f.name], f.type) if isinstance(data[f.name], list) else data[f.name].cast(f.type) for f in arrow], schema=arrow)
+        finally:
+            t.forget()
 
     return documents.select(*columns, "text").mapInArrow(encode, schema)
 
