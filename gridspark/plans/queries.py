@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from gridspark.operators import bits, contacts, extract, label, prune, runs, stats
 from gridspark.operators.grid import Grid, densify
 from gridspark.operators.neighborhood import BITS_2D, BITS_3D, half_offsets, offsets, row_offsets
-from gridspark.plans.scratch import scratch_folder
+from gridspark.plans.scratch import scratch_folder, written
 from gridspark.sources import raw
 from gridspark.sources.fixtures import EVENT_GRID, LINEITEM_GRID, embedding_grid, event_grid, lineitem_grid
+from gridspark.streaming.frontier import FrontierLabels
 from gridspark.streaming.slabs import SlabLabels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,6 +187,26 @@ def _streamed(connectivity: int) -> tuple[Query, str]:
     return query, _run_labels_sql(sql, grid, connectivity) + "SELECT x, y, z, label FROM lab"
 
 
+def _closed(cells: DataFrame, grid: Grid, depth: int = 21) -> FrontierLabels:
+    """The components of the cells, given out as slabs of some planes come in."""
+    volume = FrontierLabels(cells.sparkSession, f"{scratch_folder(cells.sparkSession)}/frontier-{uuid.uuid4().hex}", grid, 6)
+    batches = range(-(-grid.sz // depth))
+    for i in batches:
+        volume.add(cells.filter(F.col("z").between(depth * i, depth * i + depth - 1)), i)
+    volume.finish(len(batches))
+    return volume
+
+
+def _closed_statistics(cells: DataFrame, grid: Grid) -> DataFrame:
+    found = written(_closed(cells, grid).statistics(), "closed")
+    return found.join(label.dense_labels(found, "first"), "first").drop("first")
+
+
+def _closed_cells(cells: DataFrame, grid: Grid) -> DataFrame:
+    volume = _closed(cells, grid)
+    return volume.finished().join(label.dense_labels(volume.statistics(), "first"), "first").drop("first")
+
+
 def _returned_count(cells: DataFrame, grid: Grid) -> DataFrame:
     n = label.connected_components(cells, grid, 18, return_N=True)[1]
     return cells.sparkSession.range(1).select(F.lit(n).cast("long").alias("n"))
@@ -316,6 +337,8 @@ def _all() -> dict[str, tuple[Query, str | None]]:
     out["stack_6"] = _stacked(6)
     out["stack_26"] = _stacked(26)
     out["stream_18"] = _streamed(18)
+    out["stream_closed"] = _on_labels("lineitem:5", 6, _closed_statistics, _stats_sql("lab", "label", False))
+    out["stream_finished"] = _on_labels("lineitem:5", 6, _closed_cells, "SELECT x, y, z, label FROM lab")
     return out
 
 

@@ -10,49 +10,25 @@ stream exact.
 
 from __future__ import annotations
 
-from dataclasses import replace
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
 
 from gridspark.operators import halo
-from gridspark.operators.grid import Grid, foreground
+from gridspark.operators.grid import foreground
 from gridspark.operators.label import dense_labels, matching
-from gridspark.operators.neighborhood import check_connectivity, half_offsets
 from gridspark.operators.seams import BROADCAST_LABELS, components, label_blocks
 from gridspark.plans.components import connected_components
 from gridspark.plans.scratch import small, written
+from gridspark.streaming.tables import VolumeTables
 
 #: Planes whose cells share a folder.
 DEPTH = 32
 
 
-class SlabLabels:
+class SlabLabels(VolumeTables):
     """Labels of a growing volume in the folder `path`, which all executors share. grid.sz may grow: in order F it
     isn't used, and cells are numbered plane by plane."""
 
-    def __init__(self, spark: SparkSession, path: str, grid: Grid, connectivity: int = 26, binary: bool = False):
-        check_connectivity(connectivity, grid)
-        if grid.order != "F":
-            raise ValueError("a volume that grows in z is numbered in order F")
-        self.spark, self.path, self.binary = spark, path.rstrip("/"), binary
-        self.grid = replace(grid, sz=(1 << 31) - 1)
-        self.steps = half_offsets(connectivity, grid.ndim)
-
-    def _folders(self, name: str) -> list[str]:
-        """The names of the folders of a table, sorted; none if there is no table yet."""
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        files = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return sorted(f.getPath().getName() for f in files.listStatus(at) if f.isDirectory()) if files.exists(at) else []
-
-    def _read(self, name: str, parts: list[str] | None = None) -> DataFrame | None:
-        """A table of the volume, or those of its folders that are named and exist."""
-        there = self._folders(name)
-        parts = there if parts is None else [p for p in parts if p in there]
-        base = f"{self.path}/{name}"
-        return self.spark.read.option("basePath", base).parquet(*[f"{base}/{p}" for p in parts]) if parts else None
-
     def add(self, batch: DataFrame, batch_id: int) -> None:
         """Takes in the cells (x, y, z, v) of one batch. Cells lie in folders by z, so that a batch opens only those next
         to it, however many came before."""
@@ -75,10 +51,6 @@ class SlabLabels:
         met = mine.unionByName(others).select("x", "y", "z", "v", "root")
         halo.edges(met, self.grid, self.steps, "root", joined, label_blocks(self.grid)).write.mode("overwrite").parquet(links)
 
-    def writer(self, stream: DataFrame) -> DataStreamWriter:
-        """A writer of a stream of cells into this volume; give it a checkpoint location and a trigger, and start it."""
-        return stream.writeStream.foreachBatch(lambda batch, batch_id: self.add(batch, batch_id))
-
     def equivalences(self) -> DataFrame | None:
         """(root, first) of the roots that have links: the smallest root of their component. Brought up to date with the
         batches whose links it doesn't hold yet; a new version is written beside the old one, which goes afterwards."""
@@ -107,14 +79,6 @@ class SlabLabels:
             self._delete(f"solved/{old}")
         return self.spark.read.parquet(f"{new}/roots")
 
-    def _done(self, name: str) -> bool:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_SUCCESS")
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
-
-    def _delete(self, name: str) -> None:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-
     def _rooted(self, cells: DataFrame) -> DataFrame:
         same = self.equivalences()
         if same is None:

@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
 #: One query of each kind: the rest are the same code at other settings.
-NAMES = ["grid3d", "estimate_labels", "ccl_6", "ccl_periodic_8", "ccl_periodic_binary_6", "largest_all", "largest_none", "each_binary", "ccl_continuous_4", "dust_range", "contacts_count", "vcg_8", "runs_flat", "draw_runs", "draw_overlaps", "erase_runs", "each_index", "each_image", "stored_array", "stream_18", "color_26", "dust_invert", "largest_k"]
+NAMES = ["grid3d", "estimate_labels", "ccl_6", "ccl_periodic_8", "ccl_periodic_binary_6", "largest_all", "largest_none", "each_binary", "ccl_continuous_4", "dust_range", "contacts_count", "vcg_8", "runs_flat", "draw_runs", "draw_overlaps", "erase_runs", "each_index", "each_image", "stored_array", "stream_18", "stream_closed", "stream_finished", "color_26", "dust_invert", "largest_k"]
 
 
 @pytest.fixture(scope="module")
