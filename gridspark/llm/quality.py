@@ -71,28 +71,39 @@ def correction(share: float) -> float:
 CUTOFF = chi_squared_quantile(CUTOFF_SHARE, N)
 
 
+def window_hash(a: Column, b: Column, c: Column) -> Column:
+    """Hash of a window from those of its words. Windows of equal hashes are compared, so that it decides the work alone."""
+    return F.xxhash64(a, b, c)
+
+
 def repeat_words(w: Column) -> Column:
     """Struct (n_repeat_words, copy_key, n_distinct): words of the array w in 3-word windows that occur twice or more, a
     hash of the three windows with the least hashes, which copies and most near copies share, and distinct words.
 
     A window's hash and start share a long: low bits for the start, as many as the text needs, the rest for the hash.
-    Sorted, equal windows are neighbours; the words under the flagged starts are then counted in order. Windows of
-    one text with equal hashes pass as equal: under 1e-11 likely for 1,000 words.
+    Sorted, windows of equal hashes are neighbours. Those, few in prose, are compared word by word, so that the count is
+    exact for a text of any length; the words under the starts that are left are then counted in order.
     """
 
     def of(s: Column) -> Column:
-        h, m = s["h"], s["m"]
+        w, h, m = s["w"], s["h"], s["m"]
         pairs = F.zip_with(h, F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
         third = F.slice(h, 3, F.greatest(F.size(h) - 2, F.lit(0)))
-        hashed = F.slice(F.zip_with(pairs, third, lambda p, c: F.xxhash64(p["a"], p["b"], c)), 1, F.size(h) - 2)
+        hashed = F.slice(F.zip_with(pairs, third, lambda p, c: window_hash(p["a"], p["b"], c)), 1, F.size(h) - 2)
         packed = F.transform(hashed, lambda x, i: F.coalesce(x, F.lit(0).cast("long")).bitwiseAND(-m).bitwiseOR(i.cast("long")))
-        return let(F.struct(F.sort_array(packed).alias("p"), m.alias("m")), covered)
+        return let(F.struct(w.alias("w"), F.sort_array(packed).alias("p"), m.alias("m")), covered)
+
+    def repeated(q: Column) -> Column:
+        beside = lambda x, i, step: F.coalesce(F.get(q, i + step)["words"] == x["words"], F.lit(False))
+        return F.sort_array(F.transform(F.filter(q, lambda x, i: beside(x, i, -1) | beside(x, i, 1)), lambda x: x["start"]))
 
     def covered(s: Column) -> Column:
-        p, m = s["p"], s["m"]
+        w, p, m = s["w"], s["p"], s["m"]
         same = lambda a, b: a.bitwiseXOR(b).bitwiseAND(-m) == 0
         near = lambda x, i: (F.get(p, i - 1).isNotNull() & same(x, F.get(p, i - 1))) | (F.get(p, i + 1).isNotNull() & same(x, F.get(p, i + 1)))
-        starts = F.sort_array(F.transform(F.filter(p, near), lambda x: x.bitwiseAND(m - 1)))
+        window = lambda at: F.struct(F.concat_ws(" ", *[F.get(w, (at + k).cast("int")) for k in range(3)]).alias("words"), at.alias("start"))
+        flagged = F.transform(F.filter(p, near), lambda x: window(x.bitwiseAND(m - 1)))
+        starts = let(F.sort_array(flagged), repeated)
         step = lambda acc, x: F.struct((acc["n"] + F.least(F.lit(3).cast("long"), x - acc["last"])).alias("n"), x.alias("last"))
         zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).cast("long").alias("last"))
         least = [F.shiftright(F.get(p, F.lit(i)), 24) for i in range(3)]
@@ -102,7 +113,7 @@ def repeat_words(w: Column) -> Column:
         size = F.size(hashes)
         mask = F.pow(F.lit(2.0), F.ceil(F.log2(size.cast("double") + 1))).cast("long")
         none = F.struct(F.lit(0).cast("long").alias("n_repeat_words"), F.xxhash64(hashes).alias("copy_key"))
-        windows = F.when(size < 4, none).otherwise(let(F.struct(hashes.alias("h"), mask.alias("m")), of))
+        windows = F.when(size < 4, none).otherwise(let(F.struct(w.alias("w"), hashes.alias("h"), mask.alias("m")), of))
         return F.struct(windows["n_repeat_words"].alias("n_repeat_words"), windows["copy_key"].alias("copy_key"), F.size(F.array_distinct(hashes)).cast("long").alias("n_distinct"))
 
     return let(F.transform(w, lambda x: F.xxhash64(x)), both)

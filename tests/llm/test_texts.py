@@ -97,6 +97,14 @@ def brute_statistics(t):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)
 
 
+def test_windows_of_equal_hashes_are_compared(spark, monkeypatch):
+    texts = [" ".join(f"w{i}" for i in range(400)), "a b c d a b c e a b c", "w " * 90, "one two three four five six one two three", "x y z y z x y z x z"]
+    for few in (1, 3):  # all windows of a text collide, or a third of them
+        monkeypatch.setattr(quality, "window_hash", lambda a, b, c, few=few: F.shiftleft(F.pmod(F.xxhash64(a, b, c), F.lit(few)), 40))
+        got = {x.doc_id: x.n_repeat_words for x in quality.text_statistics(documents(spark, texts)).collect()}
+        assert got == {i: brute_statistics(t)[-1] for i, t in enumerate(texts)}
+
+
 def test_quality_statistics_and_verdicts(spark):
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9)))
