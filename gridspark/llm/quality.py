@@ -31,6 +31,7 @@ LEAST_ROWS = 200
 #: Quantiles of chi-squared with 4 degrees of freedom: distances within WEIGHTED take part in the reweighted step,
 #: those beyond CUTOFF are rejected. Prose has longer tails than the normal distribution, hence the high quantile.
 WEIGHTED_SHARE, CUTOFF_SHARE = 0.975, 1 - 1e-9
+#: All of these are of the Unicode classes P and S.
 SYMBOLS = "#*$%&|<>"
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Counts that the vector is made of, and the two rates that are centred by the group's medians c_0 and c_1.
@@ -44,6 +45,8 @@ FIT = [f"m_{i}" for i in range(N)] + [f"l_{i}{j}" for i in range(N) for j in ran
 LEAST_DEVIATIONS = (0.1, 0.2, 0.02, 0.02)
 #: Bins of a histogram to a unit of the logarithm, for medians and for distances.
 FINE, BINS = 2000, 200
+#: Bits that hold the start of any window of a text.
+START_BITS = 31
 
 
 def chi_squared(x: float, degrees: int) -> float:
@@ -76,47 +79,38 @@ def window_hash(a: Column, b: Column, c: Column) -> Column:
     return F.xxhash64(a, b, c)
 
 
-def repeat_words(w: Column) -> Column:
-    """Struct (n_repeat_words, copy_key, n_distinct): words of the array w in 3-word windows that occur twice or more, a
-    hash of the three windows with the least hashes, which copies and most near copies share, and distinct words.
+def _repeats(df: DataFrame) -> DataFrame:
+    """df, which has the array _words, with n_repeat_words, words in 3-word windows that occur twice or more, copy_key, a
+    hash of the three windows with the least hashes, which copies and most near copies share, and n_distinct words.
 
-    A window's hash and start share a long: low bits for the start, as many as the text needs, the rest for the hash.
-    Sorted, windows of equal hashes are neighbours. Those, few in prose, are compared word by word, so that the count is
-    exact for a text of any length; the words under the starts that are left are then counted in order.
+    A text whose windows have hashes of their own has none twice. For others a window's hash and start share a long: low
+    bits for the start, START_BITS, the rest for the hash. Sorted, windows of equal hashes are neighbours. Those, few in
+    prose, are compared word by word, so that the count is exact for a text of any length; the words under the starts
+    that are left are then counted in order. Each array is a column of its own: Spark compiles sorting and distinct for
+    columns, while within a lambda, or under a function that takes one, it interprets them on boxed values.
     """
-
-    def of(s: Column) -> Column:
-        w, h, m = s["w"], s["h"], s["m"]
-        pairs = F.zip_with(h, F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        third = F.slice(h, 3, F.greatest(F.size(h) - 2, F.lit(0)))
-        hashed = F.slice(F.zip_with(pairs, third, lambda p, c: window_hash(p["a"], p["b"], c)), 1, F.size(h) - 2)
-        packed = F.transform(hashed, lambda x, i: F.coalesce(x, F.lit(0).cast("long")).bitwiseAND(-m).bitwiseOR(i.cast("long")))
-        return let(F.struct(w.alias("w"), F.sort_array(packed).alias("p"), m.alias("m")), covered)
-
-    def repeated(q: Column) -> Column:
-        beside = lambda x, i, step: F.coalesce(F.get(q, i + step)["words"] == x["words"], F.lit(False))
-        return F.sort_array(F.transform(F.filter(q, lambda x, i: beside(x, i, -1) | beside(x, i, 1)), lambda x: x["start"]))
-
-    def covered(s: Column) -> Column:
-        w, p, m = s["w"], s["p"], s["m"]
-        same = lambda a, b: a.bitwiseXOR(b).bitwiseAND(-m) == 0
-        near = lambda x, i: (F.get(p, i - 1).isNotNull() & same(x, F.get(p, i - 1))) | (F.get(p, i + 1).isNotNull() & same(x, F.get(p, i + 1)))
-        window = lambda at: F.struct(F.concat_ws(" ", *[F.get(w, (at + k).cast("int")) for k in range(3)]).alias("words"), at.alias("start"))
-        flagged = F.transform(F.filter(p, near), lambda x: window(x.bitwiseAND(m - 1)))
-        starts = let(F.sort_array(flagged), repeated)
-        step = lambda acc, x: F.struct((acc["n"] + F.least(F.lit(3).cast("long"), x - acc["last"])).alias("n"), x.alias("last"))
-        zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).cast("long").alias("last"))
-        least = [F.shiftright(F.get(p, F.lit(i)), 24) for i in range(3)]
-        return F.struct(F.aggregate(starts, zero, step)["n"].alias("n_repeat_words"), F.xxhash64(*least).alias("copy_key"))
-
-    def both(hashes: Column) -> Column:
-        size = F.size(hashes)
-        mask = F.pow(F.lit(2.0), F.ceil(F.log2(size.cast("double") + 1))).cast("long")
-        none = F.struct(F.lit(0).cast("long").alias("n_repeat_words"), F.xxhash64(hashes).alias("copy_key"))
-        windows = F.when(size < 4, none).otherwise(let(F.struct(w.alias("w"), hashes.alias("h"), mask.alias("m")), of))
-        return F.struct(windows["n_repeat_words"].alias("n_repeat_words"), windows["copy_key"].alias("copy_key"), F.size(F.array_distinct(hashes)).cast("long").alias("n_distinct"))
-
-    return let(F.transform(w, lambda x: F.xxhash64(x)), both)
+    w, h, v, p, q = (F.col(c) for c in ("_words", "_hashes", "_windows", "_packed", "_flagged"))
+    hashed = F.transform(F.slice(h, 1, F.greatest(F.size(h) - 2, F.lit(0))), lambda x, i: F.coalesce(window_hash(x, F.get(h, i + 1), F.get(h, i + 2)), F.lit(0).cast("long")))
+    packed = F.transform(v, lambda x, i: x.bitwiseAND(F.lit(-1 << START_BITS)).bitwiseOR(i.cast("long")))
+    same = lambda x, i: F.shiftright(x.bitwiseXOR(F.get(p, i)), START_BITS) == 0
+    window = lambda at: F.struct(F.concat_ws(" ", *[F.get(w, (at + k).cast("int")) for k in range(3)]).alias("words"), at.alias("start"))
+    flagged = F.transform(F.filter(p, lambda x, i: same(x, i + 1) | same(x, i - 1)), lambda x: window(x.bitwiseAND(F.lit((1 << START_BITS) - 1))))
+    beside = lambda x, i: F.coalesce(F.get(q, i)["words"] == x["words"], F.lit(False))
+    starts = F.sort_array(F.transform(F.filter(q, lambda x, i: beside(x, i - 1) | beside(x, i + 1)), lambda x: x["start"]))
+    step = lambda acc, x: F.struct((acc["n"] + F.least(F.lit(3).cast("long"), x - acc["last"])).alias("n"), x.alias("last"))
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).cast("long").alias("last"))
+    least = [F.shiftright(F.get("_sorted", F.lit(i)), 24) for i in range(3)]
+    return (
+        df.withColumn("_hashes", F.transform(w, lambda x: F.xxhash64(x)))
+        .withColumn("n_distinct", F.size(F.array_distinct(h)).cast("long"))
+        .withColumn("_windows", hashed)
+        .withColumn("_sorted", F.sort_array(v))
+        .withColumn("copy_key", F.when(F.size(h) < 4, F.xxhash64(h)).otherwise(F.xxhash64(*least)))
+        .withColumn("_packed", F.when(F.size(F.array_distinct(v)) < F.size(v), F.sort_array(packed)).otherwise(F.array().cast("array<long>")))
+        .withColumn("_flagged", F.sort_array(flagged))
+        .withColumn("n_repeat_words", F.aggregate(starts, zero, step)["n"])
+        .drop("_hashes", "_windows", "_sorted", "_packed", "_flagged")
+    )
 
 
 def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
@@ -124,20 +118,17 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     characters in words, symbols, repeated lines, words in repeated windows, punctuation and symbols, distinct words,
     what copies share. Null text counts as empty."""
     t = F.coalesce(F.col(text), F.lit(""))
-    lines = let(F.filter(F.split(t, "\n"), lambda x: F.translate(x, BLANK_CHARS, "") != ""), lambda a: F.size(a) - F.size(F.array_distinct(a)))
-    counted = let(words(F.col(text)), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("found")))
-    return (
-        df.withColumn("_counted", counted)
-        .withColumn("n_words", F.col("_counted.n_words"))
-        .withColumn("word_chars", F.length(F.translate(t, BLANK_CHARS, "")).cast("long"))
-        .withColumn("n_symbols", (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"))
+    lines = let(F.filter(F.split(t, "\n"), lambda x: F.ltrim(x, F.lit(BLANK_CHARS)) != ""), lambda a: F.size(a) - F.size(F.array_distinct(a)))
+    counted = (
+        df.withColumn("_words", words(F.col(text)))
+        .withColumn("_marks", F.regexp_replace(t, r"[^\p{P}\p{S}]+", ""))
+        .withColumn("n_words", F.size("_words").cast("long"))
+        .withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
+        .withColumn("n_symbols", (F.length("_marks") - F.length(F.translate("_marks", SYMBOLS, ""))).cast("long"))
         .withColumn("n_dup_lines", lines.cast("long"))
-        .withColumn("n_repeat_words", F.col("_counted.found.n_repeat_words"))
-        .withColumn("n_marks", F.regexp_count(t, F.lit(r"[\p{P}\p{S}]")).cast("long"))
-        .withColumn("n_distinct", F.col("_counted.found.n_distinct"))
-        .withColumn("copy_key", F.col("_counted.found.copy_key"))
-        .drop("_counted")
+        .withColumn("n_marks", F.length("_marks").cast("long"))
     )
+    return _repeats(counted).drop("_words", "_marks").select(*df.columns, *STATISTICS, "n_marks", "n_distinct", "copy_key")
 
 
 def _quantiles(rows: DataFrame, keys: list[str], values: list[Column], shares: list[float], bins: int) -> DataFrame:
