@@ -111,6 +111,12 @@ def _near(a: str, b: str, distance: int) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
 
 
+def _joined(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join that shuffles both tables. Spark takes a fingerprint's anchors for one row, and would send tables that
+    grow with the input through the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def fingerprint_components(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(fp, label) of distinct fingerprints nodes (fp, n): label is the smallest one that links reach. n says how many
     documents have the fingerprint."""
@@ -118,7 +124,7 @@ def fingerprint_components(nodes: DataFrame, distance: int = DISTANCE) -> DataFr
         raise ValueError(f"distance must be from 0 to {DISTANCE}: {distance}")
     homes = written(covered(nodes).filter("home").select("anchor", "fp", "n"), "homes")
     named = homes.groupBy("anchor").agg(F.max_by("fp", F.struct("n", "fp")).alias("named"), F.count(F.lit(1)).alias("homes"))
-    came = covered(nodes).select("anchor", "fp").join(named, "anchor").filter("homes > 1 or fp <> named")
+    came = _joined(covered(nodes).select("anchor", "fp"), named, "anchor").filter("homes > 1 or fp <> named")
     came = written(came.select("anchor", "fp", "named"), "came")
     near = came.filter((F.col("fp") != F.col("named")) & _near("fp", "named", distance))
     links = written(near.select(F.least("fp", "named").alias("a"), F.greatest("fp", "named").alias("b")).distinct(), "links")

@@ -171,6 +171,22 @@ def test_simhash_of_odd_rows(spark):
         simhash.near_duplicates(df, distance=4)
 
 
+def test_simhash_sends_no_anchors_through_the_driver(spark, monkeypatch):
+    plans = collections.defaultdict(list)
+
+    def planned(df, name):
+        plans[name].append(df._jdf.queryExecution().sparkPlan().toString())
+        return write(df, name)
+
+    write = simhash.written
+    monkeypatch.setattr(simhash, "written", planned)
+    rows = [(i, " ".join(f"w{i * j % 97}" for j in range(1 + i % 9)), "en", "s", 1) for i in range(60)]
+    assert simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).count() == 60
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 1 << 20  # this table stays below it
+    came = plans["came"][0]
+    assert "Join" in came and "Broadcast" not in came
+
+
 # collocations
 
 
