@@ -112,8 +112,8 @@ def _near(a: str, b: str, distance: int) -> Column:
 
 
 def _joined(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """A join that shuffles both tables. Spark takes a fingerprint's anchors for one row, and would send tables that
-    grow with the input through the driver."""
+    """A join that shuffles both tables. Spark takes a fingerprint's anchors for one row, and written tables for no larger
+    than their files, and would send tables that grow with the input through the driver."""
     return left.join(right.hint("merge"), on, how)
 
 
@@ -131,20 +131,20 @@ def fingerprint_components(nodes: DataFrame, distance: int = DISTANCE) -> DataFr
     first = connected_components(links, written)
 
     def labelled(rows: DataFrame) -> DataFrame:
-        return rows.join(first.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+        return _joined(rows, first.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
 
     came = written(labelled(came.select("anchor", "fp")), "labelled")
     sizes = came.groupBy("anchor", "label").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("anchor").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
     main = written(main, "main")
-    came = came.join(main, "anchor").select("anchor", "fp", "label", (F.col("label") == F.col("main")).alias("in_main"))
-    home = labelled(homes.select("anchor", "fp")).join(main, "anchor").select("anchor", F.col("fp").alias("b"), F.col("label").alias("b_label"), (F.col("label") == F.col("main")).alias("b_main"))
+    came = _joined(came, main, "anchor").select("anchor", "fp", "label", (F.col("label") == F.col("main")).alias("in_main"))
+    home = _joined(labelled(homes.select("anchor", "fp")), main, "anchor").select("anchor", F.col("fp").alias("b"), F.col("label").alias("b_label"), (F.col("label") == F.col("main")).alias("b_main"))
     came, home = written(came, "came"), written(home, "home")
-    across = came.join(home.filter("not b_main"), "anchor").unionByName(came.filter("not in_main").join(home.filter("b_main"), "anchor"))
+    across = _joined(came, home.filter("not b_main"), "anchor").unionByName(_joined(came.filter("not in_main"), home.filter("b_main"), "anchor"))
     across = across.filter((F.col("label") != F.col("b_label")) & _near("fp", "b", distance))
     more = written(across.select(F.least("label", "b_label").alias("a"), F.greatest("label", "b_label").alias("b")).distinct(), "more")
     tops = connected_components(more, written).select(F.col("node").alias("label"), F.col("label").alias("top"))
-    return labelled(nodes.select("fp")).join(tops, "label", "left").select("fp", F.coalesce("top", "label").alias("label"))
+    return _joined(labelled(nodes.select("fp")), tops, "label", "left").select("fp", F.coalesce("top", "label").alias("label"))
 
 
 def near_duplicates(documents: DataFrame, size: int = 3, distance: int = DISTANCE) -> DataFrame:
@@ -158,7 +158,7 @@ def near_duplicates(documents: DataFrame, size: int = 3, distance: int = DISTANC
     """
     rows = written(fingerprints(documents, size), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low")), "nodes")
-    labels = written(nodes.join(fingerprint_components(nodes.select("fp", "n"), distance), "fp"), "labels")
-    names = labels.groupBy("label").agg(F.min("low").alias("component_id"))
-    named = labels.join(names, "label").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    labels = written(_joined(nodes, fingerprint_components(nodes.select("fp", "n"), distance), "fp"), "labels")
+    names = written(labels.groupBy("label").agg(F.min("low").alias("component_id")), "names")
+    named = _joined(labels, names, "label").select("fp", "component_id")
+    return _joined(rows, named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

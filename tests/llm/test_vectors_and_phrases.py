@@ -171,7 +171,7 @@ def test_simhash_of_odd_rows(spark):
         simhash.near_duplicates(df, distance=4)
 
 
-def test_simhash_sends_no_anchors_through_the_driver(spark, monkeypatch):
+def test_simhash_sends_no_table_through_the_driver(spark, monkeypatch):
     plans = collections.defaultdict(list)
 
     def planned(df, name):
@@ -181,10 +181,14 @@ def test_simhash_sends_no_anchors_through_the_driver(spark, monkeypatch):
     write = simhash.written
     monkeypatch.setattr(simhash, "written", planned)
     rows = [(i, " ".join(f"w{i * j % 97}" for j in range(1 + i % 9)), "en", "s", 1) for i in range(60)]
-    assert simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).count() == 60
-    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 1 << 20  # this table stays below it
+    found = simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA))
+    plans["result"].append(found._jdf.queryExecution().sparkPlan().toString())
+    assert found.count() == 60
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 1 << 20  # these tables stay below it
     came = plans["came"][0]
     assert "Join" in came and "Broadcast" not in came
+    assert {"homes", "came", "labelled", "main", "more", "labels"} <= set(plans)
+    assert [name for name, made in plans.items() if "Broadcast" in "".join(made)] == []
 
 
 # collocations
