@@ -128,7 +128,7 @@ def fingerprint_components(nodes: DataFrame, distance: int = DISTANCE) -> DataFr
     came = written(came.select("anchor", "fp", "named"), "came")
     near = came.filter((F.col("fp") != F.col("named")) & _near("fp", "named", distance))
     links = written(near.select(F.least("fp", "named").alias("a"), F.greatest("fp", "named").alias("b")).distinct(), "links")
-    first = connected_components(links, written)
+    first = connected_components(links, written, _joined)
 
     def labelled(rows: DataFrame) -> DataFrame:
         return _joined(rows, first.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
@@ -143,7 +143,7 @@ def fingerprint_components(nodes: DataFrame, distance: int = DISTANCE) -> DataFr
     across = _joined(came, home.filter("not b_main"), "anchor").unionByName(_joined(came.filter("not in_main"), home.filter("b_main"), "anchor"))
     across = across.filter((F.col("label") != F.col("b_label")) & _near("fp", "b", distance))
     more = written(across.select(F.least("label", "b_label").alias("a"), F.greatest("label", "b_label").alias("b")).distinct(), "more")
-    tops = connected_components(more, written).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    tops = connected_components(more, written, _joined).select(F.col("node").alias("label"), F.col("label").alias("top"))
     return _joined(labelled(nodes.select("fp")), tops, "label", "left").select("fp", F.coalesce("top", "label").alias("label"))
 
 

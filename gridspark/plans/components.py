@@ -41,14 +41,14 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[top]), pa.array(part)], names=["node", "up", "part"])
 
 
-def connected_components(edges: DataFrame, written: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+def connected_components(edges: DataFrame, written: Callable[[DataFrame, str], DataFrame], joined: Callable[..., DataFrame] = DataFrame.join) -> DataFrame:
     """(node, label) of all nodes of edges (a, b): label is the smallest node of the node's component.
 
     In each round the edges are dealt by a hash of both ends, so that a node of many edges lies in many partitions, and
     every partition, of the size that Spark's shuffle settings give it, replaces its own by stars. If there was one partition that is the answer. Otherwise every node points to its
     smallest neighbour, pointers are shortened, the edges contracted along them, and the next round begins. A node
     gets one row in each step, whatever its degree: neighbours meet as a minimum, which is combined before the
-    shuffle. `written` stores a table and reads it again.
+    shuffle. `written` stores a table and reads it again; `joined` joins two tables by a column.
     """
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")
     labels = None
@@ -64,17 +64,17 @@ def connected_components(edges: DataFrame, written: Callable[[DataFrame, str], D
             up = written(up, "pointers")
             for _ in range(JUMPS):
                 above = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
-                up = up.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"))
+                up = joined(up, above, "up", "left").select("node", F.coalesce("top", "up").alias("up"))
             up = written(up, "pointers")
         if labels is None:
             labels = up.withColumnRenamed("up", "label")
         else:
-            labels = labels.join(up.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("up", "label").alias("label"))
+            labels = joined(labels, up.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("up", "label").alias("label"))
         if parts < 2:
             return labels
         labels = written(labels, "labels")
         a, b = up.select(F.col("node").alias("a"), F.col("up").alias("_a")), up.select(F.col("node").alias("b"), F.col("up").alias("_b"))
-        pairs = far.select(F.col("node").alias("a"), F.col("up").alias("b")).join(a, "a").join(b, "b").filter("_a <> _b")
+        pairs = joined(joined(far.select(F.col("node").alias("a"), F.col("up").alias("b")), a, "a"), b, "b").filter("_a <> _b")
         edges = written(pairs.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "contracted")
         if edges.isEmpty():
             return labels

@@ -190,6 +190,29 @@ def test_simhash_sends_no_table_through_the_driver(spark, monkeypatch):
     assert {"homes", "came", "labelled", "main", "more", "labels"} <= set(plans)
     assert [name for name, made in plans.items() if "Broadcast" in "".join(made)] == []
 
+def test_components_of_fingerprints_send_no_table_through_the_driver(spark, monkeypatch):
+    plans = collections.defaultdict(list)
+
+    def planned(df, name):
+        plans[name].append(df._jdf.queryExecution().sparkPlan().toString())
+        return write(df, name)
+
+    write = simhash.written
+    monkeypatch.setattr(simhash, "written", planned)
+    prints = crowd(4)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that the links have several partitions
+    try:
+        got = {r.fp: r.label for r in simhash.fingerprint_components(spark.createDataFrame([(p, 1) for p in signed], "fp long, n long")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    groups = collections.defaultdict(list)
+    for p, top in zip(signed, plain_components(prints, 3), strict=True):
+        groups[top].append(p)
+    assert got == {p: min(g) for g in groups.values() for p in g}
+    assert {"pointers", "contracted"} <= set(plans)
+    assert [name for name, made in plans.items() if "Broadcast" in "".join(made)] == []
+
 
 # collocations
 
